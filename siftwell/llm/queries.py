@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import mixing, simhash
+from siftwell.llm import mixing, simhash, substring
 from siftwell.llm.common import staged, table, word_count
 
 
@@ -16,13 +16,18 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", m["source_size"].alias("source_size"), m["target"].alias("target"), (m["whole"] * F.col("size") + m["part"]).alias("taken"))
 
 
+def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.repeats_removed(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, radius=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def queries() -> dict:
-    return {"op2_mixing": op2_mixing, "op8_simhash": op8_simhash}
+    return {"op2_mixing": op2_mixing, "op4_substring": op4_substring, "op8_simhash": op8_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
