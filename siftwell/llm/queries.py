@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import mixing, simhash, substring
-from siftwell.llm.common import staged, table, word_count
+from siftwell.llm import mixing, simhash, substring, toxicity
+from siftwell.llm.common import fold, staged, table, word_count
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,8 +26,15 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), fold(F.col("doc_id")) != 0)
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def queries() -> dict:
-    return {"op2_mixing": op2_mixing, "op4_substring": op4_substring, "op8_simhash": op8_simhash}
+    return {"op2_mixing": op2_mixing, "op4_substring": op4_substring, "op8_simhash": op8_simhash, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
