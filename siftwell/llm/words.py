@@ -13,6 +13,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: Lower-cases A-Z and takes ASCII punctuation for spaces.
+PLAIN = np.where(np.isin(np.arange(256), [*range(48, 58), *range(97, 123), *range(128, 256)]), np.arange(256), np.where(np.isin(np.arange(256), range(65, 91)), np.arange(256) + 32, 32)).astype(np.uint8)
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes of text that are worked on at once; a longer text is taken alone.
 CHUNK_BYTES = 2_000_000
@@ -66,14 +68,14 @@ def rolling(hashes: np.ndarray, n: int, salt: int = 0) -> np.ndarray:
     return mixed(out)
 
 
-def words_of(texts: pa.Array, lower: bool = False) -> Words:
-    """Words of a string array; null is an empty text. Nothing of the array is copied but where lower is set."""
+def words_of(texts: pa.Array, lower: bool = False, table: np.ndarray | None = None) -> Words:
+    """Words of a string array; null is an empty text. Bytes are mapped by a table first, where lower or table is set."""
     texts = pc.fill_null(texts, "").cast(pa.large_string())
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
     offsets = offsets - offsets[0]
-    if lower:
-        data = _LOWER[data]
+    if lower or table is not None:
+        data = (_LOWER if table is None else table)[data]
     if not len(data):
         return Words(data, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64))
     space = _SPACE[data]
