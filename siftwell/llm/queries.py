@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import decontam, mixing, quality, simhash, substring, toxicity, vectors
+from siftwell.llm import decontam, mixing, pii, quality, simhash, substring, toxicity, vectors
 from siftwell.llm.common import fold, staged, table, word_count
 
 
@@ -40,6 +40,11 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", *[pii.count_of(k).alias(f"n_{k}") for k in pii.KINDS], F.sha2(pii.spelled("_base").cast("binary"), 256).alias("base_sha256"), pii.spelled("_spans").alias("spans"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), fold(F.col("doc_id")) != 0)
@@ -48,7 +53,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op2_mixing": op2_mixing, "op4_substring": op4_substring, "op5_decontamination": op5_decontamination, "op6_vectors": op6_vectors, "op7_quality": op7_quality, "op8_simhash": op8_simhash, "op10_toxicity": op10_toxicity}
+    return {"op2_mixing": op2_mixing, "op4_substring": op4_substring, "op5_decontamination": op5_decontamination, "op6_vectors": op6_vectors, "op7_quality": op7_quality, "op8_simhash": op8_simhash, "op9_pii": op9_pii, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
