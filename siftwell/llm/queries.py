@@ -5,8 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import decontam, mixing, pii, quality, simhash, substring, toxicity, vectors
-from siftwell.llm.common import fold, staged, table, word_count
+from siftwell.llm import decontam, langid, lm_score, mixing, pii, quality, simhash, substring, toxicity, vectors
+from siftwell.llm.common import bounded, fold, staged, table, word_count
+
+
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every page (text, markup, address, host) and of every document (text, with its source for a host)."""
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    languages, likelihoods = langid.fit(docs.filter(fold(F.col("doc_id")) != 0))
+    html = F.col("html")
+    rows = pages.select(F.struct(F.lit(None).cast("long").alias("doc_id"), F.col("page_id").cast("long").alias("page_id")).alias("key"), langid.visible(html).alias("text"), langid.declared(html).alias("declared"), langid.host(F.col("url")).alias("host"))
+    rows = rows.unionByName(docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("long").alias("page_id")).alias("key"), "text", F.lit("").alias("declared"), F.col("source").alias("host")))
+    return langid.identify(rows, languages, likelihoods).select("key.*", "lang", "confidence", "text_lang")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +26,13 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", m["source_size"].alias("source_size"), m["target"].alias("target"), (m["whole"] * F.col("size") + m["part"]).alias("taken"))
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document against those labelled as of good quality."""
+    good = table(spark, sf_dir, "labels").filter("quality = 1 and toxic = 0").select(F.col("doc_id").alias("_good")).distinct()
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lm_score.scores(docs.join(bounded(good), F.col("doc_id") == F.col("_good"), "left"), F.col("_good").isNotNull())
+
+
 def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring.repeats_removed(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
@@ -53,7 +70,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op2_mixing": op2_mixing, "op4_substring": op4_substring, "op5_decontamination": op5_decontamination, "op6_vectors": op6_vectors, "op7_quality": op7_quality, "op8_simhash": op8_simhash, "op9_pii": op9_pii, "op10_toxicity": op10_toxicity}
+    return {"op1_language": op1_language, "op2_mixing": op2_mixing, "op3_lm_score": op3_lm_score, "op4_substring": op4_substring, "op5_decontamination": op5_decontamination, "op6_vectors": op6_vectors, "op7_quality": op7_quality, "op8_simhash": op8_simhash, "op9_pii": op9_pii, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
