@@ -34,7 +34,7 @@ from siftwell.llm.words import PLAIN, Words, chunks, rolling, words_of
 
 K1, B = 1.2, 0.75
 THRESHOLD, OVERLAP = 0.7, 0.5
-BLOCK, SHARD_ITEMS, SHORTEST_CLASS = 16, 2000, 64
+BLOCK, SHARD_ITEMS, SHORTEST_CLASS = 2, 2000, 64
 _GRAM = 3
 _ROWS = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
 
@@ -120,10 +120,13 @@ def leaks(index: Index, w: Words, hashes: np.ndarray, threshold: float, overlap:
     followed = np.concatenate((document[1:] == document[:-1], [False]))
     bounds[:-1] += bounds[1:] * followed[:, None]
     found: dict[tuple[int, int], tuple[float, float, float]] = {}
+    present = np.zeros(len(index.terms), bool)
     for s, b in zip(*np.nonzero(bounds[:-1] >= threshold * 0.999), strict=True):
         items, terms, impacts = index.blocks[b]
         lo, hi = np.searchsorted(of, [s, s + 1 + followed[s]])
-        scores = impacts[:, np.isin(terms, term[lo:hi])].sum(axis=1)
+        present[term[lo:hi]] = True
+        scores = impacts @ present[terms]
+        present[term[lo:hi]] = False
         for i in np.flatnonzero(scores >= threshold):
             d = document[s]
             begin = w.first[d] + (s - first_segment[d]) * index.segment
