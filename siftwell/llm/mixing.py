@@ -82,7 +82,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     copies = F.when(m["size"] == 0, F.lit(1)).otherwise(m["whole"] + F.when(m["part"] > 0, 1).otherwise(0)).cast("int")
     rows = mixed.withColumn("_copies", copies).filter("_copies > 0").withColumn("repetition", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
     taken = F.when(F.col("repetition") <= m["whole"], m["size"]).otherwise(m["part"])
-    cut = F.regexp_extract(F.col("text"), F.concat(F.lit(r"^(?s:[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+){"), (taken - 1).cast("string"), F.lit(r"}+[^\x20\x09-\x0D]++)")), F.lit(0))
+    cut = F.call_function("regexp_extract", F.col("text"), F.concat(F.lit(r"^(?s:[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+){"), (taken - 1).cast("string"), F.lit(r"}+[^\x20\x09-\x0D]++)")), F.lit(0))
     text = F.when((taken > 0) & (taken < m["size"]), cut).otherwise(F.col("text"))
     return rows.withColumn("taken", taken).withColumn("text", text).drop("_mix", "_copies")
 

@@ -7,6 +7,9 @@ than it, so a pair of tiles whose counts are further apart is never made; within
 counts of the four 16-bit quarters taken together, by which blocks are skipped. What remains is compared completely,
 by exclusive-or and bit counts. A pair of tiles returns a spanning forest of its links and never the pairs themselves.
 
+That finds texts with almost all shingles in common. To find texts by similarity (``similar_groups``), the fingerprints are
+wider and their radius is that of the similarity; candidates are then compared exactly by their sets of shingles.
+
 Cost: the comparison is quadratic in the number of distinct fingerprints, as the method is; its memory is two tiles a
 task, and each tile is sent to the tasks that compare it.
 
@@ -18,6 +21,7 @@ gives an empty result; rows with a null id are left out, as they can name no gro
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -28,22 +32,33 @@ from pyspark.sql import functions as F
 
 from siftwell.llm.common import bounded, staged
 from siftwell.llm.components import components, unite
-from siftwell.llm.words import chunks, words_of
+from siftwell.llm.words import chunks, mixed, words_of
 
 SHINGLE = 5
+SIMILARITY = 0.8
 RADIUS = 4
 SEED = 42
 #: Distinct fingerprints in a tile at most, and tiles at least for smaller inputs.
 TILE, TILES = 65_536, 16
+#: Words of 64 bits where similar texts are sought, and sets of shingles in a tile.
+WIDE, SET_TILE = 4, 256
 _ROWS, _COLUMNS = 256, 2048
 
 
-def fingerprints(texts: pa.Array, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
-    """SimHash of each text, lower-cased within A-Z."""
+class Shingles(NamedTuple):
+    """Hashes of the shingles of several texts; made[i] of them are of text i."""
+
+    hashes: np.ndarray
+    made: np.ndarray
+    joined: bytes
+    spans: list[tuple[int, int]]
+
+
+def shingles(texts: pa.Array, shingle: int = SHINGLE, seed: int = SEED) -> Shingles:
+    """XXH64 of each text's shingles, lower-cased within A-Z; and the texts' words joined by spaces, as spans of bytes."""
     w = words_of(texts, lower=True)
-    out = np.zeros(len(texts), np.uint64)
     if not len(w.starts):
-        return out
+        return Shingles(np.zeros(0, np.uint64), np.zeros(len(texts), np.int64), b"", [(0, 0)] * len(texts))
     sizes = w.ends - w.starts
     inside = np.repeat(w.starts, sizes) + _within(sizes)
     starts = np.cumsum(sizes + 1) - sizes - 1  # of the words, one space apart
@@ -56,14 +71,27 @@ def fingerprints(texts: pa.Array, shingle: int = SHINGLE, seed: int = SEED) -> n
     last = np.minimum(at + shingle, np.repeat(w.first[1:], made)) - 1
     data, digest = joined.tobytes(), xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(data[s:e], seed) for s, e in zip(starts[at].tolist(), ends[last].tolist(), strict=True)), np.uint64, len(at))
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    spans = [(int(starts[a]), int(ends[b - 1])) if b > a else (0, 0) for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)]
+    return Shingles(hashes, made, data, spans)
+
+
+def majority(hashes: np.ndarray, made: np.ndarray) -> np.ndarray:
+    """Of each text, the 64 bits that more than half of its hashes have."""
+    out = np.zeros(len(made), np.uint64)
     some = np.flatnonzero(made)
-    firsts = (np.cumsum(made) - made)[some]
-    ones = np.add.reduceat(bits, firsts, axis=0, dtype=np.int32)
-    out[some] = np.packbits(2 * ones > made[some, None], axis=1, bitorder="little").view(np.uint64).ravel()
+    if len(some):
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones = np.add.reduceat(bits, (np.cumsum(made) - made)[some], axis=0, dtype=np.int32)
+        out[some] = np.packbits(2 * ones > made[some, None], axis=1, bitorder="little").view(np.uint64).ravel()
     return out
 
 
+def fingerprints(texts: pa.Array, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """SimHash of each text."""
+    s = shingles(texts, shingle, seed)
+    return majority(s.hashes, s.made)
+
+
 def _within(sizes: np.ndarray) -> np.ndarray:
     """0 to size - 1 for each size in turn."""
     ends = np.cumsum(sizes)
@@ -86,8 +114,11 @@ def _quarters(fp: np.ndarray) -> np.ndarray:
     return np.bitwise_count(fp.view(np.uint16).reshape(-1, 4)).astype(np.int8)
 
 
-def tile_links(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (into a, into b) within the radius, block by block; a and b are in order of their quarters' counts."""
+def tile_links(a: np.ndarray, b: np.ndarray, radius: int, same: bool, more: tuple[np.ndarray, np.ndarray, int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (into a, into b) within the radius, block by block; a and b are in order of their quarters' counts.
+
+    more: further bits of a and of b, row by row, and how many bits may differ in all.
+    """
     qa, qb = _quarters(a), _quarters(b)
     at_a, at_b = np.arange(0, len(a), _ROWS), np.arange(0, len(b), _COLUMNS)
     low_a, high_a, low_b, high_b = (f.reduceat(q, at, axis=0) for q, at in ((qa, at_a), (qb, at_b)) for f in (np.minimum, np.maximum))
@@ -98,32 +129,49 @@ def tile_links(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> Iterato
             continue
         close = np.bitwise_count(a[i : i + _ROWS, None] ^ b[None, j : j + _COLUMNS]) <= radius
         r, c = np.nonzero(close)
+        r, c = r + i, c + j
+        if more is not None and len(r):
+            ahead = r < c if same else np.ones(len(r), bool)
+            r, c = r[ahead], c[ahead]
+            near = np.bitwise_count(a[r] ^ b[c]) + np.bitwise_count(more[0][r] ^ more[1][c]).sum(axis=1) <= more[2]
+            r, c = r[near], c[near]
         if len(r):
-            yield r + i, c + j
+            yield r, c
+
 
+def _tree(nodes: np.ndarray, parent: np.ndarray) -> pd.DataFrame:
+    """Links from each node to its root."""
+    while (parent != parent[parent]).any():
+        parent = parent[parent]
+    tied = parent != np.arange(len(nodes))
+    return pd.DataFrame({"a": nodes[tied], "b": nodes[parent[tied]]})
 
-def _forest(radius: int):
+
+def _forest(radius: int, total: int | None):
     def linked(pair: pd.DataFrame) -> pd.DataFrame:
         tiles = []
-        for fps, nodes in zip(pair["fps"], pair["nodes"], strict=True):
+        for fps, nodes, more in zip(pair["fps"], pair["nodes"], pair["more"], strict=True):
             fp, node = np.asarray(fps, np.int64).view(np.uint64), np.asarray(nodes, np.int64)
             order = np.lexsort(_quarters(fp).T[::-1])
-            tiles.append((fp[order], node[order]))
-        nodes = np.unique(np.concatenate([n for _, n in tiles]))
-        ranks = [np.searchsorted(nodes, n) for _, n in tiles]
+            rest = np.frombuffer(b"".join(more), np.uint64).reshape(len(fp), -1)[order] if total is not None else None
+            tiles.append((fp[order], node[order], rest))
+        nodes = np.unique(np.concatenate([t[1] for t in tiles]))
+        ranks = [np.searchsorted(nodes, t[1]) for t in tiles]
         parent = np.arange(len(nodes))
-        for r, c in tile_links(tiles[0][0], tiles[-1][0], radius, len(tiles) == 1):
+        for r, c in tile_links(tiles[0][0], tiles[-1][0], radius, len(tiles) == 1, None if total is None else (tiles[0][2], tiles[-1][2], total)):
             unite(parent, ranks[0][r], ranks[-1][c])
-        while (parent != parent[parent]).any():
-            parent = parent[parent]
-        tied = parent != np.arange(len(nodes))
-        return pd.DataFrame({"a": nodes[tied], "b": nodes[parent[tied]]})
+        return _tree(nodes, parent)
 
     return linked
 
 
-def near_links(unique: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """(fp, node), each fp once -> (a, b), links between nodes that span every group of fingerprints within the radius."""
+def near_links(unique: DataFrame, radius: int = RADIUS, tile: int = TILE, total: int | None = None) -> DataFrame:
+    """(fp, node), each node once -> (a, b), links between nodes that span every group of fingerprints within the radius.
+
+    total: if given, unique also has ``more``, further bits as binary, and links differ in so many bits of all at most.
+    """
+    if total is None:
+        unique = unique.select("fp", "node", F.lit(None).cast("binary").alias("more"))
     spark = unique.sparkSession
     unique = unique.withColumn("ones", F.bit_count("fp"))
     counts = dict(unique.groupBy("ones").count().collect())  # 65 rows at most
@@ -144,10 +192,10 @@ def near_links(unique: DataFrame, radius: int = RADIUS, tile: int = TILE) -> Dat
         return spark.createDataFrame([], "a long, b long")
     reach = [(t, min(i for i, (_, hi) in enumerate(spans) if hi + radius >= lo0), max(i for i, (lo, _) in enumerate(spans) if lo - radius <= hi0)) for t, (lo0, hi0) in enumerate(spans)]
     of = {k: F.element_at(F.array(*[F.lit(d.get(i, 1)) for i in range(65)]), F.col("ones") + 1) for k, d in (("first", first), ("parts", parts))}
-    tiles = unique.groupBy((of["first"] + F.pmod(F.xxhash64("fp"), of["parts"])).cast("int").alias("tile")).agg(F.collect_list(F.struct("fp", "node")).alias("rows"))
+    tiles = unique.groupBy((of["first"] + F.pmod(F.xxhash64("fp"), of["parts"])).cast("int").alias("tile")).agg(F.collect_list(F.struct("fp", "node", "more")).alias("rows"))
     tiles = tiles.join(F.broadcast(spark.createDataFrame(reach, "tile int, low int, high int")), "tile")
-    pairs = tiles.withColumn("other", F.explode(F.sequence("low", "high"))).select(F.least("tile", "other").alias("x"), F.greatest("tile", "other").alias("y"), F.col("rows.fp").alias("fps"), F.col("rows.node").alias("nodes"))
-    return pairs.groupBy("x", "y").applyInPandas(_forest(radius), "a long, b long")
+    pairs = tiles.withColumn("other", F.explode(F.sequence("low", "high"))).select(F.least("tile", "other").alias("x"), F.greatest("tile", "other").alias("y"), F.col("rows.fp").alias("fps"), F.col("rows.node").alias("nodes"), F.col("rows.more").alias("more"))
+    return pairs.groupBy("x", "y").applyInPandas(_forest(radius, total), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED) -> DataFrame:
@@ -159,9 +207,83 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, radius: int = RA
     return prints.join(bounded(groups), F.col("fp") == F.col("group_fp")).select("doc_id", "fp", "component_id")
 
 
+def _sets_near(similarity: float):
+    def near(pair: pd.DataFrame) -> pd.DataFrame:
+        """Rows of one or two tiles of a group, each with its set of shingles -> a spanning forest of the pairs as similar."""
+        first = (pair["tile"] == pair["x"]).to_numpy()
+        nodes = np.sort(pair["node"].to_numpy())
+        rank = np.searchsorted(nodes, pair["node"].to_numpy())
+        sets = [np.frombuffer(s, np.uint64) for s in pair["shingles"]]
+        sizes = np.array([len(s) for s in sets])
+        row = np.repeat(np.arange(len(sets)), sizes)
+        values, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        column = (np.cumsum(counts > 1) - 1)[inverse]
+        shared = (counts > 1)[inverse]
+        row, column = row[shared], column[shared]
+        left = np.flatnonzero(first)
+        right = left if first.all() else np.flatnonzero(~first)
+        common = np.zeros((len(left), len(right)))
+        for at in range(0, int(column.max()) + 1 if len(column) else 0, 4096):
+            here = (column >= at) & (column < at + 4096)
+            held = np.zeros((len(sets), 4096), np.float32)
+            held[row[here], column[here] - at] = 1
+            common += held[left] @ held[right].T
+        r, c = np.nonzero(common >= similarity * (sizes[left][:, None] + sizes[right][None] - common) - 1e-6)
+        parent = np.arange(len(nodes))
+        unite(parent, rank[left[r]], rank[right[c]])
+        return _tree(nodes, parent)
+
+    return near
+
+
+def similar_groups(docs: DataFrame, *, similarity: float = SIMILARITY, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """(doc_id, component_id): groups of texts whose sets of shingles have a Jaccard similarity of at least so much.
+
+    Texts of equal words are merged first. SimHashes of ``WIDE`` times 64 bits find candidates by the tiled comparison,
+    within a radius that such texts exceed with a chance of about one in a thousand; the groups of candidates are then
+    compared exactly, in tiles again, by their sets. Only texts in such a group have their sets made.
+    """
+    texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    cosine = 2 * similarity / (1 + similarity)
+    share = np.arccos(min(1.0, cosine)) / np.pi  # of bits in which two such texts differ, as expected
+    radius, total = (int(np.ceil(bits * share + 3 * np.sqrt(bits * share * (1 - share)))) for bits in (64, 64 * WIDE))
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch):
+                s = shingles(part.column("text"), shingle, seed)
+                prints = [majority(s.hashes if not k else mixed(s.hashes + np.uint64(k)), s.made) for k in range(WIDE)]
+                more = np.stack(prints[1:], axis=1)
+                keys = [xxhash.xxh3_128_digest(s.joined[a:b]) for a, b in s.spans]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(keys, pa.binary()), pa.array(prints[0].view(np.int64)), pa.array([m.tobytes() for m in more], pa.binary())], ["doc_id", "key", "fp", "more"])
+
+    def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch):
+                s = shingles(part.column("text"), shingle, seed)
+                ends = np.cumsum(s.made)
+                sets = [np.unique(s.hashes[e - n : e]).tobytes() for n, e in zip(s.made, ends, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("node"), part.column("component"), pa.array(sets, pa.binary())], ["node", "component", "shingles"])
+
+    prints = staged(texts.mapInArrow(made, "doc_id long, key binary, fp long, more binary"), "wide-fingerprints")
+    unique = staged(prints.groupBy("key").agg(F.min("doc_id").alias("node"), F.min("fp").alias("fp"), F.min("more").alias("more")), "unique-texts")
+    suspects = staged(components(near_links(unique.select("fp", "node", "more"), radius, total=total)), "suspects")
+    # a group's tiles hold SET_TILE sets each; a pair of them is a task
+    sizes = suspects.groupBy("component").agg(F.ceil(F.count("*") / SET_TILE).cast("int").alias("tiles"))
+    suspects = staged(suspects.join(bounded(sizes), "component"), "suspect-tiles")
+    sets = texts.join(bounded(suspects), F.col("doc_id") == F.col("node")).dropDuplicates(["node"]) if prints.groupBy("doc_id").count().filter("count > 1").take(1) else texts.join(bounded(suspects), F.col("doc_id") == F.col("node"))
+    sets = sets.select("text", "node", "component").mapInArrow(with_sets, "node long, component long, shingles binary")
+    sets = sets.join(bounded(sizes.withColumnRenamed("component", "of")), F.col("component") == F.col("of")).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    tasks = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("component", F.least("tile", "other").alias("x"), F.greatest("tile", "other").alias("y"), "tile", "node", "shingles")
+    links = tasks.groupBy("component", "x", "y").applyInPandas(_sets_near(similarity), "a long, b long")
+    groups = components(links)
+    groups = staged(unique.join(groups, "node", "left").select(F.col("key").alias("_key"), F.coalesce("component", "node").alias("component_id")), "text-groups")
+    return prints.join(bounded(groups), F.col("key") == F.col("_key")).select("doc_id", "component_id")
+
+
 def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """docs with one row of each group of near-duplicates, the one of the least id; rows without an id stay."""
-    groups = staged(near_duplicates(docs, **options), "near-duplicates")
+    """docs with one row of each group of similar texts, that of the least id; rows without an id stay."""
+    groups = staged(similar_groups(docs, **options), "near-duplicates")
     gone = staged(groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
     kept = docs.join(bounded(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
     if groups.groupBy("doc_id").count().filter("count > 1").take(1):  # rows that repeat an id
