@@ -33,13 +33,13 @@ from pyspark.sql import functions as F
 from siftwell.llm.common import staged
 from siftwell.llm.words import chunks
 
-TRAIN_ROWS, TRAIN_CHARS = 10_000, 60_000_000
+TRAIN_ROWS, TRAIN_CHARS = 8_000, 40_000_000
 PASSAGE = 24
 SIZES = (3, 4, 5, 6)
 SUBWORDS, DIMENSIONS, EPOCHS = 20_000, 8, 60
 LONGEST_WORD = 40
 _LETTERS = re.compile(r"[^\W\d_]+")
-_CACHED, _SLOTS = 300_000, 1 << 21
+_CACHED, _SLOTS = 300_000, 1 << 20
 
 
 def subwords(word: str) -> set[str]:
@@ -90,16 +90,17 @@ def _evidence(df: np.ndarray, bad: np.ndarray, words: list[str]) -> tuple[dict[s
         return np.abs(a - n * share) / np.sqrt(n * share * (1 - share) + 1)
 
     slots_n, slots_a = np.zeros(_SLOTS), np.zeros(_SLOTS)
-    for k in range(0, len(common), 20_000):
-        parts = [[crc32(p.encode()) % _SLOTS for p in subwords(words[w])] for w in common[k : k + 20_000]]
+    for k in range(0, len(common), 5_000):
+        parts = [[crc32(p.encode()) % _SLOTS for p in subwords(words[w])] for w in common[k : k + 5_000]]
         sizes, at = [len(p) for p in parts], np.concatenate(parts)
-        np.add.at(slots_n, at, np.repeat(df[common[k : k + 20_000]], sizes))
-        np.add.at(slots_a, at, np.repeat(bad[common[k : k + 20_000]], sizes))
-    open_slots = set(np.flatnonzero((far(slots_n, slots_a) > 3) & (slots_n >= 5)).tolist())
+        np.add.at(slots_n, at, np.repeat(df[common[k : k + 5_000]], sizes))
+        np.add.at(slots_a, at, np.repeat(bad[common[k : k + 5_000]], sizes))
+    open_slots = (far(slots_n, slots_a) > 3) & (slots_n >= 5)
+    del slots_n, slots_a
     counts: dict[str, list[float]] = {}
     for k in common:
         for part in subwords(words[k]):
-            if crc32(part.encode()) % _SLOTS in open_slots:
+            if open_slots[crc32(part.encode()) % _SLOTS]:
                 c = counts.setdefault(part, [0, 0])
                 c[0] += df[k]
                 c[1] += bad[k]
@@ -149,7 +150,8 @@ def train(rows: Iterable[tuple[str | None, int]], seed: int = 7) -> Model:
     document = np.repeat(np.arange(len(documents)), passages)
     at = np.concatenate([np.arange(len(d)) // PASSAGE for d in documents]) + np.repeat(np.cumsum(passages) - passages, [len(d) for d in documents])
     word = rank[np.concatenate(documents)]
-    at, word = at[word >= 0], word[word >= 0]
+    at, word = at[word >= 0].astype(np.int32), word[word >= 0].astype(np.int32)
+    del documents, parts, vocabulary, words, rank
     rng = np.random.default_rng(seed)
     vectors = rng.normal(0, 0.01, (len(rows_of), DIMENSIONS))
     vectors[:, 0] += odds
@@ -159,12 +161,17 @@ def train(rows: Iterable[tuple[str | None, int]], seed: int = 7) -> Model:
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (vectors, softmax, bias)]
     weights = np.where(y == 1, min(4.0, (1 - y).sum() / y.sum()), 1.0)
 
-    def spread(index: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-        return np.stack([np.bincount(index, values[:, d], n) for d in range(DIMENSIONS)], axis=1)
+    def spread(index: np.ndarray, rows: np.ndarray, take: np.ndarray, factor: np.ndarray | None, n: int) -> np.ndarray:
+        """Sums of rows[take] * factor by index, one dimension at a time to keep memory low."""
+        out = np.empty((n, DIMENSIONS))
+        for d in range(DIMENSIONS):
+            values = rows[take, d]
+            out[:, d] = np.bincount(index, values if factor is None else values * factor, n)
+        return out
 
     for step in range(1, EPOCHS + 1):
-        word_vectors = spread(of_word, vectors[of_part] * weight[:, None], len(told))
-        mean = spread(at, word_vectors[word], len(document)) / PASSAGE
+        word_vectors = spread(of_word, vectors, of_part, weight, len(told))
+        mean = spread(at, word_vectors, word, None, len(document)) / PASSAGE
         margin = mean @ (softmax[:, 1] - softmax[:, 0]) + bias[1] - bias[0]
         order = np.lexsort((margin, document))
         worst = order[np.cumsum(passages) - 1]
@@ -173,8 +180,8 @@ def train(rows: Iterable[tuple[str | None, int]], seed: int = 7) -> Model:
         to_logits[worst] = np.stack([-error, error], axis=1)
         to_mean = to_logits @ softmax.T / PASSAGE
         used = to_logits[at, 1] != 0
-        to_words = spread(word[used], to_mean[at[used]], len(told))
-        gradients = [spread(of_part, to_words[of_word] * weight[:, None], len(vectors)) + 1e-6 * vectors, mean.T @ to_logits + 1e-5 * softmax, to_logits.sum(axis=0)]
+        to_words = spread(word[used], to_mean, at[used], None, len(told))
+        gradients = [spread(of_part, to_words, of_word, weight, len(vectors)) + 1e-6 * vectors, mean.T @ to_logits + 1e-5 * softmax, to_logits.sum(axis=0)]
         for p, g, m in zip((vectors, softmax, bias), gradients, moments, strict=True):
             m[0] += 0.1 * (g - m[0])
             m[1] += 0.01 * (g * g - m[1])
