@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,6 +25,11 @@ STOP_WORDS = (
 )
 
 
+def bind(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with value evaluated once: what a lambda uses is otherwise evaluated again for each of its elements."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def empty_strings() -> Column:
     return F.array().cast("array<string>")
 
@@ -96,8 +103,7 @@ def content_words(text: Column) -> Column:
 
 def overlap(answer: Column, context: Column) -> Column:
     """Share of the answer's content words that the context has; 0 without any."""
-    own = content_words(answer)
-    return F.when(F.size(own) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(own, content_words(context))) / F.size(own))
+    return bind(content_words(answer), lambda own: F.when(F.size(own) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(own, content_words(context))) / F.size(own)))
 
 
 def span(text: Column, most: int) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.functions.text import tokens
+from siftwell.functions.text import bind, tokens
 
 DIMENSIONS = 64
 
@@ -20,14 +20,13 @@ def bucket(token: Column, dimensions: int = DIMENSIONS) -> Column:
 
 
 def unit(v: Column) -> Column:
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(norm == 0, v).otherwise(F.transform(v, lambda x: x / norm))
+    return bind(v, lambda v: bind(F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)), lambda norm: F.when(norm == 0, v).otherwise(F.transform(v, lambda x: x / norm))))
 
 
 def encoded(text: Column, dimensions: int = DIMENSIONS) -> Column:
     """Hashed counts of tokens at unit length: for short texts, as it goes over the tokens once for each dimension."""
-    held = F.transform(tokens(text), lambda t: bucket(t, dimensions))
-    return unit(F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda k: F.size(F.filter(held, lambda b: b == k)).cast("double")))
+    every = F.sequence(F.lit(0), F.lit(dimensions - 1))
+    return bind(F.transform(tokens(text), lambda t: bucket(t, dimensions)), lambda held: unit(F.transform(every, lambda k: F.size(F.filter(held, lambda b: b == k)).cast("double"))))
 
 
 def encode(df: DataFrame, key: str, text: str, dimensions: int = DIMENSIONS) -> DataFrame:

@@ -16,19 +16,22 @@ from siftwell.operators import guards
 Encoder = Callable[[Column], Column]
 
 
-def extracted(source: Column, query_vec: Column, score: Column, settings: Settings = DEFAULT, encoder: Encoder = encoded) -> Column:
-    """(answer, confidence, span_similarity) of the sentence of source nearest to the question, with the next if nearly as near; null if none is near enough."""
-    held = F.transform(T.sentences(source), lambda s: F.struct(F.round(dot(encoder(s), query_vec), 9).alias("sim"), s.alias("s")))
-    one = F.struct(score.cast("double").alias("sim"), F.lit(0).alias("at"), F.get(held, F.lit(0))["s"].alias("span"))
-    top = F.array_max(F.transform(held, lambda x, i: F.struct(x["sim"].alias("sim"), (-i).alias("at"))))
-    at = -top["at"]
-    following = F.get(held, at + 1)
-    joined = F.concat_ws(" ", F.get(held, at)["s"], following["s"])
-    near = (following["sim"] >= top["sim"] - settings.extractive_join) & (F.length(joined) <= settings.max_span_chars)
-    best = F.struct(top["sim"].alias("sim"), at.alias("at"), F.when(F.coalesce(near, F.lit(False)), joined).otherwise(F.get(held, at)["s"]).alias("span"))
-    chosen = F.when(F.size(held) == 1, one).when(top["sim"] >= settings.extractive_min_span, best)
-    found = F.struct(T.span(chosen["span"], settings.max_span_chars).alias("answer"), F.round(F.least(F.lit(1.0), (score + chosen["sim"]) / 2), 4).alias("confidence"), F.round(chosen["sim"], 4).alias("span_similarity"))
-    return F.when((score >= settings.extractive_min_score) & chosen.isNotNull(), found)
+def extract(rows: DataFrame, source: Column, query_vec: Column, score: Column, settings: Settings = DEFAULT, encoder: Encoder = encoded) -> DataFrame:
+    """rows with ``_found``: (answer, confidence, span_similarity) of the sentence of source nearest to the question, with the next if nearly as near; null if none is near enough.
+
+    Step by step in columns of their own, so that each sentence is encoded once; a source whose score is too low has no sentence encoded.
+    """
+    fit = score >= settings.extractive_min_score
+    rows = rows.withColumn("_sents", F.when(fit, T.sentences(source)).otherwise(T.empty_strings()))
+    rows = rows.withColumn("_sims", F.transform("_sents", lambda s: F.round(dot(encoder(s), query_vec), 9)))
+    rows = rows.withColumn("_at", F.array_position("_sims", F.array_max("_sims")).cast("int")).withColumn("_sim", F.array_max("_sims"))
+    first, following = F.get("_sents", F.col("_at") - 1), F.get("_sents", F.col("_at"))
+    near = (F.get("_sims", F.col("_at")) >= F.col("_sim") - settings.extractive_join) & (F.length(F.concat_ws(" ", first, following)) <= settings.max_span_chars)
+    alone = F.size("_sents") == 1
+    rows = rows.withColumn("_span", F.when(alone, first).when(F.col("_sim") >= settings.extractive_min_span, F.when(F.coalesce(near, F.lit(False)), F.concat_ws(" ", first, following)).otherwise(first)))
+    sim = F.when(alone, score.cast("double")).otherwise(F.col("_sim"))
+    found = F.struct(T.span(F.col("_span"), settings.max_span_chars).alias("answer"), F.round(F.least(F.lit(1.0), (score + sim) / 2), 4).alias("confidence"), F.round(sim, 4).alias("span_similarity"))
+    return rows.withColumn("_found", F.when(F.col("_span").isNotNull(), found)).drop("_sents", "_sims", "_at", "_sim", "_span")
 
 
 def verbatim(hits: Column, settings: Settings = DEFAULT) -> Column:
@@ -54,8 +57,8 @@ def route(questions: DataFrame, settings: Settings = DEFAULT, encoder: Encoder =
     source = F.coalesce(F.nullif(best["context"], F.lit("")), best["text"])
     unfit = F.col("_in.reason").isNotNull()
     lacking = ~unfit & ((F.size(hits) == 0) | (top < floor))
-    found = F.when(~unfit & ~lacking, extracted(source, F.col("query_vec"), top, settings, encoder))
-    rows = guarded.withColumn("_lacking", lacking).withColumn("_found", found).withColumn("_best", best)
+    rows = guarded.withColumn("_lacking", lacking).withColumn("_best", best).withColumn("_score", F.when(~unfit & ~lacking, top).otherwise(-1.0))
+    rows = extract(rows, source, F.col("query_vec"), F.col("_score"), settings, encoder)
     none = guards.citations(F.slice(hits, 1, 0), F.array().cast("array<int>"), settings)
 
     def record(df: DataFrame, *, answer: Column, cites: Column, confidence: Column, path: str, grounded: bool, refused: bool, reason: Column, provider: Column) -> DataFrame:
@@ -65,36 +68,48 @@ def route(questions: DataFrame, settings: Settings = DEFAULT, encoder: Encoder =
         return record(df, answer=guards.message(reason, F.col("lang")), cites=cites, confidence=F.lit(0.0), path="refused", grounded=False, refused=True, reason=reason, provider=F.lit(None))
 
     nothing = F.lit(None)
+    if complete is None:  # one pass: every row's record is an expression of it
+        plain = verbatim(hits, settings)
+        done = F.col("_found").isNotNull()
+        refused = unfit | F.col("_lacking")
+        reason = F.when(unfit, F.col("_in.reason")).when(F.col("_lacking"), F.lit("OUT_OF_CORPUS")).when(~done, plain["reason"])
+        return rows.select(
+            "query_id",
+            F.when(refused, guards.message(reason, F.col("lang"))).when(done, F.col("_found.answer")).otherwise(plain["answer"]).alias("answer"),
+            F.when(refused, none).when(done, guards.citations(F.array("_best"), F.array().cast("array<int>"), settings)).otherwise(plain["citations"]).alias("citations"),
+            F.when(refused, F.lit(0.0)).when(done, F.col("_found.confidence")).otherwise(plain["confidence"]).alias("confidence"),
+            F.when(refused, "refused").otherwise("extractive").alias("path"),
+            "lang",
+            (~refused).alias("grounded"),
+            refused.alias("refused"),
+            reason.alias("reason"),
+            F.when(~refused, F.when(done, "extractive").otherwise("passage-verbatim")).alias("provider"),
+        )
     out = [
         refuse(rows.filter(unfit), F.col("_in.reason")),
         record(rows.filter("_found is not null"), answer=F.col("_found.answer"), cites=guards.citations(F.array("_best"), F.array().cast("array<int>"), settings), confidence=F.col("_found.confidence"), path="extractive", grounded=True, refused=False, reason=nothing, provider=F.lit("extractive")),
     ]
     wanting, open_ = rows.filter("_lacking"), rows.filter(~unfit & ~F.col("_lacking") & F.col("_found").isNull())
-    if complete is None:
-        plain = verbatim(hits, settings)
-        out.append(refuse(wanting, F.lit("OUT_OF_CORPUS")))
-        out.append(record(open_, answer=plain["answer"], cites=plain["citations"], confidence=plain["confidence"], path="extractive", grounded=True, refused=False, reason=plain["reason"], provider=F.lit("passage-verbatim")))
+    ask = F.pandas_udf(complete, "string")
+    contexts = F.transform(F.slice(hits, 1, 5), lambda h: F.coalesce(F.nullif(h["context"], F.lit("")), h["text"]))
+    drafted = open_.withColumn("_contexts", contexts).withColumn("_raw", ask(T.prompt(F.col("query"), F.col("_contexts")))).withColumn("_reply", T.reply(F.col("_raw")))
+    failed, said = drafted.filter("_reply is null"), drafted.filter("_reply is not null")
+    plain = verbatim(hits, settings)
+    out.append(record(failed, answer=plain["answer"], cites=plain["citations"], confidence=plain["confidence"], path="extractive", grounded=True, refused=False, reason=plain["reason"], provider=F.lit("passage-verbatim")))
+    mute = T.stripped(F.col("_reply.answer")) == ""
+    kept = guards.supported(F.col("_reply.answer"), F.col("_contexts"), settings)["answer"]
+    spoken = guards.grounding(said.filter(~mute).withColumn("answer", kept).withColumn("contexts", F.col("_contexts")).withColumnRenamed("lang", "_lang"), settings).withColumnRenamed("_lang", "lang")
+    cites = guards.citations(hits, F.col("_reply.citations"), settings)
+    out.append(refuse(spoken.filter("reason is not null"), F.col("reason"), cites))
+    out.append(record(spoken.filter("reason is null"), answer=F.col("answer"), cites=cites, confidence=F.col("_reply.confidence"), path="generative", grounded=True, refused=False, reason=nothing, provider=F.lit("model")))
+    beyond = wanting.unionByName(said.filter(mute).select(*wanting.columns))
+    if general:
+        told = beyond.withColumn("_reply", T.reply(ask(F.concat(F.lit("Question: "), F.col("query")))))
+        silent = F.col("_reply").isNull() | (T.stripped(F.coalesce(F.col("_reply.answer"), F.lit(""))) == "")
+        out.append(refuse(told.filter(silent), F.lit("OUT_OF_CORPUS")))
+        out.append(record(told.filter(~silent), answer=T.stripped(F.col("_reply.answer")), cites=none, confidence=F.least(F.col("_reply.confidence"), F.lit(0.75)), path="general", grounded=False, refused=False, reason=F.lit("ANSWERED_FROM_GENERAL_KNOWLEDGE"), provider=F.lit("model")))
     else:
-        ask = F.pandas_udf(complete, "string")
-        contexts = F.transform(F.slice(hits, 1, 5), lambda h: F.coalesce(F.nullif(h["context"], F.lit("")), h["text"]))
-        drafted = open_.withColumn("_contexts", contexts).withColumn("_raw", ask(T.prompt(F.col("query"), F.col("_contexts")))).withColumn("_reply", T.reply(F.col("_raw")))
-        failed, said = drafted.filter("_reply is null"), drafted.filter("_reply is not null")
-        plain = verbatim(hits, settings)
-        out.append(record(failed, answer=plain["answer"], cites=plain["citations"], confidence=plain["confidence"], path="extractive", grounded=True, refused=False, reason=plain["reason"], provider=F.lit("passage-verbatim")))
-        mute = T.stripped(F.col("_reply.answer")) == ""
-        kept = guards.supported(F.col("_reply.answer"), F.col("_contexts"), settings)["answer"]
-        spoken = guards.grounding(said.filter(~mute).withColumn("answer", kept).withColumn("contexts", F.col("_contexts")).withColumnRenamed("lang", "_lang"), settings).withColumnRenamed("_lang", "lang")
-        cites = guards.citations(hits, F.col("_reply.citations"), settings)
-        out.append(refuse(spoken.filter("reason is not null"), F.col("reason"), cites))
-        out.append(record(spoken.filter("reason is null"), answer=F.col("answer"), cites=cites, confidence=F.col("_reply.confidence"), path="generative", grounded=True, refused=False, reason=nothing, provider=F.lit("model")))
-        beyond = wanting.unionByName(said.filter(mute).select(*wanting.columns))
-        if general:
-            told = beyond.withColumn("_reply", T.reply(ask(F.concat(F.lit("Question: "), F.col("query")))))
-            silent = F.col("_reply").isNull() | (T.stripped(F.coalesce(F.col("_reply.answer"), F.lit(""))) == "")
-            out.append(refuse(told.filter(silent), F.lit("OUT_OF_CORPUS")))
-            out.append(record(told.filter(~silent), answer=T.stripped(F.col("_reply.answer")), cites=none, confidence=F.least(F.col("_reply.confidence"), F.lit(0.75)), path="general", grounded=False, refused=False, reason=F.lit("ANSWERED_FROM_GENERAL_KNOWLEDGE"), provider=F.lit("model")))
-        else:
-            out.append(refuse(beyond, F.lit("OUT_OF_CORPUS")))
+        out.append(refuse(beyond, F.lit("OUT_OF_CORPUS")))
     result = out[0]
     for more in out[1:]:
         result = result.unionByName(more)

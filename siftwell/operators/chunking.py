@@ -9,21 +9,28 @@ from pyspark.sql import functions as F
 
 from siftwell.config import DEFAULT, Settings
 from siftwell.functions import text as T
-from siftwell.functions.vectors import encoded
+from siftwell.functions.vectors import dot, encoded
 
 
 def slices(text: Column, size: int) -> Column:
     """A text in windows of so many units."""
-    units = T.pieces(text)
-    cut = F.transform(F.sequence(F.lit(0), F.size(units) - 1, F.lit(size)), lambda i: T.window(units, i, size))
-    return F.when(F.size(units) <= size, F.array(text)).otherwise(F.filter(cut, lambda s: s != ""))
+
+    def cut(units: Column) -> Column:
+        windows = F.transform(F.sequence(F.lit(0), F.size(units) - 1, F.lit(size)), lambda i: T.window(units, i, size))
+        return F.when(F.size(units) <= size, F.array(text)).otherwise(F.filter(windows, lambda s: s != ""))
+
+    return T.bind(T.pieces(text), cut)
 
 
 def sliding(text: Column, size: int, overlap: int) -> Column:
     """Windows of size units, each starting size - overlap after the one before, up to the first that reaches the end."""
-    units, stride = T.pieces(text), max(1, size - overlap)
-    starts = F.sequence(F.lit(0), (F.ceil((F.size(units) - size) / stride) * stride).cast("int"), F.lit(stride))
-    return F.when(F.size(units) <= size, F.array(text)).otherwise(F.transform(starts, lambda i: T.window(units, i, size)))
+    stride = max(1, size - overlap)
+
+    def cut(units: Column) -> Column:
+        starts = F.sequence(F.lit(0), (F.ceil((F.size(units) - size) / stride) * stride).cast("int"), F.lit(stride))
+        return F.when(F.size(units) <= size, F.array(text)).otherwise(F.transform(starts, lambda i: T.window(units, i, size)))
+
+    return T.bind(T.pieces(text), cut)
 
 
 def pack(units: Column, budget: int, overlap: int) -> Column:
@@ -50,9 +57,8 @@ def pack(units: Column, budget: int, overlap: int) -> Column:
         return F.filter(open_, lambda x, i: total(F.slice(open_, i + 1, F.size(open_))) <= overlap)
 
     def step(state: Column, unit: Column) -> Column:
-        kept = tail(state["open"])
         cut = F.struct(F.concat(closed(state), slices(unit["u"], budget)).alias("done"), none.alias("open"), F.lit(0).alias("n"))
-        turned = F.struct(closed(state).alias("done"), F.array_append(kept, unit).alias("open"), (total(kept) + unit["n"]).alias("n"))
+        turned = T.bind(tail(state["open"]), lambda kept: F.struct(closed(state).alias("done"), F.array_append(kept, unit).alias("open"), (total(kept) + unit["n"]).alias("n")))
         grown = F.struct(state["done"].alias("done"), F.array_append(state["open"], unit).alias("open"), (state["n"] + unit["n"]).alias("n"))
         return F.when(unit["n"] > budget, cut).when((state["n"] + unit["n"] > budget) & (F.size(state["open"]) > 0), turned).otherwise(grown)
 
@@ -81,30 +87,32 @@ def script_sentences(text: Column) -> Column:
 
 def percentile_of(values: Column, percent: float) -> Column:
     """Percentile of an array's numbers, interpolated between neighbours."""
-    ordered, at = F.array_sort(values), (F.size(values) - 1) * (percent / 100.0)
-    low = F.element_at(ordered, F.floor(at).cast("int") + 1)
-    high = F.element_at(ordered, F.least(F.floor(at).cast("int") + 2, F.size(values)))
-    return low + (high - low) * (at - F.floor(at))
+    at = (F.size(values) - 1) * (percent / 100.0)
 
+    def between(ordered: Column) -> Column:
+        low, high = F.get(ordered, F.floor(at).cast("int")), F.get(ordered, F.least(F.floor(at).cast("int") + 1, F.size(values) - 1))
+        return low + (high - low) * (at - F.floor(at))
 
-def topic_runs(text: Column, most: int, percent: float, encoder: Callable[[Column], Column] = encoded) -> Column:
-    """Runs of sentences, cut where neighbours are further apart than that percentile of the text's own distances, or at most units."""
-    sents = T.sentences(text)
-    held = F.transform(sents, lambda s: F.struct(s.alias("s"), T.size_of(s).alias("n"), encoder(s).alias("v")))
-    apart = F.transform(F.slice(held, 2, F.greatest(F.size(held) - 1, F.lit(0))), lambda x, i: F.struct(x["s"].alias("s"), x["n"].alias("n"), (1.0 - F.aggregate(F.zip_with(F.get(held, i)["v"], x["v"], lambda a, b: a * b), F.lit(0.0), lambda t, y: t + y)).alias("d")))
-    start = F.struct(T.empty_strings().alias("done"), F.get(held, F.lit(0))["s"].alias("open"), F.get(held, F.lit(0))["n"].alias("n"))
+    return T.bind(F.array_sort(values), between)
 
-    def runs(rest: Column) -> Column:
-        limit = percentile_of(F.transform(rest, lambda x: x["d"]), percent)
 
-        def step(state: Column, x: Column) -> Column:
-            cut = F.struct(F.array_append(state["done"], state["open"]).alias("done"), x["s"].alias("open"), x["n"].alias("n"))
-            grown = F.struct(state["done"].alias("done"), F.concat_ws(" ", state["open"], x["s"]).alias("open"), (state["n"] + x["n"]).alias("n"))
-            return F.when((x["d"] > limit) | (state["n"] + x["n"] > most), cut).otherwise(grown)
+def with_topic_runs(rows: DataFrame, text: Column, most: int, percent: float, encoder: Callable[[Column], Column] = encoded) -> DataFrame:
+    """rows with ``_runs``: runs of sentences, cut where neighbours are further apart than that percentile of the text's own
+    distances, or at most units. Step by step in columns of their own, so that each sentence is encoded once."""
+    rows = rows.withColumn("_sents", T.sentences(text)).withColumn("_vecs", F.transform("_sents", lambda s: encoder(s)))
+    apart = F.transform(F.sequence(F.lit(1), F.size("_sents") - 1), lambda i: 1.0 - dot(F.get("_vecs", i - 1), F.get("_vecs", i)))
+    rows = rows.withColumn("_apart", F.when(F.size("_sents") >= 2, apart)).withColumn("_limit", percentile_of(F.col("_apart"), percent))
+    units = F.zip_with(F.slice("_sents", 2, F.greatest(F.size("_sents") - 1, F.lit(0))), "_apart", lambda s, d: F.struct(s.alias("s"), T.size_of(s).alias("n"), d.alias("d")))
+    first = F.get("_sents", F.lit(0))
+    start = F.struct(T.empty_strings().alias("done"), first.alias("open"), T.size_of(first).alias("n"))
 
-        return F.aggregate(rest, start, step, lambda s: F.array_append(s["done"], s["open"]))
+    def step(state: Column, x: Column) -> Column:
+        cut = F.struct(F.array_append(state["done"], state["open"]).alias("done"), x["s"].alias("open"), x["n"].alias("n"))
+        grown = F.struct(state["done"].alias("done"), F.concat_ws(" ", state["open"], x["s"]).alias("open"), (state["n"] + x["n"]).alias("n"))
+        return F.when((x["d"] > F.col("_limit")) | (state["n"] + x["n"] > most), cut).otherwise(grown)
 
-    return F.when(F.size(sents) < 2, F.array(text)).otherwise(runs(apart))
+    runs = F.aggregate(units, start, step, lambda s: F.array_append(s["done"], s["open"]))
+    return rows.withColumn("_runs", F.when(F.size("_sents") < 2, F.array(text)).otherwise(runs)).drop("_sents", "_vecs", "_apart", "_limit")
 
 
 def _parts(strategy: str, text: Column, settings: Settings) -> Column:
@@ -115,8 +123,6 @@ def _parts(strategy: str, text: Column, settings: Settings) -> Column:
         return sliding(text, size, overlap)
     if strategy == "recursive":
         return pack(descend(text, size), size, overlap)
-    if strategy == "semantic":
-        return topic_runs(text, size, settings.semantic_percentile)
     if strategy == "parent_child":
         children = pack(T.sentences(text), size, overlap)
         return F.when(F.size(children) == 0, F.array(text)).otherwise(children)
@@ -142,6 +148,9 @@ def chunk(passages: DataFrame, strategy: str, settings: Settings = DEFAULT, cust
     text = F.coalesce(F.col("text"), F.lit(""))
     if custom and strategy in custom:
         parts = custom[strategy](text)
+    elif strategy == "semantic":
+        passages = with_topic_runs(passages, text, settings.chunk_sizes[strategy][0], settings.semantic_percentile)
+        parts = F.col("_runs")
     elif strategy in settings.chunk_sizes:
         parts = _parts(strategy, text, settings)
     else:
@@ -150,4 +159,4 @@ def chunk(passages: DataFrame, strategy: str, settings: Settings = DEFAULT, cust
     context = T.stripped(text) if strategy == "parent_child" else F.col("_part")
     meta = F.create_map(F.lit("script"), T.detect_script(text)) if strategy == "indic_aware" else F.create_map().cast("map<string,string>")
     rows = rows.withColumn("chunk_id", F.concat_ws(":", F.lit(strategy), F.col("passage_id"), F.col("_i"))).withColumn("context", context).withColumn("meta", meta)
-    return rows.withColumn("text", F.col("_part")).drop("_i", "_part")
+    return rows.withColumn("text", F.col("_part")).drop("_i", "_part", "_runs")

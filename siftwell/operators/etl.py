@@ -81,4 +81,4 @@ def sampled(queries: DataFrame, n: int, seed: str, key: str, repeat_rate: float
         picks = queries.sparkSession.range(extra).select(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n - extra)).cast("int").alias("_k"), F.col("id").alias("_copy"))
         again = at.join(F.broadcast(picks), "_k").withColumn("_h", F.md5(F.concat_ws("|", F.lit(seed), F.col(key).cast("string"), F.col("_copy"))))
         first = first.unionByName(again.select(*first.columns))
-    return first.withColumn("position", F.row_number().over(Window.orderBy("_h", key))).drop("_h")
+    return first.withColumn("position", F.row_number().over(Window.orderBy("_h", key)).cast("long")).drop("_h")

@@ -49,4 +49,4 @@ def search(queries: DataFrame, docs: DataFrame, limit: int, settings: Settings =
 def ranked(df: DataFrame, by: list[str], order: Column, limit: int, tie: str = "id") -> DataFrame:
     """The first rows of each group with their rank from 1; groups are cut before and after the shuffle."""
     at = Window.partitionBy(*by).orderBy(order, F.col(tie))
-    return df.withColumn("rank", F.row_number().over(at)).filter(F.col("rank") <= limit)
+    return df.withColumn("rank", F.row_number().over(at)).filter(F.col("rank") <= limit).withColumn("rank", F.col("rank").cast("long"))

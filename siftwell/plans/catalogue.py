@@ -1,11 +1,321 @@
-"""Registered queries over the driver's tables, and their DuckDB equivalents."""
+"""Registered queries over the driver's tables, and their DuckDB equivalents (in the modules beside this one)."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siftwell.config import DEFAULT, Settings
+from siftwell.functions import text as T
+from siftwell.functions.vectors import dot, encode, encoded
+from siftwell.operators import answers, chunking, etl, evaluate, guards, index, retrieve
+from siftwell.plans import sql
+from siftwell.sources import files
+from siftwell.streaming import stateful
+
+FUSED = Settings(sparse_weight=0.15)
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents")
+
+
+def q_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _docs(spark, sf_dir).select("doc_id", T.normalized(F.col("text")).alias("norm")).filter(F.length("norm") >= DEFAULT.min_passage_chars)
+    return rows.select("doc_id", F.md5("norm").alias("norm_md5"), F.length("norm").cast("long").alias("chars"))
+
+
+def q_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = _docs(spark, sf_dir).select("doc_id", T.tokens(F.col("text")).alias("t"))
+    return held.select("doc_id", F.size("t").cast("long").alias("tokens"), F.size(F.array_distinct("t")).cast("long").alias("distinct_tokens"), F.md5(F.array_join("t", "|")).alias("tokens_md5"))
+
+
+def q_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = _docs(spark, sf_dir).select("doc_id", T.sentences(F.col("text")).alias("s"))
+    return held.select("doc_id", F.size("s").cast("long").alias("sentences"), F.md5(F.array_join("s", "|")).alias("sentences_md5"))
+
+
+def q_detect_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.detect_language(F.col("text")).alias("lang"))
+
+
+def q_detect_script(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", T.detect_script(F.col("text")).alias("script"))
+
+
+def q_span_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", T.span(F.col("text"), DEFAULT.max_span_chars).alias("span"))
+
+
+def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = F.col("doc_id").cast("string")
+    return _docs(spark, sf_dir).select(ids.alias("passage_id"), ids.alias("doc_id"), "text", "lang", F.lit(-1).cast("long").alias("query_id"))
+
+
+def _chunks(strategy: str) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        made = chunking.chunk(_passages(spark, sf_dir), strategy)
+        return made.select("chunk_id", "passage_id", "lang", F.md5("text").alias("text_md5"), T.size_of(F.col("text")).cast("long").alias("size"), F.md5("context").alias("context_md5"))
+
+    return query
+
+
+def q_chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.chunk_stats(chunking.chunk(_passages(spark, sf_dir), "sliding"), T.size_of(F.col("text")))
+
+
+def q_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = files.manifest(chunking.chunk(_passages(spark, sf_dir), "passage_native"), "passage_native", "hash-64", 64, "1970-01-01T00:00:00")
+    return made.select("strategy", "passages", "chunks", "model", "dim", F.array_join("langs", ",").alias("langs"), F.array_join(F.transform(F.map_entries("per_lang"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias("per_lang"), "built_at")
+
+
+def q_hash_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vecs = encode(_docs(spark, sf_dir), "doc_id", "text")
+    return vecs.select("doc_id", F.posexplode("vec").alias("dim", "x")).filter("x <> 0").select("doc_id", F.col("dim").cast("long").alias("dim"), F.round("x", 9).alias("x"))
+
+
+def _index_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "lang", "text")
+
+
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item as a question in every language that documents have."""
+    langs = _docs(spark, sf_dir).select("lang").distinct()
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text").join(F.broadcast(langs), F.lit(True))
+
+
+def q_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.search(_items(spark, sf_dir), _index_docs(spark, sf_dir), DEFAULT.top_k).select("query_id", "lang", "id", "score", "rank")
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("part"), F.col("embedding").alias("vec"))
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stated query set of searches: every vector whose id is divisible by 100."""
+    return _vectors(spark, sf_dir).filter(F.col("id") % 100 == 0).withColumnRenamed("id", "query_id")
+
+
+def q_dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieve.dense(_asked(spark, sf_dir), _vectors(spark, sf_dir), DEFAULT.top_k)
+
+
+def q_dense_all_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = _asked(spark, sf_dir).withColumn("part", F.when(F.col("query_id") % 200 == 0, F.lit("unknown")))
+    return retrieve.dense(asked, _vectors(spark, sf_dir), DEFAULT.top_k)
+
+
+def q_dense_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = _asked(spark, sf_dir).withColumn("part", F.when(F.col("query_id") % 200 == 0, F.lit("unknown")).otherwise(F.col("part")))
+    return retrieve.dense_strict(asked, _vectors(spark, sf_dir), DEFAULT.top_k)
+
+
+def _both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Dense and sparse hits of the items among English documents."""
+    docs = _index_docs(spark, sf_dir).filter("lang = 'en'")
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    asked = encode(items, "query_id", "text").withColumn("part", F.lit("en"))
+    found = retrieve.dense(asked, encode(docs, "id", "text").withColumn("part", F.lit("en")), DEFAULT.candidates)
+    sparse = index.search(items.withColumn("lang", F.lit("en")), docs, DEFAULT.candidates)
+    return found, sparse.select("query_id", "id", "score", "rank")
+
+
+def q_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieve.fuse(*_both(spark, sf_dir), DEFAULT.top_k, FUSED)
+
+
+def q_best_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = retrieve.dense(_asked(spark, sf_dir), _vectors(spark, sf_dir), 100).withColumn("passage_id", F.floor(F.col("id") / 5))
+    return retrieve.best_passages(hits)
+
+
+def q_best_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = retrieve.dense(_asked(spark, sf_dir), _vectors(spark, sf_dir), 10).withColumnRenamed("score", "dense_score")
+    return retrieve.best_hit(hits.filter("id <> query_id")).select("query_id", "id", "dense_score", "rank")
+
+
+def q_input_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").withColumn("g", guards.input_reason(F.col("text")))
+    return rows.select("conv_id", "turn", F.col("g.reason").alias("reason"), F.col("g.lang").alias("lang"), F.when(F.col("g.reason").isNotNull(), guards.message(F.col("g.reason"), F.col("g.lang"))).alias("message"))
+
+
+def q_relevance_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    hits = events.select(F.col("user_id").alias("query_id"), F.round(F.col("value") / (1 + F.abs("value")), 9).alias("dense_score"))
+    lang = F.element_at(F.array(F.lit("en"), F.lit("hi"), F.lit("xx")), (F.col("query_id") % 3 + 1).cast("int"))
+    queries = events.select(F.col("user_id").alias("query_id")).distinct().withColumn("lang", lang)
+    found = guards.relevance(queries, hits, Settings(min_margin=0.0005), {"en": 0.995, "hi": 0.99})
+    return found.withColumn("margin", F.round("margin", 9))
+
+
+def _replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn with the one before it as its context."""
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
+    before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("context"))
+    return turns.join(before, ["conv_id", "turn"]).select("conv_id", "turn", F.col("text").alias("answer"), F.array("context").alias("contexts"))
+
+
+def q_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return guards.grounding(_replies(spark, sf_dir)).select("conv_id", "turn", "overlap", "escalated", "reason")
+
+
+def q_citation_enforcement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _replies(spark, sf_dir).withColumn("s", guards.supported(F.col("answer"), F.col("contexts")))
+    return rows.select("conv_id", "turn", F.md5("s.answer").alias("answer_md5"), F.size("s.dropped").cast("long").alias("dropped"))
+
+
+def q_answer_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items answered by their best English chunk where it supports them, refused otherwise."""
+    chunks = chunking.chunk(_passages(spark, sf_dir).filter("lang = 'en'"), "passage_native")
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.lit("en").alias("lang"), F.col("text").alias("query"))
+    texts = chunks.select(F.col("chunk_id").alias("id"), "lang", "text")
+    top = index.search(items.withColumn("text", F.col("query")), texts, 1).select("query_id", "id", "score")
+    joined = items.join(top, "query_id", "left").join(texts.select("id", F.col("text").alias("chunk")), "id", "left")
+    overlap = F.round(T.overlap(F.col("query"), F.coalesce("chunk", F.lit(""))), 4)
+    judged = joined.withColumn("overlap", overlap).withColumn("refused", F.col("overlap") < DEFAULT.min_overlap)
+    reason = F.when(F.col("id").isNull(), "OUT_OF_CORPUS").when(F.col("refused"), "UNGROUNDED_OUTPUT")
+    answer = F.when(reason.isNull(), F.substring("chunk", 1, DEFAULT.citation_chars)).otherwise(guards.message(reason, F.lit("en")))
+    return judged.select("query_id", F.when(reason.isNull(), F.col("id")).alias("chunk_id"), "score", "overlap", F.when(reason.isNull(), "extractive").otherwise("refused").alias("path"), reason.alias("reason"), answer.alias("answer"))
+
+
+def _routable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir).filter("lang = 'en'")
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.lit("en").alias("lang"))
+    found = retrieve.fuse(*_both(spark, sf_dir), 5, FUSED)
+    text = docs.select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("l"))
+    doc = F.col("id").cast("string")
+    hit = F.struct("rank", F.concat_ws(":", F.lit("doc"), doc).alias("chunk_id"), doc.alias("passage_id"), "text", F.lit("").alias("context"), "dense_score", F.col("l").alias("lang"))
+    hits = found.join(text, "id").groupBy("query_id").agg(F.sort_array(F.collect_list(hit)).alias("hits"))  # five of each
+    return items.join(hits, "query_id", "left").withColumn("query_vec", encoded(F.col("query")))
+
+
+def q_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    settings = Settings(relevance_by_lang={"en": 0.75}, extractive_min_score=0.80, extractive_min_span=0.60)
+    return answers.route(_routable(spark, sf_dir), settings).withColumn("citations", F.size("citations"))
+
+
+def _relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, relevant): English documents that hold the first line of an item as a line or the start of one's sentence run."""
+    line = lambda c: F.filter(F.transform(F.split(c, "\n"), T.stripped), lambda s: F.length(s) >= 20)
+    docs = _docs(spark, sf_dir).filter("lang = 'en'").select("doc_id", F.explode(F.array_distinct(line(F.col("text")))).alias("line")).select("doc_id", F.md5("line").alias("line"))
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.get(line(F.col("text")), F.lit(0)).alias("line")).select("query_id", F.md5("line").alias("line"))
+    found = docs.join(F.broadcast(items), "line").groupBy("query_id").agg(F.sort_array(F.collect_set("doc_id")).alias("relevant"))
+    return items.select("query_id").join(found, "query_id", "left").withColumn("relevant", F.coalesce("relevant", F.array().cast("array<bigint>")))
+
+
+def q_scorable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    corpus = _docs(spark, sf_dir).filter(F.col("doc_id") % 7 != 0).select(F.col("doc_id").alias("id"))  # a corpus that lacks some
+    return evaluate.scorable(_relevant(spark, sf_dir), corpus).select("query_id", F.size("relevant").cast("long").alias("relevant"))
+
+
+def q_recall_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = _relevant(spark, sf_dir).filter(F.size("relevant") > 0)
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.lit("en").alias("lang"), "text")
+    hits = index.search(items, _index_docs(spark, sf_dir).filter("lang = 'en'"), 10)
+    return evaluate.averages(evaluate.by_query(asked, hits))
+
+
+def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents: length in thousands of characters as the score of quality."""
+    return _docs(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id").select("doc_id", "lang", (F.col("n_chars") / 4096.0).alias("score"), (F.col("quality") == 1).alias("positive"))
+
+
+def q_roc_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.sweep(_scores(spark, sf_dir)).select("threshold", *[F.round(c, 9).alias(c) for c in ("tpr", "fpr", "youden")])
+
+
+def q_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    curve = evaluate.sweep(_scores(spark, sf_dir), ["lang"])
+    return evaluate.choose(curve, ["lang"]).select("lang", "threshold", *[F.round(c, 9).alias(c) for c in ("tpr", "fpr", "youden")])
+
+
+def q_separation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.separation(_scores(spark, sf_dir), "lang")
+
+
+def q_score_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.summary(_scores(spark, sf_dir), ["positive"], (0.05, 0.5, 0.95))
+
+
+def q_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.latency(table(spark, sf_dir, "events"), F.col("value"))
+
+
+def q_latency_by_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.latency(table(spark, sf_dir, "events"), F.col("value"), ["event_type"])
+
+
+def q_path_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.shares(table(spark, sf_dir, "events"), "event_type")
+
+
+def q_stage_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.array(*[F.lit(s) for s in ("guard_input", "embed", "retrieve", "extract", "generate")])
+    stage = F.element_at(names, (F.col("event_id") % 5 + 1).cast("int"))
+    spans = table(spark, sf_dir, "events").select(F.col("user_id").alias("request_id"), stage.alias("stage"), F.round(F.col("value"), 4).alias("ms"))
+    out = evaluate.stage_sums(spans)
+    return out.select("request_id", F.array_join(F.map_keys("stages"), ",").alias("stages"), F.round("core_ms", 3).alias("core_ms"), F.round("total_ms", 3).alias("total_ms"), "within_budget")
+
+
+def q_lang_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.counts(_docs(spark, sf_dir))
+
+
+def q_corpus_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _docs(spark, sf_dir).select("doc_id", "lang", F.regexp_count("text", F.lit("\n")).alias("size"))
+    n = 2000
+    return etl.capped(rows, n, order=["doc_id"], size=F.col("size")).select("doc_id", "lang")
+
+
+def q_stratified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return etl.stratified(_docs(spark, sf_dir).select("doc_id", "lang"), 100, order="doc_id")
+
+
+def q_query_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return etl.sampled(table(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", F.concat_ws(":", "conv_id", "turn").alias("key")), 50, "13", "key").select("key", "position")
+
+
+def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in the shape of a parallel corpus: lines are passages, every third is selected."""
+    lines = F.split("text", "\n")
+    chosen = F.transform(F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(1))), lambda x, i: F.when((i + F.col("doc_id")) % 3 == 0, 1).otherwise(0).cast("int"))
+    line = F.get(lines, F.lit(0))
+    return _docs(spark, sf_dir).select(F.col("doc_id").alias("ordinal"), (F.col("doc_id") % 700).alias("query_id"), line.alias("query"), F.when(F.col("doc_id") % 11 == 0, "").otherwise(line).alias("Eng_Query"), line.alias("Answer"), line.alias("Eng_Answer"), F.struct(chosen.alias("is_selected"), lines.alias("English_passages"), lines.alias("Translated_passages")).alias("passages"), F.when(F.col("lang") == "en", "hi").otherwise(F.col("lang")).alias("target_lang"), F.lit("x").alias("query_type"))
+
+
+def q_corpus_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made, _ = etl.build(_raw(spark, sf_dir), F.col("ordinal") % 2 == 0, 300)
+    return made.select("passage_id", "doc_id", "lang", "query_id", "is_selected", F.md5("text").alias("text_md5"))
+
+
+def q_corpus_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, made = etl.build(_raw(spark, sf_dir), F.col("ordinal") % 2 == 0, 300)
+    return made.select("query_id", "lang", F.md5("query").alias("query_md5"), F.array_join("relevant", ",").alias("relevant"))
+
+
+def q_cache_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").filter("role = 'user'")
+    events = turns.select((F.col("conv_id") % 16).alias("key"), (F.col("conv_id") * 1000 + F.col("turn")).alias("event_id"), encoded(F.col("text")).alias("vec"), T.detect_language(F.col("text")).alias("lang"), (F.col("conv_id") * 10.0).alias("at"))
+    return stateful.cache_replay(events)
+
+
+def q_breaker_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), "event_id", (F.col("event_id") % 3 == 0).alias("ok"), F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("at"))
+    return stateful.breaker_replay(events.withColumn("at", F.col("at") / 1e6))
+
+
+def queries() -> dict[str, Query]:
+    named = {name: f for name, f in globals().items() if name.startswith("q_")}
+    return named | {f"q_chunk_{s}": _chunks(s) for s in chunking.STRATEGIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(sql.ORACLES)
