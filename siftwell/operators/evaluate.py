@@ -21,7 +21,7 @@ def by_query(queries: DataFrame, hits: DataFrame, ks: tuple[int, ...] = (1, 5, 1
     wanted = queries.select("query_id", F.array_distinct("relevant").alias("relevant"))
     found = wanted.select("query_id", F.explode("relevant").alias("id")).join(hits.filter(F.col("rank") <= most), ["query_id", "id"]).groupBy("query_id").agg(F.min("rank").alias("first"), *[F.sum((F.col("rank") <= k).cast("int")).alias(f"n{k}") for k in ks])
     joined = wanted.join(found, "query_id", "left")
-    return joined.select("query_id", *[(F.coalesce(F.col(f"n{k}"), F.lit(0)) / F.size("relevant")).alias(f"recall_at_{k}") for k in ks], F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("rr"))
+    return joined.select("query_id", *[F.try_divide(F.coalesce(F.col(f"n{k}"), F.lit(0)), F.size("relevant")).alias(f"recall_at_{k}") for k in ks], F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("rr"))
 
 
 def averages(per_query: DataFrame, by: list[str] | None = None, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
@@ -33,7 +33,7 @@ def averages(per_query: DataFrame, by: list[str] | None = None, ks: tuple[int, .
 def sweep(scores: DataFrame, by: list[str] | None = None, digits: int = 3) -> DataFrame:
     """scores (score, positive) -> a row for each distinct rounded score: threshold, tpr, fpr, youden.
 
-    Shares of raw scores at or over each threshold. Counts by score are summed from the top, so the work is that of a sort
+    Shares of raw scores at or over each threshold; null where a group has no row of a kind. Counts by score are summed from the top, so the work is that of a sort
     of the distinct scores and no pair of score and threshold is made.
     """
     by = by or []
@@ -43,7 +43,7 @@ def sweep(scores: DataFrame, by: list[str] | None = None, digits: int = 3) -> Da
     down = Window.partitionBy(*by).orderBy(F.col("score").desc()).rangeBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*by)
     totals = both.withColumn("tp", F.sum("p").over(down)).withColumn("fp", F.sum("n").over(down)).withColumn("np", F.sum("p").over(whole)).withColumn("nn", F.sum("n").over(whole))
-    shares = totals.filter("mark").select(*by, F.col("score").alias("threshold"), (F.col("tp") / F.col("np")).alias("tpr"), (F.col("fp") / F.col("nn")).alias("fpr"))
+    shares = totals.filter("mark").select(*by, F.col("score").alias("threshold"), F.try_divide("tp", "np").alias("tpr"), F.try_divide("fp", "nn").alias("fpr"))
     return shares.withColumn("youden", F.col("tpr") - F.col("fpr"))
 
 
@@ -103,4 +103,4 @@ def chunk_stats(chunks: DataFrame, size: Column, first: int = 4000) -> DataFrame
     """chunks (chunk_id, passage_id): how many, how many a passage, and sizes over the first in order of id."""
     sample = chunks.orderBy("chunk_id").limit(first).select(size.alias("s")).agg(F.round(F.avg("s"), 6).alias("mean_size"), F.round(F.percentile("s", F.lit(0.95)), 6).alias("p95_size"))
     counts = chunks.agg(F.count("*").alias("chunks"), F.countDistinct("passage_id").alias("passages"))
-    return counts.crossJoin(sample).withColumn("chunks_per_passage", F.round(F.col("chunks") / F.col("passages"), 6))
+    return counts.crossJoin(sample).withColumn("chunks_per_passage", F.round(F.try_divide("chunks", "passages"), 6))
