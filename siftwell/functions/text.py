@@ -64,21 +64,29 @@ def letters(text: Column, block: str) -> Column:
 
 def detect_language(text: Column) -> Column:
     """hi, gu, en or other, by the script of most letters; ties in that order; en without letters."""
-    hi, gu, en = letters(text, DEVANAGARI), letters(text, GUJARATI), letters(text, r"\x{0000}-\x{024F}")
-    other = letters(text, r"\x{0000}-\x{10FFFF}") - hi - gu - en
-    # the order among equals is hi, gu, en, other
-    top = F.greatest(hi, gu, en, other)
-    return F.when(top == 0, "en").when(hi == top, "hi").when(gu == top, "gu").when(en == top, "en").otherwise("other")
+    counts = F.array(letters(text, DEVANAGARI), letters(text, GUJARATI), letters(text, r"\x{0000}-\x{024F}"), letters(text, r"\x{0000}-\x{10FFFF}"))
+
+    def named(c: Column) -> Column:
+        hi, gu, en = (F.get(c, F.lit(k)) for k in range(3))
+        other = F.get(c, F.lit(3)) - hi - gu - en
+        top = F.greatest(hi, gu, en, other)
+        return F.when(top == 0, "en").when(hi == top, "hi").when(gu == top, "gu").when(en == top, "en").otherwise("other")
+
+    return bind(counts, named)
 
 
 def detect_script(text: Column, share: float = 0.75) -> Column:
     """Devanagari, Gujarati or Latin where it has that share of these letters, else Mixed; Unknown without any."""
-    counts = {"Devanagari": letters(text, DEVANAGARI), "Gujarati": letters(text, GUJARATI), "Latin": letters(text, r"\p{IsLatin}")}
-    total = sum(counts.values(), F.lit(0))
-    out = F.when(total == 0, "Unknown")
-    for name, count in counts.items():
-        out = out.when(count / total >= share, name)
-    return out.otherwise("Mixed")
+    names = ("Devanagari", "Gujarati", "Latin")
+
+    def named(counts: Column) -> Column:
+        total = F.aggregate(counts, F.lit(0), lambda s, x: s + x)
+        out = F.when(total == 0, "Unknown")
+        for k, name in enumerate(names):
+            out = out.when(F.get(counts, F.lit(k)) / total >= share, name)
+        return out.otherwise("Mixed")
+
+    return bind(F.array(letters(text, DEVANAGARI), letters(text, GUJARATI), letters(text, r"\p{IsLatin}")), named)
 
 
 def pieces(text: Column) -> Column:

@@ -80,9 +80,11 @@ def descend(text: Column, budget: int) -> Column:
 
 def script_sentences(text: Column) -> Column:
     """Sentences by the rules of the text's script; the text itself without any."""
-    script = T.detect_script(text)
-    found = F.when(script.isin("Devanagari", "Gujarati"), T.split_at(text, T.SENTENCE_END_INDIC)).when(script == "Latin", T.split_at(text, T.SENTENCE_END_LATIN)).otherwise(T.split_at(text, T.SENTENCE_END_MIXED))
-    return F.when(F.size(found) == 0, F.array(text)).otherwise(found)
+
+    def split(script: Column) -> Column:
+        return F.when(script.isin("Devanagari", "Gujarati"), T.split_at(text, T.SENTENCE_END_INDIC)).when(script == "Latin", T.split_at(text, T.SENTENCE_END_LATIN)).otherwise(T.split_at(text, T.SENTENCE_END_MIXED))
+
+    return T.bind(T.bind(T.detect_script(text), split), lambda found: F.when(F.size(found) == 0, F.array(text)).otherwise(found))
 
 
 def percentile_of(values: Column, percent: float) -> Column:
@@ -124,8 +126,7 @@ def _parts(strategy: str, text: Column, settings: Settings) -> Column:
     if strategy == "recursive":
         return pack(descend(text, size), size, overlap)
     if strategy == "parent_child":
-        children = pack(T.sentences(text), size, overlap)
-        return F.when(F.size(children) == 0, F.array(text)).otherwise(children)
+        return T.bind(pack(T.sentences(text), size, overlap), lambda children: F.when(F.size(children) == 0, F.array(text)).otherwise(children))
     return pack(script_sentences(text), size, overlap)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siftwell.config import DEFAULT, Settings
 from siftwell.functions.text import tokens
-from siftwell.operators.joins import sized
+from siftwell.operators.joins import few
 
 
 def lengths(docs: DataFrame) -> DataFrame:
@@ -31,18 +31,19 @@ def idf(held: DataFrame, stats: DataFrame, settings: Settings = DEFAULT) -> Data
 def search(queries: DataFrame, docs: DataFrame, limit: int, settings: Settings = DEFAULT) -> DataFrame:
     """queries (query_id, lang, text) x docs (id, lang, text) -> (query_id, lang, id, score, rank), the best of the query's language.
 
-    Only postings of the queries' terms are made: the terms are broadcast if few. A term said twice counts twice. Scores
-    are rounded to 6 places, ties go by id, and after the cut what scores 0 or less is dropped.
+    Only postings of the queries' terms are made. What is said of these terms has at most as many rows as the queries have
+    terms; that number is measured once and decides for all the joins. A term said twice counts twice. Scores are rounded to 6 places, ties go by id, and after the cut what scores 0 or less is dropped.
     """
     held = lengths(docs)
     stats = language_stats(held)
     asked = queries.select("query_id", "lang", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "lang", "term").agg(F.count("*").alias("times"))
+    small = F.broadcast if few(asked) else lambda df: df
     terms = asked.select("lang", "term").distinct()
-    weights = idf(held, stats, settings).join(sized(terms), ["lang", "term"], "left_semi")
-    postings = held.select("id", "lang", "dl", F.explode("terms").alias("term")).join(sized(terms), ["lang", "term"], "left_semi").groupBy("lang", "id", "dl", "term").agg(F.count("*").alias("tf"))
+    weights = idf(held, stats, settings).join(small(terms), ["lang", "term"], "left_semi")
+    postings = held.select("id", "lang", "dl", F.explode("terms").alias("term")).join(small(terms), ["lang", "term"], "left_semi").groupBy("lang", "id", "dl", "term").agg(F.count("*").alias("tf"))
     k1, b, tf = settings.k1, settings.b, F.col("tf")
-    hits = postings.join(F.broadcast(stats), "lang").join(sized(weights), ["lang", "term"]).withColumn("part", F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))))
-    scored = hits.select("lang", "term", "id", "part").join(sized(asked), ["lang", "term"]).groupBy("query_id", "lang", "id").agg(F.round(F.sum(F.col("times") * F.col("part")), 6).alias("score"))
+    hits = postings.join(F.broadcast(stats), "lang").join(small(weights), ["lang", "term"]).withColumn("part", F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))))
+    scored = hits.select("lang", "term", "id", "part").join(small(asked), ["lang", "term"]).groupBy("query_id", "lang", "id").agg(F.round(F.sum(F.col("times") * F.col("part")), 6).alias("score"))
     return ranked(scored, ["query_id", "lang"], F.col("score").desc(), limit).filter("score > 0")
 
 

@@ -6,7 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def few(df: DataFrame, rows: int = 200_000) -> bool:
+    """Whether df has at most so many rows; reads no more than that."""
+    return bool(df.limit(rows + 1).select(F.lit(1)).agg(F.count("*").alias("n")).filter(F.col("n") <= rows).take(1))
+
+
 def sized(df: DataFrame, rows: int = 200_000) -> DataFrame:
     """df with a broadcast hint if it has at most so many rows; otherwise df, and the join shuffles."""
-    few = df.limit(rows + 1).select(F.lit(1)).agg(F.count("*").alias("n")).filter(F.col("n") <= rows)
-    return F.broadcast(df) if few.take(1) else df
+    return F.broadcast(df) if few(df, rows) else df

@@ -11,19 +11,26 @@ from pyspark.sql import functions as F
 from siftwell.config import DEFAULT, Settings
 from siftwell.functions.vectors import dot
 from siftwell.operators.index import ranked
-from siftwell.operators.joins import sized
+from siftwell.operators.joins import few, sized
 
 
-def dense(queries: DataFrame, vectors: DataFrame, limit: int) -> DataFrame:
+def dense(queries: DataFrame, vectors: DataFrame, limit: int, known: list[str] | None = None) -> DataFrame:
     """queries (query_id, part, vec) x vectors (id, part, vec) -> (query_id, id, score, rank) by inner product.
 
     A query of a part that vectors have is compared within it; one without part, or of an unknown one, with all.
+    known: the parts, if they are known beforehand; else they are looked up in vectors.
     """
-    parts = vectors.select(F.col("part").alias("_known")).distinct()
-    asked = queries.join(sized(parts), F.col("part") == F.col("_known"), "left").select("query_id", F.col("_known").alias("_part"), F.col("vec").alias("_q"))
-    within = vectors.join(sized(asked.filter("_part is not null"), 20_000), F.col("part") == F.col("_part"))
-    anywhere = vectors.crossJoin(sized(asked.filter("_part is null"), 20_000))  # a stated set of queries against all rows
-    scored = within.unionByName(anywhere).select("query_id", "id", F.round(dot(F.col("_q"), F.col("vec")), 9).alias("score"))
+    if known is None:
+        parts = sized(vectors.select(F.col("part").alias("_known")).distinct())
+        asked = queries.join(parts, F.col("part") == F.col("_known"), "left").select("query_id", F.col("_known").alias("_part"), F.col("vec").alias("_q"))
+    else:
+        asked = queries.select("query_id", F.when(F.col("part").isin(*known), F.col("part")).alias("_part"), F.col("vec").alias("_q"))
+    small = F.broadcast if few(queries, 20_000) else lambda df: df
+    found = vectors.join(small(asked.filter("_part is not null")), F.col("part") == F.col("_part"))
+    lost = asked.filter("_part is null")
+    if lost.take(1):  # a stated set of queries against all rows
+        found = found.unionByName(vectors.crossJoin(small(lost)))
+    scored = found.select("query_id", "id", F.round(dot(F.col("_q"), F.col("vec")), 9).alias("score"))
     return ranked(scored, ["query_id"], F.col("score").desc(), limit)
 
 

@@ -123,7 +123,7 @@ def _both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = _index_docs(spark, sf_dir).filter("lang = 'en'")
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     asked = encode(items, "query_id", "text").withColumn("part", F.lit("en"))
-    found = retrieve.dense(asked, encode(docs, "id", "text").withColumn("part", F.lit("en")), DEFAULT.candidates)
+    found = retrieve.dense(asked, encode(docs, "id", "text").withColumn("part", F.lit("en")), DEFAULT.candidates, ["en"])
     sparse = index.search(items.withColumn("lang", F.lit("en")), docs, DEFAULT.candidates)
     return found, sparse.select("query_id", "id", "score", "rank")
 
