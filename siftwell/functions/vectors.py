@@ -31,6 +31,6 @@ def encoded(text: Column, dimensions: int = DIMENSIONS) -> Column:
 
 def encode(df: DataFrame, key: str, text: str, dimensions: int = DIMENSIONS) -> DataFrame:
     """(key, vec) for every row of df with a token, keys being unique: tokens are counted by key before the shuffle."""
-    one = df.select(key, F.explode(tokens(F.col(text))).alias("_t")).select(key, bucket(F.col("_t"), dimensions).alias("_b"))
+    one = df.select(key, F.explode_outer(tokens(F.col(text))).alias("_t")).filter("_t is not null").select(key, bucket(F.col("_t"), dimensions).alias("_b"))
     counts = one.groupBy(key).agg(*[F.sum((F.col("_b") == k).cast("double")).alias(f"_{k}") for k in range(dimensions)])
     return counts.select(key, unit(F.array(*[F.col(f"_{k}") for k in range(dimensions)])).alias("vec"))

@@ -156,8 +156,11 @@ def chunk(passages: DataFrame, strategy: str, settings: Settings = DEFAULT, cust
         parts = _parts(strategy, text, settings)
     else:
         raise ValueError(f"no chunking strategy {strategy!r}; there are {', '.join([*settings.chunk_sizes, *(custom or {})])}")
-    rows = passages.select("*", F.posexplode(limited(parts, settings)).alias("_i", "_part"))
-    context = T.stripped(text) if strategy == "parent_child" else F.col("_part")
-    meta = F.create_map(F.lit("script"), T.detect_script(text)) if strategy == "indic_aware" else F.create_map().cast("map<string,string>")
+    whole = T.stripped(text) if strategy == "parent_child" else F.lit(None).cast("string")
+    script = T.detect_script(text) if strategy == "indic_aware" else F.lit(None).cast("string")
+    # the outer form, as the inner one has the parts evaluated twice; what holds for a passage is evaluated once for it
+    rows = passages.withColumn("_whole", whole).withColumn("_script", script).select("*", F.posexplode_outer(limited(parts, settings)).alias("_i", "_part")).filter("_part is not null")
+    context = F.coalesce("_whole", "_part")
+    meta = F.create_map(F.lit("script"), F.col("_script")) if strategy == "indic_aware" else F.create_map().cast("map<string,string>")
     rows = rows.withColumn("chunk_id", F.concat_ws(":", F.lit(strategy), F.col("passage_id"), F.col("_i"))).withColumn("context", context).withColumn("meta", meta)
-    return rows.withColumn("text", F.col("_part")).drop("_i", "_part", "_runs")
+    return rows.withColumn("text", F.col("_part")).drop("_i", "_part", "_runs", "_whole", "_script")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siftwell.config import DEFAULT, Settings
 from siftwell.functions.text import tokens
-from siftwell.operators.joins import few
+from siftwell.operators.joins import exploded, few
 
 
 def lengths(docs: DataFrame) -> DataFrame:
@@ -22,7 +22,7 @@ def language_stats(held: DataFrame) -> DataFrame:
 
 def idf(held: DataFrame, stats: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """(lang, term, idf): a negative value is replaced by a share of the language's mean. Each document counts a term once, before any shuffle."""
-    df = held.select("lang", F.explode(F.array_distinct("terms")).alias("term")).groupBy("lang", "term").agg(F.count("*").alias("df"))
+    df = exploded(held, ["lang"], F.array_distinct("terms"), "term").groupBy("lang", "term").agg(F.count("*").alias("df"))
     raw = df.join(F.broadcast(stats), "lang").select("lang", "term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.groupBy("lang").agg(F.avg("raw").alias("mean"))  # a row for each language
     return raw.join(F.broadcast(mean), "lang").select("lang", "term", F.when(F.col("raw") < 0, settings.epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
@@ -36,11 +36,11 @@ def search(queries: DataFrame, docs: DataFrame, limit: int, settings: Settings =
     """
     held = lengths(docs)
     stats = language_stats(held)
-    asked = queries.select("query_id", "lang", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "lang", "term").agg(F.count("*").alias("times"))
+    asked = exploded(queries, ["query_id", "lang"], tokens(F.col("text")), "term").groupBy("query_id", "lang", "term").agg(F.count("*").alias("times"))
     small = F.broadcast if few(asked) else lambda df: df
     terms = asked.select("lang", "term").distinct()
     weights = idf(held, stats, settings).join(small(terms), ["lang", "term"], "left_semi")
-    postings = held.select("id", "lang", "dl", F.explode("terms").alias("term")).join(small(terms), ["lang", "term"], "left_semi").groupBy("lang", "id", "dl", "term").agg(F.count("*").alias("tf"))
+    postings = exploded(held, ["id", "lang", "dl"], F.col("terms"), "term").join(small(terms), ["lang", "term"], "left_semi").groupBy("lang", "id", "dl", "term").agg(F.count("*").alias("tf"))
     k1, b, tf = settings.k1, settings.b, F.col("tf")
     hits = postings.join(F.broadcast(stats), "lang").join(small(weights), ["lang", "term"]).withColumn("part", F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))))
     scored = hits.select("lang", "term", "id", "part").join(small(asked), ["lang", "term"]).groupBy("query_id", "lang", "id").agg(F.round(F.sum(F.col("times") * F.col("part")), 6).alias("score"))
