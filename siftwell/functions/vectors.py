@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,3 +38,34 @@ def encode(df: DataFrame, key: str, text: str, dimensions: int = DIMENSIONS) ->
     one = df.select(key, F.explode_outer(tokens(F.col(text))).alias("_t")).filter("_t is not null").select(key, bucket(F.col("_t"), dimensions).alias("_b"))
     counts = one.groupBy(key).agg(*[F.sum((F.col("_b") == k).cast("double")).alias(f"_{k}") for k in range(dimensions)])
     return counts.select(key, unit(F.array(*[F.col(f"_{k}") for k in range(dimensions)])).alias("vec"))
+
+
+#: What a sentence encoder expects before a question and before a passage.
+PREFIX = {"query": "query: ", "passage": "passage: "}
+_LOADED: dict[str, Callable[[list[str]], np.ndarray]] = {}
+
+
+def loaded(name: str, load: Callable[[], Callable[[list[str]], np.ndarray]]) -> Callable[[list[str]], np.ndarray]:
+    """The model of that name in this process, loaded when first asked for."""
+    if name not in _LOADED:
+        _LOADED[name] = load()
+    return _LOADED[name]
+
+
+def encode_with(df: DataFrame, key: str, text: str, name: str, load: Callable[[], Callable[[list[str]], np.ndarray]], kind: str = "passage", batch: int = 64) -> DataFrame:
+    """(key, vec) by a model: load() gives, once a worker, a function from a list of texts to an array of vectors.
+
+    Texts are prefixed by their kind and go to it in batches; vectors come out at unit length in single precision.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = loaded(name, load)
+        for frame in frames:
+            texts = [PREFIX[kind] + (t or "") for t in frame[text]]
+            parts = [np.asarray(model(texts[i : i + batch]), np.float32) for i in range(0, len(texts), batch)]
+            if parts:
+                vecs = np.concatenate(parts)
+                norms = np.linalg.norm(vecs, axis=1, keepdims=True)
+                yield pd.DataFrame({key: frame[key], "vec": list(vecs / np.where(norms == 0, 1, norms))})
+
+    return df.select(key, text).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, vec array<float>")

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -164,3 +165,14 @@ def chunk(passages: DataFrame, strategy: str, settings: Settings = DEFAULT, cust
     meta = F.create_map(F.lit("script"), F.col("_script")) if strategy == "indic_aware" else F.create_map().cast("map<string,string>")
     rows = rows.withColumn("chunk_id", F.concat_ws(":", F.lit(strategy), F.col("passage_id"), F.col("_i"))).withColumn("context", context).withColumn("meta", meta)
     return rows.withColumn("text", F.col("_part")).drop("_i", "_part", "_runs", "_whole", "_script")
+
+
+def chunk_with(passages: DataFrame, name: str, split: Callable[[str], Iterable[str]], settings: Settings = DEFAULT) -> DataFrame:
+    """As chunk(), with a chunker in Python: split(text) gives the parts. It runs as an Arrow-batched function."""
+
+    @F.pandas_udf("array<string>")
+    def parts(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: list(split(t)))
+
+    cut = passages.withColumn("_parts", parts(F.coalesce("text", F.lit(""))))
+    return chunk(cut, name, settings, {name: lambda _: F.col("_parts")}).drop("_parts")

@@ -69,6 +69,24 @@ def separation(scores: DataFrame, by: str, least_positive: int = 20, least_negat
     return held.select(by, "n_pos", "n_neg", *[F.round(c, 6).alias(c) for c in ("in_mean", "in_p10", "ood_mean", "ood_p90", "separation")])
 
 
+def support_pairs(queries: DataFrame, passages: DataFrame, seed: str) -> DataFrame:
+    """queries (query_id, answer, relevant), passages (passage_id, text) -> (query_id, answer, text, positive): each answer with
+    its first relevant passage, and with one picked by a seeded hash, which may be the same. The input of a grounding sweep.
+
+    The pick is an equi-join: passages are numbered by ranges of the hash, and a query takes the first one at or after its own.
+    """
+    slots = 1 << 20
+    gold = queries.select("query_id", "answer", F.get("relevant", F.lit(0)).alias("passage_id")).join(passages, "passage_id").select("query_id", "answer", "text", F.lit(True).alias("positive"))
+    held = passages.groupBy(F.pmod(F.xxhash64("passage_id", F.lit(seed)), F.lit(slots)).alias("slot")).agg(F.min(F.struct("passage_id", "text")).alias("p"))
+    asked = queries.select(F.pmod(F.xxhash64("query_id", F.lit(seed)), F.lit(slots)).alias("slot"), "query_id", "answer")
+    both = held.select("slot", F.col("p.text").alias("text"), F.lit(None).cast(dict(queries.dtypes)["query_id"]).alias("query_id"), F.lit(None).cast("string").alias("answer")).unionByName(asked.withColumn("text", F.lit(None).cast("string")))
+    parts = both.withColumn("_part", F.floor(F.col("slot") * 64 / slots))
+    ahead = F.first("text", ignorenulls=True).over(Window.partitionBy("_part").orderBy("slot").rowsBetween(0, Window.unboundedFollowing))
+    behind = F.last("text", ignorenulls=True).over(Window.partitionBy("_part").orderBy("slot").rowsBetween(Window.unboundedPreceding, 0))
+    picked = parts.withColumn("text", F.coalesce(ahead, behind)).filter("query_id is not null and text is not null")
+    return gold.unionByName(picked.select("query_id", "answer", "text", F.lit(False).alias("positive")))
+
+
 LATENCY = (0.5, 0.7, 0.9, 0.95, 0.99, 1.0)
 
 

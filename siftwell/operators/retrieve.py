@@ -77,3 +77,8 @@ def best_passages(hits: DataFrame, limit: int = 10, depth: int = 100) -> DataFra
 def best_hit(hits: DataFrame) -> DataFrame:
     """The hit of the highest dense score of each query; the earlier of equals."""
     return ranked(hits.withColumnRenamed("rank", "_rank"), ["query_id"], F.col("dense_score").desc(), 1, "_rank").drop("rank").withColumnRenamed("_rank", "rank")
+
+
+def search(queries: DataFrame, index: DataFrame, limit: int, strict: bool = False) -> DataFrame:
+    """Dense search by the rules of the exact index, or of a store that knows its parts only (strict)."""
+    return dense_strict(queries, index, limit) if strict else dense(queries, index, limit)

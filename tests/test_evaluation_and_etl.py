@@ -38,6 +38,15 @@ def test_sweep_and_choice(spark):
     assert evaluate.choose(evaluate.sweep(df), settings=Settings(target_fpr=-1.0, min_tpr=2.0)).count() == 1
 
 
+def test_support_pairs(spark):
+    queries = spark.createDataFrame([(i, f"answer {i}", [f"p{i}"]) for i in range(30)] + [(99, "none", [])], "query_id long, answer string, relevant array<string>")
+    passages = spark.createDataFrame([(f"p{i}", f"text {i}") for i in range(3000)], "passage_id string, text string")
+    pairs = evaluate.support_pairs(queries, passages, "s").collect()
+    gold = {r.query_id: r.text for r in pairs if r.positive}
+    assert gold == {i: f"text {i}" for i in range(30)}
+    assert len([r for r in pairs if not r.positive]) == 31
+
+
 def test_latency_and_stages(spark):
     df = spark.createDataFrame([("a", float(x)) for x in range(11)], "path string, ms double")
     r = evaluate.latency(df, F.col("ms")).first()

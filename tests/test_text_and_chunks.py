@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from siftwell.config import Settings
 from siftwell.functions import text as T
-from siftwell.functions.vectors import dot, encode, encoded
+from siftwell.functions.vectors import dot, encode, encode_with, encoded
 from siftwell.operators import chunking
 
 HINDI = "भारत एक देश है। इसकी राजधानी दिल्ली है। यहाँ बहुत लोग रहते हैं।"
@@ -135,3 +135,17 @@ def test_encoder_limit(spark):
     out = chunking.chunk(df, "recursive", Settings(chunk_sizes={"recursive": (10_000, 0)})).collect()
     assert [r.text for r in out if r.passage_id == "b"] == ["short"]
     assert [len(r.text.split()) for r in out if r.passage_id == "a"] == [504] * 7 + [472]
+
+
+def test_models_and_chunkers_from_outside(spark):
+    df = spark.createDataFrame([("a", "a", "one two;three", "en"), ("n", "n", None, "en")], PASSAGES)
+
+    def load():
+        def model(texts):
+            return [[float(len(t)), 0.0] if t != "passage: " else [0.0, 0.0] for t in texts]
+
+        return model
+
+    assert {r.passage_id: r.vec for r in encode_with(df, "passage_id", "text", "length", load).collect()} == {"a": [1.0, 0.0], "n": [0.0, 0.0]}
+    out = chunking.chunk_with(df, "semicolon", lambda t: t.split(";")).orderBy("chunk_id").collect()
+    assert [(r.chunk_id, r.text) for r in out] == [("semicolon:a:0", "one two"), ("semicolon:a:1", "three")]
