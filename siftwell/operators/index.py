@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftwell.config import DEFAULT, Settings
@@ -28,21 +31,63 @@ def idf(held: DataFrame, stats: DataFrame, settings: Settings = DEFAULT) -> Data
     return raw.join(F.broadcast(mean), "lang").select("lang", "term", F.when(F.col("raw") < 0, settings.epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
+class Built(NamedTuple):
+    """A BM25 index as tables: postings (lang, term, id, dl, tf), idf (lang, term, idf), stats (lang, n, avgdl)."""
+
+    postings: DataFrame
+    idf: DataFrame
+    stats: DataFrame
+
+
+def build(docs: DataFrame, settings: Settings = DEFAULT) -> Built:
+    """docs (id, lang, text) -> the index of all their terms. Counts are combined before the shuffle."""
+    held = lengths(docs)
+    stats = language_stats(held)
+    postings = exploded(held, ["lang", "id", "dl"], F.col("terms"), "term").groupBy("lang", "id", "dl", "term").agg(F.count("*").alias("tf"))
+    return Built(postings.select("lang", "term", "id", "dl", "tf"), idf(held, stats, settings), stats)
+
+
+def write(index: Built, path: str) -> None:
+    """The index in parquet by language, postings in order of term within a file, so that a search reads few of their pages."""
+    index.postings.repartitionByRange("lang", "term", "id").sortWithinPartitions("lang", "term", "id").write.mode("overwrite").partitionBy("lang").parquet(f"{path}/postings")
+    index.idf.write.mode("overwrite").partitionBy("lang").parquet(f"{path}/idf")
+    index.stats.write.mode("overwrite").parquet(f"{path}/stats")
+
+
+def read(spark: SparkSession, path: str) -> Built:
+    return Built(*(spark.read.parquet(f"{path}/{part}") for part in Built._fields))
+
+
 def search(queries: DataFrame, docs: DataFrame, limit: int, settings: Settings = DEFAULT) -> DataFrame:
     """queries (query_id, lang, text) x docs (id, lang, text) -> (query_id, lang, id, score, rank), the best of the query's language.
 
-    Only postings of the queries' terms are made. What is said of these terms has at most as many rows as the queries have
-    terms; that number is measured once and decides for all the joins. A term said twice counts twice. Scores are rounded to 6 places, ties go by id, and after the cut what scores 0 or less is dropped.
+    For one batch of queries without an index: only postings of the queries' terms are made.
     """
     held = lengths(docs)
     stats = language_stats(held)
+    asked, small = _asked(queries)
+    terms = small(asked.select("lang", "term").distinct())
+    postings = exploded(held, ["id", "lang", "dl"], F.col("terms"), "term").join(terms, ["lang", "term"], "left_semi").groupBy("lang", "id", "dl", "term").agg(F.count("*").alias("tf"))
+    return _scored(asked, small, Built(postings, idf(held, stats, settings), stats), limit, settings)
+
+
+def search_built(queries: DataFrame, index: Built, limit: int, settings: Settings = DEFAULT) -> DataFrame:
+    """As search(), over an index that is there: only postings of the queries' terms pass the first join."""
+    asked, small = _asked(queries)
+    return _scored(asked, small, index, limit, settings)
+
+
+def _asked(queries: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """(query_id, lang, term, times), and the hint for what has at most as many rows: measured once, it decides for all joins."""
     asked = exploded(queries, ["query_id", "lang"], tokens(F.col("text")), "term").groupBy("query_id", "lang", "term").agg(F.count("*").alias("times"))
-    small = F.broadcast if few(asked) else lambda df: df
-    terms = asked.select("lang", "term").distinct()
-    weights = idf(held, stats, settings).join(small(terms), ["lang", "term"], "left_semi")
-    postings = exploded(held, ["id", "lang", "dl"], F.col("terms"), "term").join(small(terms), ["lang", "term"], "left_semi").groupBy("lang", "id", "dl", "term").agg(F.count("*").alias("tf"))
+    return asked, F.broadcast if few(asked) else lambda df: df
+
+
+def _scored(asked: DataFrame, small: Callable[[DataFrame], DataFrame], index: Built, limit: int, settings: Settings) -> DataFrame:
+    """A term said twice counts twice. Scores are rounded to 6 places, ties go by id, and after the cut what scores 0 or less is dropped."""
+    weights = index.idf.join(small(asked.select("lang", "term").distinct()), ["lang", "term"], "left_semi")
     k1, b, tf = settings.k1, settings.b, F.col("tf")
-    hits = postings.join(F.broadcast(stats), "lang").join(small(weights), ["lang", "term"]).withColumn("part", F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))))
+    hits = index.postings.join(small(weights), ["lang", "term"]).join(F.broadcast(index.stats), "lang").withColumn("part", F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))))
     scored = hits.select("lang", "term", "id", "part").join(small(asked), ["lang", "term"]).groupBy("query_id", "lang", "id").agg(F.round(F.sum(F.col("times") * F.col("part")), 6).alias("score"))
     return ranked(scored, ["query_id", "lang"], F.col("score").desc(), limit).filter("score > 0")
 

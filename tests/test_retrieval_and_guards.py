@@ -22,13 +22,16 @@ def okapi(docs, query, lang):
     return {i: sum(idf.get(q, 0) * ws.count(q) * 2.5 / (ws.count(q) + 1.5 * (0.25 + 0.75 * len(ws) / mean)) for q in query.split()) for i, ws in held.items()}
 
 
-def test_bm25_against_the_formula(spark):
+def test_bm25_against_the_formula(spark, tmp_path):
     docs = spark.createDataFrame(DOCS, "id long, lang string, text string")
     asked = [(1, "en", "red red apple"), (2, "hi", "apple"), (3, "xx", "apple"), (4, "en", "")]
     out = index.search(spark.createDataFrame(asked, "query_id long, lang string, text string"), docs, 3).collect()
     want = sorted(((-round(s, 6), i) for i, s in okapi(DOCS, "red red apple", "en").items() if s > 0))[:3]
     assert [(r.id, r.rank) for r in sorted(out, key=lambda r: r.rank) if r.query_id == 1] == [(i, k + 1) for k, (_, i) in enumerate(want)]
     assert {r.query_id for r in out} <= {1, 2}
+    index.write(index.build(docs), str(tmp_path / "index"))
+    built = index.search_built(spark.createDataFrame(asked, "query_id long, lang string, text string"), index.read(spark, str(tmp_path / "index")), 3)
+    assert sorted(map(tuple, built.collect())) == sorted(map(tuple, out))
 
 
 def test_dense_by_part_and_everywhere(spark):
