@@ -1,14 +1,15 @@
 """Cross-entropy difference: target and background bigram models with one vocabulary score every document.
 
 Both models count words and word pairs over whole texts of all documents, the background over all of them, the target over
-those marked. The shared vocabulary is a hash space of ``SLOTS`` entries for words and as many for pairs, so the models
-have a size fixed beforehand and go to every task; it is matched in that the background's counts are scaled to the
-target's size, and both are smoothed alike: a pair backs off to its word, a word to the uniform distribution. A document's
-score is the mean over its words of target loss minus background loss in nats: the lower, the more it is like the target.
-What a document itself added to the counts is taken out before it is scored, so no document is judged by its own words.
+those marked. Counts are exact for each word and pair, by 63-bit fingerprints, and their number grows with the corpus. The
+models are matched in that the background's counts are scaled to the target's size, and both are smoothed alike: a pair
+backs off to its word, a word to the uniform distribution over the words counted. A document's score is the mean over its
+words of target loss minus background loss in nats: the lower, the more it is like the target. What a document itself added
+to the counts is taken out before it is scored, so no document is judged by its own words.
 
-Counting combines within a task, which sends one packed array for each part of the hash space; the parts are summed in
-parallel. A word or pair in a third of the rows is one cell of that array.
+Texts are packed into blocks of about ``BLOCK_BYTES``. The models are sharded by ranges of fingerprints, as many as the size
+of the texts asks for: a block sends each shard its distinct fingerprints with their counts, and gets back the totals of
+just these. No task and no driver holds a whole model, and a word or pair in a third of the rows is one entry a block.
 
 Defined cases: a document without words (null, empty, blank) has 0 words and losses and score 0; without any target row
 the target model is uniform; repeated rows count and score each; an empty table gives an empty result.
@@ -22,118 +23,170 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.words import Words, chunks, mixed, words_of
+from siftwell.llm.common import staged
+from siftwell.llm.words import chunks, mixed, words_of
 
-SLOTS = 1 << 20
-PARTS = 64
+BLOCK_BYTES, SHARD_BYTES, SHARDS = 8_000_000, 32_000_000, 64
 PAIR_BACKOFF, WORD_BACKOFF = 4.0, 1000.0
-_TABLES = ("target_words", "target_pairs", "background_words", "background_pairs")
-_START = np.uint64(0x5EED)
+_START = np.uint64(0x5EED0)
+_PAIR = np.uint64(1)
+_SCORES = "doc_id long, n_words long, target_loss double, background_loss double, score double"
 
 
-def _slots(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Slots of each word, of the word before it (a document starts after a mark of its own), and of the pair."""
-    hashes = w.hashes()
-    before = np.concatenate(([_START], hashes[:-1])) if len(hashes) else hashes
-    firsts = w.first[:-1][np.diff(w.first) > 0]
-    before[firsts] = _START
-    pairs = mixed(before * np.uint64(0x9E3779B97F4A7C15) + hashes)
-    return tuple((x >> np.uint64(44)).astype(np.int64) for x in (hashes, before, pairs))
+def _packed(x: np.ndarray) -> bytes:
+    """Whole numbers with their like bytes together, compressed."""
+    return pa.compress(np.ascontiguousarray(x.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).tobytes(), codec="zstd", asbytes=True)
 
 
-def _own(text: np.ndarray, slots: np.ndarray) -> np.ndarray:
-    """How often each entry's slot occurs in its own text."""
-    _, inverse, counts = np.unique(text * SLOTS + slots, return_inverse=True, return_counts=True)
-    return counts[inverse]
+def _unpacked(packed: bytes, n: int) -> np.ndarray:
+    data = np.frombuffer(pa.decompress(packed, decompressed_size=8 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(data.reshape(8, -1).T).reshape(-1).view(np.uint64)
 
 
-class Models(NamedTuple):
-    """Probabilities of words, and counts of words and pairs, of the target and of the background scaled to its size."""
+class Block(NamedTuple):
+    """Texts with their distinct fingerprints in order (even: words, odd: pairs), and where in them each word, the word
+    before it (a document starts after a mark of its own) and the pair of both are."""
 
-    word: tuple[np.ndarray, np.ndarray]
-    words: tuple[np.ndarray, np.ndarray]
-    pairs: tuple[np.ndarray, np.ndarray]
+    keys: np.ndarray
+    word: np.ndarray
+    before: np.ndarray
+    pair: np.ndarray
+    count: np.ndarray
+    doc_id: pa.Array
+    target: np.ndarray
 
-    scale: float
+    def text(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.count)), self.count)
 
-    def losses(self, w: Words, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each text: words, mean target loss, mean background loss. target: which texts the target model has counted."""
-        count = np.diff(w.first)
-        word, before, pair = _slots(w)
-        text = np.repeat(np.arange(len(count)), count)
-        own_word, own_pair = _own(text, word), _own(text, pair)
-        own_before = np.concatenate(([1], own_word[:-1])) if len(word) else own_word
-        own_before[w.first[:-1][count > 0]] = 1
+    def firsts(self) -> np.ndarray:
+        return (np.cumsum(self.count) - self.count)[self.count > 0]
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """How often the target and the background have each fingerprint; every start mark is a word."""
+        flags, begun = self.target[self.text()], self.firsts()
+        at = np.concatenate((self.word, self.pair, self.before[begun]))
+        n = len(self.keys)
+        return np.bincount(at[np.concatenate((flags, flags, flags[begun]))], minlength=n), np.bincount(at, minlength=n)
+
+    def own(self, at: np.ndarray) -> np.ndarray:
+        """How often each entry occurs in its own text."""
+        _, inverse, counts = np.unique(self.text() * len(self.keys) + at, return_inverse=True, return_counts=True)
+        return counts[inverse]
+
+    def losses(self, totals: tuple[np.ndarray, np.ndarray], sums: tuple[int, int], vocabulary: int) -> list[np.ndarray]:
+        """Of each text the mean target loss and background loss. totals: of keys, by target and background; sums: of all words."""
+        scale = sums[0] / sums[1] if sums[1] else 0.0
+        own_word, own_pair = self.own(self.word), self.own(self.pair)
+        own_before = np.concatenate(([1], own_word[:-1])) if len(own_word) else own_word
+        own_before[self.firsts()] = 1
         out = []
-        for k, seen in ((0, target[text].astype(np.float32)), (1, np.float32(self.scale))):
-            pairs, contexts = np.maximum(self.pairs[k][pair] - seen * own_pair, 0), np.maximum(self.words[k][before] - seen * own_before, 0)
-            loss = -np.log((np.minimum(pairs, contexts) + PAIR_BACKOFF * self.word[k][word]) / (contexts + PAIR_BACKOFF))
-            upto = np.concatenate(([0.0], np.cumsum(loss, dtype=float)))
-            out.append((upto[w.first[1:]] - upto[w.first[:-1]]) / np.maximum(count, 1))
-        return count, *out
-
-
-def models_of(counts: dict[str, np.ndarray]) -> Models:
-    target, background = counts["target_words"].sum(), counts["background_words"].sum()
-    scale = target / background if background else 0.0
-    word, words, pairs = [], [], []
-    for name, factor in (("target", 1.0), ("background", scale)):
-        own = counts[f"{name}_words"] * factor
-        word.append(((own + WORD_BACKOFF / SLOTS) / (own.sum() + WORD_BACKOFF)).astype(np.float32))
-        words.append(own.astype(np.float32))
-        pairs.append((counts[f"{name}_pairs"] * factor).astype(np.float32))
-    return Models(tuple(word), tuple(words), tuple(pairs), scale)
-
-
-def count(docs: DataFrame) -> dict[str, np.ndarray]:
-    """Counts by slot over all rows of docs (text, target): SLOTS numbers for each table."""
-    size = SLOTS // PARTS
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = {name: np.zeros(SLOTS, np.int64) for name in _TABLES}
+        for total, sum_, factor, seen in ((totals[0], sums[0], 1.0, self.target[self.text()].astype(float)), (totals[1], sums[1], scale, scale)):
+            total = total * factor
+            word = (total[self.word] + WORD_BACKOFF / max(1, vocabulary)) / (sum_ * factor + WORD_BACKOFF)
+            pairs, contexts = (np.maximum(total[at] - seen * own, 0) for at, own in ((self.pair, own_pair), (self.before, own_before)))
+            loss = -np.log((pairs + PAIR_BACKOFF * word) / (contexts + PAIR_BACKOFF))
+            upto = np.concatenate(([0.0], np.cumsum(loss)))
+            ends = np.cumsum(self.count)
+            out.append((upto[ends] - upto[ends - self.count]) / np.maximum(self.count, 1))
+        return out
+
+
+def _opened(body: bytes) -> Block:
+    words, befores, pairs, counts, ids, targets = [], [], [], [], [], []
+    for batch in pa.ipc.open_stream(body):
+        for part in chunks(batch):
+            w = words_of(part.column("text"))
+            hashes = w.hashes() & ~_PAIR
+            before = np.concatenate(([_START], hashes[:-1])) if len(hashes) else hashes
+            before[w.first[:-1][np.diff(w.first) > 0]] = _START
+            words.append(hashes)
+            befores.append(before)
+            pairs.append(mixed(before * np.uint64(0x9E3779B97F4A7C15) + hashes) | _PAIR)
+            counts.append(np.diff(w.first))
+            ids.append(part.column("doc_id"))
+            targets.append(part.column("target").to_numpy(zero_copy_only=False).astype(bool))
+    word, pair, before = (np.concatenate(x) for x in (words, pairs, befores))
+    keys, at = np.unique(np.concatenate((word, pair, [_START] if len(word) else word)), return_inverse=True)
+    n = len(word)
+    place = np.searchsorted(keys, _START)
+    preceding = np.where(before == _START, place, np.concatenate((at[:1], at[: n - 1])) if n else at)
+    return Block(keys, at[:n], preceding, at[n : 2 * n], np.concatenate(counts), pa.concat_arrays(ids), np.concatenate(targets))
+
+
+def blocks(rows: DataFrame) -> DataFrame:
+    """(block, size, body): the rows (doc_id, text, target) packed together, and their bytes of text."""
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, block = [], 0, TaskContext.get().partitionId() << 32
+
+        def taken() -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                for part in held:
+                    out.write_batch(part)
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([size], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "size", "body"])
+
         for batch in batches:
             for part in chunks(batch):
-                w = words_of(part.column("text"))
-                word, _, pair = _slots(w)
-                flags = part.column("target").to_numpy(zero_copy_only=False).astype(bool)
-                target = np.repeat(flags, np.diff(w.first))
-                for name, slots in (("words", word), ("pairs", pair)):
-                    totals[f"background_{name}"] += np.bincount(slots, minlength=SLOTS)
-                    totals[f"target_{name}"] += np.bincount(slots[target], minlength=SLOTS)
-                begun = np.diff(w.first) > 0  # each text's first word follows the start mark
-                totals["background_words"][_START >> np.uint64(44)] += begun.sum()
-                totals["target_words"][_START >> np.uint64(44)] += (begun & flags).sum()
-        for name, total in totals.items():
-            rows = [k for k in range(PARTS) if total[k * size : (k + 1) * size].any()]
-            packed = [np.ascontiguousarray(total[k * size : (k + 1) * size].view(np.uint8).reshape(-1, 8).T).tobytes() for k in rows]
-            yield pa.RecordBatch.from_arrays([pa.array([f"{name}:{k}" for k in rows], pa.string()), pa.array(packed, pa.binary())], ["part", "counts"])
-
-    def summed(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(size, np.int64)
-        for packed in pdf["counts"]:
-            total += np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(8, -1).T).reshape(-1).view(np.int64)
-        return pd.DataFrame({"part": pdf["part"].iloc[:1], "counts": [total.tobytes()]})
-
-    parts = docs.select("text", "target").mapInArrow(counted, "part string, counts binary").groupBy("part").applyInPandas(summed, "part string, counts binary")
-    out = {name: np.zeros(SLOTS, np.int64) for name in _TABLES}
-    for row in parts.toLocalIterator():
-        name, _, k = row.part.partition(":")
-        out[name][int(k) * size : (int(k) + 1) * size] = np.frombuffer(row.counts, np.int64)
-    return out
+                held.append(part)
+                size += part.column("text").nbytes
+                if size >= BLOCK_BYTES:
+                    yield taken()
+                    held, size, block = [], 0, block + 1
+        if held:
+            yield taken()
+
+    return rows.mapInArrow(packed, "block long, size long, body binary")
+
+
+def _totals(packets: pd.DataFrame) -> pd.DataFrame:
+    """All of a shard's packets -> for each the totals of its fingerprints; and, as block -1, words counted, and how many differ."""
+    keys = [np.cumsum(_unpacked(k, n), dtype=np.uint64) for k, n in zip(packets["keys"], packets["n"], strict=True)]
+    values, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    ends, is_word = np.cumsum(packets["n"]).tolist(), values & _PAIR == 0
+    out = {"block": [*packets["block"], -1], "shard": [*packets["shard"], -1], "n": [*packets["n"], int(is_word.sum())], "sums": []}
+    for name in ("target", "background"):
+        total = np.bincount(inverse, np.concatenate([_unpacked(c, n) for c, n in zip(packets[name], packets["n"], strict=True)])).astype(np.int64)
+        out[name] = [_packed(total[inverse[e - n : e]]) for e, n in zip(ends, packets["n"], strict=True)] + [None]
+        out["sums"].append(int(total[is_word].sum()))
+    of = out.pop("sums")
+    return pd.DataFrame(out | {"target_sum": [0] * len(packets) + of[:1], "background_sum": [0] * len(packets) + of[1:]})
 
 
 def scores(docs: DataFrame, target: Column) -> DataFrame:
     """(doc_id, n_words, target_loss, background_loss, score) of every row of docs. target: marks the rows to be like."""
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(target, F.lit(False)).alias("target"))
-    shared = docs.sparkSession.sparkContext.broadcast(models_of(count(rows)))
+    texts = staged(blocks(rows), "lm-blocks")
+    bits = max(SHARDS, (texts.agg(F.sum("size")).first()[0] or 0) // SHARD_BYTES).bit_length() - 1
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch):
-                n, ours, theirs = shared.value.losses(words_of(part.column("text")), part.column("target").to_numpy(zero_copy_only=False).astype(bool))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(ours), pa.array(theirs), pa.array(ours - theirs)], ["doc_id", "n_words", "target_loss", "background_loss", "score"])
-
-    return rows.mapInArrow(scored, "doc_id long, n_words long, target_loss double, background_loss double, score double")
+            for block, body in zip(batch.column("block").to_pylist(), batch.column("body"), strict=True):
+                opened = _opened(body.as_buffer())
+                shard = (opened.keys >> np.uint64(64 - bits)).astype(np.int64)
+                shards, at, n = np.unique(shard, return_index=True, return_counts=True)
+                spans = [(s, s + k) for s, k in zip(at.tolist(), n.tolist(), strict=True)]
+                counts = opened.counts()
+                columns = [[_packed(np.diff(opened.keys[s:e], prepend=np.uint64(0))) for s, e in spans], *([_packed(c[s:e]) for s, e in spans] for c in counts)]
+                yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array([block] * len(spans), pa.int64()), pa.array(n, pa.int64()), *(pa.array(c, pa.binary()) for c in columns)], ["shard", "block", "n", "keys", "target", "background"])
+
+    packets = texts.select("block", "body").mapInArrow(sent, "shard int, block long, n long, keys binary, target binary, background binary")
+    totals = staged(packets.groupBy("shard").applyInPandas(_totals, "block long, shard int, n long, target binary, background binary, target_sum long, background_sum long"), "lm-totals")
+    vocabulary, *sums = (x or 0 for x in totals.filter("block < 0").agg(F.sum("n"), F.sum("target_sum"), F.sum("background_sum")).first())
+
+    def scored(pdf: pd.DataFrame) -> pd.DataFrame:
+        """A block's texts (shard -1) and the totals of its fingerprints -> a row for each text."""
+        pdf = pdf.sort_values("shard")
+        block, replies = _opened(pdf["body"].iloc[0]), pdf.iloc[1:]
+        of = tuple(np.concatenate([np.zeros(0), *(_unpacked(c, n) for c, n in zip(replies[name], replies["n"], strict=True))]) for name in ("target", "background"))
+        ours, theirs = block.losses(of, sums, vocabulary)
+        return pd.DataFrame({"doc_id": block.doc_id.to_pandas(types_mapper=pd.ArrowDtype), "n_words": block.count, "target_loss": ours, "background_loss": theirs, "score": ours - theirs})
+
+    none = F.lit(None).cast("binary")
+    asked = texts.select("block", F.lit(-1).alias("shard"), F.lit(0).cast("long").alias("n"), none.alias("target"), none.alias("background"), "body")
+    replies = totals.filter("block >= 0").select("block", "shard", "n", "target", "background", none.alias("body"))
+    return asked.unionByName(replies).groupBy("block").applyInPandas(scored, _SCORES)

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -94,6 +95,39 @@ def test_lm_scores_prefer_the_target_style(spark):
     assert lm_score.scores(docs.limit(0), F.lit(True)).count() == 0
 
 
+def test_lm_scores_against_exact_counts(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "BLOCK_BYTES", 20_000)
+    rng = random.Random(6)
+    made = [" ".join(f"w{int(rng.paretovariate(0.3)) % 100_000}" for _ in range(rng.randint(1, 300))) for _ in range(400)] + ODD[:7]
+    docs = documents(spark, made).unionByName(documents(spark, made[:3])).repartition(3)
+    good = lambda i: i % 3 == 0
+    texts = [(i, ["", *re.findall(WORD, t or "")]) for i, t in [*enumerate(made), *enumerate(made[:3])]]
+    texts = [(i, ws if len(ws) > 1 else []) for i, ws in texts]
+    counts = []
+    for k in (0, 1):
+        mine = [ws for i, ws in texts if k or good(i)]
+        counts.append((Counter(w for ws in mine for w in ws), Counter(p for ws in mine for p in zip(ws, ws[1:]))))
+    sums, vocabulary = [sum(c[0].values()) for c in counts], len(counts[1][0])
+    assert len(counts[1][1]) > 20_000 and vocabulary > 5000  # so many pairs that a hash space of 2^20 has collisions
+    want = {}
+    for i, ws in texts:
+        own, own_pairs, losses = Counter(ws), Counter(zip(ws, ws[1:])), []
+        for k in (0, 1):
+            f = sums[0] / sums[1] if k else 1.0
+            seen = f if k or good(i) else 0.0
+            total = 0.0
+            for b, w in zip(ws, ws[1:]):
+                p = (f * counts[k][0][w] + lm_score.WORD_BACKOFF / vocabulary) / (f * sums[k] + lm_score.WORD_BACKOFF)
+                pair, context = max(f * counts[k][1][b, w] - seen * own_pairs[b, w], 0), max(f * counts[k][0][b] - seen * own[b], 0)
+                total -= np.log((pair + lm_score.PAIR_BACKOFF * p) / (context + lm_score.PAIR_BACKOFF))
+            losses.append(total / max(1, len(ws) - 1))
+        want[i] = (max(0, len(ws) - 1), *losses)
+    out = lm_score.scores(docs, F.col("doc_id") % 3 == 0).collect()
+    assert sorted(r.doc_id for r in out) == sorted(i for i, _ in texts)
+    for r in out:
+        assert (r.n_words, r.target_loss, r.background_loss) == pytest.approx(want[r.doc_id]), r.doc_id
+
+
 # 4 substring dedup
 
 
