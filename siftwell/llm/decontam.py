@@ -4,8 +4,9 @@ The index holds the items; a passage of a training document is the query. An ite
 possible score, so a score is the share of the item's BM25 weight that the passage has, and one threshold serves all
 items. Items are indexed in blocks of ``BLOCK``; the sum of a passage's block maxima bounds the score of every item in
 the block (block-max WAND), and only blocks whose bound reaches the threshold are scored. All items at or above it are
-retrieved, and each is verified: both its question and its answer must overlap with the passage in word trigrams. An
-item's question ends with its first question mark; without one it is the first half.
+retrieved, and each is verified: both its question and its answer must overlap with the passage in word trigrams, or
+in runs of the part's own length where it has one or two words. An item's question ends with its first question mark;
+without one it is the first half.
 
 Passages are two neighbouring segments, each as long as the longest item of its class (lengths up to 64, 128, ...), so
 every occurrence of an item lies in one passage whole, wherever it starts. Words are runs of letters and digits, lower
@@ -49,7 +50,7 @@ class Index(NamedTuple):
     maxima: np.ndarray
     blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
     ids: list[int | None]
-    parts: list[tuple[np.ndarray, np.ndarray]]
+    parts: list[tuple[tuple[np.ndarray, int], tuple[np.ndarray, int]]]
 
     def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions of the words that are terms, and the terms."""
@@ -59,8 +60,10 @@ class Index(NamedTuple):
         return at[same], k[same]
 
 
-def _grams(hashes: np.ndarray) -> np.ndarray:
-    return np.unique(rolling(hashes, min(_GRAM, len(hashes)))) if len(hashes) else np.zeros(0, np.uint64)
+def _grams(hashes: np.ndarray) -> tuple[np.ndarray, int]:
+    """A part's distinct runs of words, and how many words each has: fewer than three only where the part has fewer."""
+    n = max(1, min(_GRAM, len(hashes)))
+    return np.unique(rolling(hashes, n)), n
 
 
 def _question_words(text: str, n: int) -> int:
@@ -131,7 +134,7 @@ def leaks(index: Index, w: Words, hashes: np.ndarray, threshold: float, overlap:
             d = document[s]
             begin = w.first[d] + (s - first_segment[d]) * index.segment
             passage = hashes[begin : min(begin + (1 + followed[s]) * index.segment, w.first[d + 1])]
-            shares = [np.isin(g, rolling(passage, _GRAM if len(passage) >= _GRAM else 1)).mean() if len(g) else 1.0 for g in index.parts[items[i]]]
+            shares = [np.isin(g, rolling(passage, n)).mean() if len(g) else 1.0 for g, n in index.parts[items[i]]]
             if min(shares) >= overlap:
                 key, hit = (int(d), int(items[i])), (float(scores[i]), float(shares[0]), float(shares[1]))
                 found[key] = max(found.get(key, hit), hit)

@@ -171,6 +171,17 @@ def test_decontamination_finds_leaks_and_leaves_the_rest(spark):
     assert decontam.contaminated(documents(spark, made), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_decontamination_finds_items_with_short_parts(spark):
+    items = [
+        (0, "Which city has long been the capital of France? Paris"), (1, "What do six times seven apples make in all? 42"), (2, "Who first wrote of the whale? Herman Melville"),
+        (3, "Why? Because the tide follows the moon around the whole earth"), (4, "zugzwang"), (5, "quokka wombat"), (6, "alpha beta gamma delta epsilon"),
+    ]
+    base = texts_of(10, 10, 3000)
+    made = [f"{base[i]} {t.upper()} {base[i + 1]}" for i, t in items] + [base[8] + " which city has long been the capital of France? Rome " + base[9], "Quokka, wombat", *ODD]
+    out = decontam.contaminated(documents(spark, made), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in out} == {(i, i) for i in range(7)} | {(8, 5)}
+
+
 # 6 vectors
 
 
