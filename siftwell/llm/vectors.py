@@ -2,14 +2,13 @@
 
 Equal vectors are first merged into one row with a count, so copies cost nothing. Centroids are fitted on a bounded sample
 of ``SAMPLE`` rows in the order of a seeded hash; every vector is then indexed. A vector lives in the cell of its nearest
-centroid. For each pair of cells one of the two receives: a vector of the other cell visits it if the vector is within
-``reach`` of the plane halfway between the two centroids. A pair of vectors of different cells so meets in exactly one cell,
-and a pair of one cell at home, hence links are counted once.
+centroid, and visits every other cell if it is within ``reach`` of the plane halfway between the two centroids. A pair of
+vectors of different cells that meets in both of them counts in one, as each vector carries the cells it visits.
 
-Two unit vectors with cosine c are sqrt(2 - 2 c) apart; with that as reach no link can be missed. The difference of two
-near vectors spreads over d dimensions, so its part across a given plane has deviation sqrt((2 - 2 c) / d); the default
-reach is that distance or ``SPREAD`` deviations, whichever is less (in 64 dimensions 0.198 against 0.316). ``exact=True``
-takes the full distance.
+Two unit vectors with cosine c are sqrt(2 - 2 c) apart. If they live on either side of a plane, one of them lies within half
+of that of it; with this as reach no link can be missed. ``exact=False`` gives that up: it presumes that the difference of
+two near vectors spreads evenly over d dimensions, so that its part across a plane has deviation sqrt((2 - 2 c) / d), and
+reaches half of ``SPREAD`` deviations where that is less.
 
 A cell is split into tiles of bounded size; a task compares two tiles, whatever the size of the cell. It returns counts of
 links and a spanning forest, never the pairs.
@@ -61,27 +60,28 @@ def _unit(column: pa.Array, d: int) -> np.ndarray:
 
 
 def _receives(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether cell a receives from cell b: of every two cells just one does, and each about half the time."""
+    """Whether pairs that meet in cell a and in cell b count in a: of every two cells just one does, and each about half the time."""
     return ((a + b) % 2 == 0) == (a < b)
 
 
-def assign(x: np.ndarray, centroids: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, cell, home): every row at home, and as a visitor."""
+def assign(x: np.ndarray, centroids: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, cell, lives): every row at home, and as a visitor, with the cell it lives in; and of each row of x the cells it visits."""
     likeness = x @ centroids.T
     own = likeness.argmax(axis=1)
     apart = np.linalg.norm(centroids[:, None] - centroids[None], axis=2)[own]
     depth = (likeness[np.arange(len(x)), own][:, None] - likeness) / np.where(apart > 0, apart, np.inf)
-    visits = (depth <= reach + 1e-9) & _receives(np.arange(len(centroids))[None], own[:, None])
+    visits = depth <= reach + 1e-9
     visits[np.arange(len(x)), own] = False
     rows, cells = np.nonzero(visits)
-    return np.concatenate((np.arange(len(x)), rows)), np.concatenate((own, cells)), np.arange(len(x) + len(rows)) < len(x)
+    return np.concatenate((np.arange(len(x)), rows)), np.concatenate((own, cells)), np.concatenate((own, own[rows])), visits
 
 
 def _compared(d: int, cosine: float):
     def compare(pair: pd.DataFrame) -> pd.DataFrame:
         """Rows of one home tile (side 0) and those of another tile of the cell, at home or visiting (side 1)."""
         x = np.frombuffer(b"".join(pair["vector"]), float).reshape(-1, d)
-        node, copies, side = (pair[c].to_numpy() for c in ("node", "copies", "side"))
+        node, copies, side, lives = (pair[c].to_numpy() for c in ("node", "copies", "side", "lives"))
+        cell, visits = pair["cell"].iloc[0], np.unpackbits(np.frombuffer(b"".join(pair["visits"]), np.uint8).reshape(len(x), -1), axis=1)
         nodes = np.sort(node)
         rank = np.searchsorted(nodes, node)
         parent, links = np.arange(len(nodes)), np.zeros(len(nodes), np.int64)
@@ -93,6 +93,8 @@ def _compared(d: int, cosine: float):
             if same:
                 r, c = r[c > r + i], c[c > r + i]
             a, b = left[r + i], right[c]
+            here = (visits[a, lives[b]] == 0) | _receives(cell, lives[b])
+            a, b = a[here], b[here]
             np.add.at(links, rank[a], copies[b])
             np.add.at(links, rank[b], copies[a])
             unite(parent, rank[a], rank[b])
@@ -104,7 +106,7 @@ def _compared(d: int, cosine: float):
     return compare
 
 
-def near_duplicates(vectors: DataFrame, *, cosine: float = COSINE, exact: bool = False, cell_rows: int = CELL_ROWS, tile: int = TILE) -> DataFrame:
+def near_duplicates(vectors: DataFrame, *, cosine: float = COSINE, exact: bool = True, cell_rows: int = CELL_ROWS, tile: int = TILE) -> DataFrame:
     """(vec_id, n_links, component_id) of every row of vectors (vec_id, embedding) with an id."""
     spark = vectors.sparkSession
     rows = vectors.filter("vec_id is not null").select(F.col("vec_id").cast("long"), "embedding")
@@ -119,8 +121,7 @@ def near_duplicates(vectors: DataFrame, *, cosine: float = COSINE, exact: bool =
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     sample = unique.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("embedding").toArrow()
     centroids = kmeans(_unit(sample["embedding"].combine_chunks(), d), max(1, min(CELLS, n // cell_rows)))
-    distance = math.sqrt(max(0.0, 2 - 2 * cosine))
-    reach = distance if exact else min(distance, SPREAD * distance / math.sqrt(d))
+    reach = math.sqrt(max(0.0, 2 - 2 * cosine)) / 2 * (1 if exact else min(1, SPREAD / math.sqrt(d)))
     shared = spark.sparkContext.broadcast(centroids)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,20 +129,20 @@ def near_duplicates(vectors: DataFrame, *, cosine: float = COSINE, exact: bool =
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
                 x = _unit(part.column("embedding"), d)
-                row, cell, home = assign(x, shared.value, reach)
+                row, cell, lives, visits = assign(x, shared.value, reach)
                 take = pa.array(row)
-                packed = pa.array([v.tobytes() for v in x], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(home), part.column("node").take(take), part.column("copies").take(take), packed.take(take)], ["cell", "home", "node", "copies", "vector"])
+                packed, bits = (pa.array([v.tobytes() for v in rows], pa.binary()) for rows in (x, np.packbits(visits, axis=1)))
+                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(lives.astype(np.int32)), part.column("node").take(take), part.column("copies").take(take), packed.take(take), bits.take(take)], ["cell", "lives", "node", "copies", "vector", "visits"])
 
-    at = unique.mapInArrow(placed, "cell int, home boolean, node long, copies long, vector binary")
-    at = staged(at, "cells")
+    at = unique.mapInArrow(placed, "cell int, lives int, node long, copies long, vector binary, visits binary")
+    at = staged(at, "cells").withColumn("home", F.col("cell") == F.col("lives"))
     sizes = at.groupBy("cell").agg(F.sum(F.col("home").cast("int")).alias("homes"), F.sum((~F.col("home")).cast("int")).alias("visitors"))
     sizes = sizes.select(F.col("cell").alias("_cell"), F.ceil(F.col("homes") / tile).cast("int").alias("h"), F.ceil(F.col("visitors") / tile).cast("int").alias("v"))  # CELLS rows at most
     at = at.join(F.broadcast(sizes), F.col("cell") == F.col("_cell")).filter("h > 0").withColumn("t", F.pmod(F.xxhash64("node"), F.when(F.col("home"), F.col("h")).otherwise(F.col("v"))).cast("int"))
     # tasks (cell, x, y): home tile x with home tile y >= x, or with visiting tile y - h
-    as_left = at.filter("home").select("cell", F.col("t").alias("x"), F.explode(F.sequence(F.col("t"), F.col("h") + F.col("v") - 1)).alias("y"), "node", "copies", "vector", F.lit(0).alias("side"), F.col("t").alias("own"))
+    as_left = at.filter("home").select("cell", F.col("t").alias("x"), F.explode(F.sequence(F.col("t"), F.col("h") + F.col("v") - 1)).alias("y"), "node", "copies", "vector", "visits", "lives", F.lit(0).alias("side"), F.col("t").alias("own"))
     as_right = at.withColumn("y", F.when(F.col("home"), F.col("t")).otherwise(F.col("h") + F.col("t"))).withColumn("last", F.when(F.col("home"), F.col("t") - 1).otherwise(F.col("h") - 1)).filter("last >= 0")
-    as_right = as_right.select("cell", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("x"), "y", "node", "copies", "vector", F.lit(1).alias("side"), F.lit(-1).alias("own"))
+    as_right = as_right.select("cell", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("x"), "y", "node", "copies", "vector", "visits", "lives", F.lit(1).alias("side"), F.lit(-1).alias("own"))
     tasks = as_left.unionByName(as_right).withColumn("same", F.col("own") == F.col("y")).drop("own")
     found = staged(tasks.groupBy("cell", "x", "y").applyInPandas(_compared(d, cosine), "node long, root long, links long"), "vector-links")
     groups = components(found.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))

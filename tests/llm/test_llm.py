@@ -208,6 +208,32 @@ def test_vectors_against_all_pairs(spark):
     assert vectors.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_vectors_of_the_query_across_cells(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(4000, 64)) * 0.02  # two clusters; half of the near pairs differ along the line between them
+    angle = np.where(np.arange(4000) % 2, 0.0, np.pi / 3) + rng.normal(size=4000) * 0.02
+    angle[3000:] = np.repeat(np.pi / 6 + rng.uniform(-0.15, 0.15, 500), 2) + np.tile([-0.153, 0.153], 500)
+    x[:3000, 2:] *= 5
+    x[3000:] = np.repeat(x[3000:3500] * 2, 2, axis=0)
+    x[:, 0], x[:, 1] = np.cos(angle), np.sin(angle)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    out = {r.vec_id: r for r in vectors.near_duplicates(rows).collect()}
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    linked = u @ u.T >= 0.95
+    np.fill_diagonal(linked, False)
+    centroids = vectors.kmeans(u, 2)
+    cell = (u @ centroids.T).argmax(axis=1)
+    depth = np.abs(u @ (centroids[0] - centroids[1])) / np.linalg.norm(centroids[0] - centroids[1])
+    far = linked & (cell[:, None] != cell[None]) & (np.maximum(depth[:, None], depth[None]) > 0.2)
+    assert far[cell == 0].any() and (np.where(cell[:, None] == 0, depth[:, None], depth[None])[far] > 0.2).any()
+    assert [out[i].n_links for i in range(4000)] == linked.sum(axis=1).tolist()
+    parent = np.arange(4000)
+    vectors.unite(parent, *np.nonzero(linked))
+    while (parent != parent[parent]).any():
+        parent = parent[parent]
+    assert [out[i].component_id for i in range(4000)] == parent.tolist()
+
+
 # 7 quality
 
 
