@@ -86,6 +86,16 @@ def majority(hashes: np.ndarray, made: np.ndarray) -> np.ndarray:
     return out
 
 
+def distinct(s: Shingles) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each text's distinct shingles, and how many each has."""
+    row = np.repeat(np.arange(len(s.made)), s.made)
+    order = np.lexsort((s.hashes, row))
+    hashes, row = s.hashes[order], row[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])
+    return hashes[new], np.bincount(row[new], minlength=len(s.made))
+
+
 def fingerprints(texts: pa.Array, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
     """SimHash of each text."""
     s = shingles(texts, shingle, seed)
@@ -252,7 +262,8 @@ def similar_groups(docs: DataFrame, *, similarity: float = SIMILARITY, shingle:
         for batch in batches:
             for part in chunks(batch):
                 s = shingles(part.column("text"), shingle, seed)
-                prints = [majority(s.hashes if not k else mixed(s.hashes + np.uint64(k)), s.made) for k in range(WIDE)]
+                hashes, count = distinct(s)  # one vote for each, as the sets have it
+                prints = [majority(hashes if not k else mixed(hashes + np.uint64(k)), count) for k in range(WIDE)]
                 more = np.stack(prints[1:], axis=1)
                 keys = [xxhash.xxh3_128_digest(s.joined[a:b]) for a, b in s.spans]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(keys, pa.binary()), pa.array(prints[0].view(np.int64)), pa.array([m.tobytes() for m in more], pa.binary())], ["doc_id", "key", "fp", "more"])

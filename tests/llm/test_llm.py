@@ -314,6 +314,15 @@ def test_similar_groups_against_jaccard(spark):
     assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == sorted(set(want))
 
 
+def test_similar_groups_of_looped_passages(spark):
+    made = []
+    for i in range(10):  # the same set of shingles, some of them many times
+        head, loop = ([f"{c}{i}x{k}" for k in range(n)] for c, n in (("h", 200), ("p", 20)))
+        made += [" ".join(head + loop * 2), " ".join(head + loop * 21)]
+    out = {r.doc_id: r.component_id for r in simhash.similar_groups(documents(spark, made)).collect()}
+    assert out == {i: i // 2 * 2 for i in range(20)}
+
+
 def test_tiles_of_many_fingerprints(spark):
     rng = random.Random(16)
     prints = [rng.getrandbits(64) for _ in range(3000)]
