@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 
 #: A word, for Java, RE2 and Python alike: a run without space, tab, LF, VT, FF or CR.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows that a broadcast side may have at most; beyond it the join is left to a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Rows and bytes that a broadcast side may have at most; beyond them the join is left to a shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,28 +25,52 @@ def word_count(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one of our own only where it is unset."""
+    """The folder that spark.checkpoint.dir names. Where it is unset, a temporary one of our own, on one machine only."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="siftwell-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage is cut, and a lost executor costs no recomputation."""
+    """Write df to the shared folder and read it back: lineage is cut, and a lost executor costs no recomputation.
+
+    The tables of an application lie together in ``siftwell/<application id>``, which can go when the application ends.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/siftwell/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/siftwell/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most so many rows, else df itself: then the join shuffles.
+def _width(name: str, kind: str) -> Column:
+    """Bytes of a value, about."""
+    column = F.col(f"`{name}`")
+    if kind in ("string", "binary"):
+        return F.coalesce(F.octet_length(column), F.lit(0)) + 8
+    if kind.startswith("array<") and not re.search("string|binary|array|struct|map", kind[6:]):
+        return F.coalesce(F.size(column), F.lit(0)) * 8 + 8
+    if re.match("array|struct|map", kind):
+        return F.coalesce(F.octet_length(F.to_json(F.struct(column))), F.lit(0)) + 8
+    return F.lit(16)
+
+
+def fits(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> bool:
+    """Whether df has at most so many rows and bytes. No more rows are read than the bound."""
+    width = sum((_width(*c) for c in df.dtypes), F.lit(0)).cast("long")
+    n, size = df.limit(rows + 1).agg(F.count("*"), F.sum(width)).first()
+    return n <= rows and (size or 0) <= most
+
+
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if it has at most so many rows and bytes, else df itself: then the join shuffles.
 
-    Give it narrow rows (ids, numbers): the bound is one of rows. Counting runs df, so stage it first if it is dear.
+    Measuring runs df, so stage it first if it is dear.
     """
-    return F.broadcast(df) if len(df.limit(rows + 1).select(F.lit(1)).agg(F.count("*").alias("n")).filter(F.col("n") <= rows).take(1)) else df
+    return F.broadcast(df) if fits(df, rows, most) else df
 
 
 def fold(doc_id: Column, k: int = 5) -> Column:

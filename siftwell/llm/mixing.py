@@ -9,21 +9,23 @@ A source's target is then realised by whole repetitions of all its documents and
 its documents in the order of a seeded hash until the words run out; the document at the edge is taken in part, so a
 source's words equal its target but for less than one word.
 
-Scale: the order within a source is found from counts in 4096 hash ranges; only the documents of the one range in
-which a source's words run out are ever sorted. No source's rows meet in one task, however hot it is.
+Scale: sizes are counted once, into a narrow table. The order within a source is found from counts in 4096 hash ranges,
+then in 4096 ranges within the one where the source's words run out; only the documents there, one in 16 million, are
+ever sorted. No source's rows meet in one task, however hot it is. Sources themselves are planned in one task: a row for each.
 
-Defined cases: a null text has no words and takes none; null sources form one source, ordered last; repeated rows are
-rows of their own; an empty table gives an empty result; a source without words has target 0.
+Defined cases: a null text has no words and takes none; null sources form one source, ordered last; null ids are alike in
+order; repeated rows are rows of their own, and where a source's words run out among rows alike in id and size, they are
+numbered in one task; an empty table gives an empty result; a source without words has target 0.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import bounded, word_count
+from siftwell.llm.common import bounded, fits, staged, word_count
 
 SEED = "mix-1"
 WEIGHTS = (3, 1, 2)
@@ -47,44 +49,77 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, budget_sh
     return ranked.withColumn("target", F.least(F.col("cap").cast("double"), F.col("weight") * F.max("level").over(whole))).select("source", "source_size", "weight", "target")
 
 
-def mix(docs: DataFrame, *, size: Column, source: Column, doc_id: Column, seed: str = SEED, weights: Sequence[int] = WEIGHTS, budget_share: float = BUDGET_SHARE, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+def _passed(counts: DataFrame, limits: DataFrame, small: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """counts (source, at, words), limits (source, words to take) -> (source, at, before): where in order of ``at`` the words
+    pass the limit, and the words before; a source that never passes it has no row."""
+    upto = F.sum("words").over(Window.partitionBy("source").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    held = counts.withColumn("upto", upto).join(small(limits.select(F.col("source").alias("_s"), "take")), F.col("source").eqNullSafe(F.col("_s")))
+    held = held.filter((F.col("upto") > F.col("take")) & (F.col("upto") - F.col("words") <= F.col("take")))
+    return held.groupBy("source").agg(F.min(F.struct("at", (F.col("upto") - F.col("words")).alias("before"))).alias("edge")).select("source", "edge.at", "edge.before")
+
+
+def mix(docs: DataFrame, *, size: Column, source: Column, doc_id: Column, seed: str = SEED, weights: Sequence[int] = WEIGHTS, budget_share: float = BUDGET_SHARE, max_epochs: int = MAX_EPOCHS, narrow: bool = False) -> DataFrame:
     """docs with a struct ``_mix`` of size, source_size, target, whole (repetitions of the whole text) and part (words of one more).
 
-    docs is read three times (counts, rows off the edge ranges, rows on them): give a staged table if it is dear.
+    docs is read twice: for a table of sizes, from which all is planned, and for the result; narrow: docs is itself such a
+    table, cheap to read. A column of docs named ``_mix`` is replaced.
     """
-    sized = docs.withColumn("_s", F.struct(size.cast("long").alias("size"), source.alias("source"), _order(doc_id, seed).alias("h"), doc_id.alias("id"))).withColumn("_range", F.conv(F.substring("_s.h", 1, 3), 16, 10).cast("int"))
-    ranges = sized.groupBy(F.col("_s.source").alias("source"), F.col("_range").alias("range")).agg(F.sum("_s.size").alias("words"))
+    kept = [c for c in docs.columns if c != "_mix"]
+    sized = docs.select(F.struct(*kept).alias("row"), F.struct(source.alias("source"), _order(doc_id, seed).alias("h"), doc_id.alias("id"), size.cast("long").alias("size")).alias("k"))
+    sizes = sized.select("k.*") if narrow else staged(sized.select("k.*"), "mix-sizes")
+    ranges = staged(sizes.groupBy("source", F.substring("h", 1, 3).alias("at")).agg(F.sum("size").alias("words")), "mix-ranges")
     targets = source_targets(ranges.groupBy("source").agg(F.sum("words").alias("source_size")), weights, budget_share, max_epochs)
     targets = targets.withColumn("whole", F.when(F.col("source_size") > 0, F.least(F.lit(max_epochs).cast("long"), F.floor(F.col("target") / F.col("source_size")))).otherwise(F.lit(0).cast("long")))
-    targets = targets.withColumn("rest", F.floor(F.col("target") - F.col("whole") * F.col("source_size")))
-    up_to = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, 0)
-    ranges = ranges.withColumn("upto", F.sum("words").over(up_to)).withColumnRenamed("source", "r_source")
-    edges = ranges.join(targets, F.col("r_source").eqNullSafe(F.col("source"))).filter((F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("words") <= F.col("rest")))
-    edges = edges.groupBy("source").agg(F.min(F.struct("range", (F.col("upto") - F.col("words")).alias("before"))).alias("edge"))
-    plan = targets.join(edges.withColumnRenamed("source", "e_source"), F.col("source").eqNullSafe(F.col("e_source")), "left").select(F.struct("source", "source_size", "target", "whole", "rest", F.col("edge.range").alias("edge"), F.col("edge.before").alias("before")).alias("_p"))
-    joined = sized.join(bounded(plan), F.col("_s.source").eqNullSafe(F.col("_p.source")))
-    at_edge = F.coalesce(F.col("_range") == F.col("_p.edge"), F.lit(False))
-    whole_range = F.when(F.col("_p.edge").isNull() | (F.col("_range") < F.col("_p.edge")), F.when(F.col("_p.rest") > 0, F.col("_s.size")).otherwise(F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long"))
-    before = F.col("_p.before") + F.coalesce(F.sum("_s.size").over(Window.partitionBy("_s.source").orderBy("_s.h", "_s.id", "_s.size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    off = joined.filter(~at_edge).withColumn("_part", whole_range)
-    on = joined.filter(at_edge).withColumn("_part", F.greatest(F.lit(0).cast("long"), F.least(F.col("_s.size"), F.col("_p.rest") - before)))
-    return off.unionByName(on).withColumn("_mix", F.struct(F.col("_s.size").alias("size"), F.col("_p.source_size").alias("source_size"), F.col("_p.target").alias("target"), F.col("_p.whole").alias("whole"), F.col("_part").alias("part"))).drop("_s", "_p", "_range", "_part")
+    targets = staged(targets.withColumn("take", F.floor(F.col("target") - F.col("whole") * F.col("source_size"))), "mix-targets")
+    small = F.broadcast if fits(targets) else lambda df: df  # for what has a row for each source at most
+    # the range of hashes where a source's words run out, then the range within it, then its documents one by one
+    first = staged(_passed(ranges, targets, small), "mix-edges")
+    at_first = first.select(F.col("source").alias("_s"), F.col("at").alias("_at"), "before")
+    inside = sizes.join(small(at_first.drop("before")), F.col("source").eqNullSafe(F.col("_s")) & (F.substring("h", 1, 3) == F.col("_at"))).groupBy("source", F.substring("h", 1, 6).alias("at")).agg(F.sum("size").alias("words"))
+    rest = targets.join(small(at_first), F.col("source").eqNullSafe(F.col("_s"))).select("source", (F.col("take") - F.col("before")).alias("take"))
+    second = staged(_passed(inside, rest, small), "mix-edges")
+    at_second = second.select(F.col("source").alias("_s"), F.col("at").alias("_at"), F.col("before").alias("_within"))
+    plan = targets.join(small(at_first.select(F.col("_s").alias("_s1"), F.col("before").alias("_b1"))), F.col("source").eqNullSafe(F.col("_s1")), "left").join(small(at_second), F.col("source").eqNullSafe(F.col("_s")), "left")
+    plan = plan.select(F.struct("source", "source_size", "target", "whole", "take", F.col("_at").alias("edge"), (F.col("_b1") + F.col("_within")).alias("before")).alias("p"))
+    # documents of the edge ranges in order; those alike in source, id and size are counted together
+    edge = sizes.join(small(plan), F.col("source").eqNullSafe(F.col("p.source")) & (F.substring("h", 1, 6) == F.col("p.edge")))
+    edge = edge.groupBy("source", "h", "id", "size").agg(F.count("*").alias("copies"), F.first("p.before").alias("from"))
+    order = Window.partitionBy("source").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("from") + F.coalesce(F.sum(F.col("size") * F.col("copies")).over(order), F.lit(0))
+    edge = staged(edge.select(F.struct("source", "h", "id", "size", "copies", before.alias("before")).alias("e")), "mix-edge-documents")
+    same = (F.col("k.h") == F.col("e.h")) & F.col("k.source").eqNullSafe(F.col("e.source")) & F.col("k.id").eqNullSafe(F.col("e.id")) & (F.col("k.size") == F.col("e.size"))
+    joined = sized.join(small(plan), F.col("k.source").eqNullSafe(F.col("p.source"))).join(bounded(edge), same, "left")
+    off_edge = F.when((F.col("p.take") > 0) & (F.col("p.edge").isNull() | (F.substring("k.h", 1, 6) < F.col("p.edge"))), F.col("k.size")).otherwise(F.lit(0).cast("long"))
+
+    def with_part(df: DataFrame, number: Column) -> DataFrame:
+        on_edge = F.greatest(F.lit(0).cast("long"), F.least(F.col("k.size"), F.col("p.take") - F.col("e.before") - number * F.col("k.size")))
+        mixed = F.struct(F.col("k.size").alias("size"), F.col("p.source_size").alias("source_size"), F.col("p.target").alias("target"), F.col("p.whole").alias("whole"), F.when(F.col("e.h").isNull(), off_edge).otherwise(on_edge).alias("part"))
+        return df.select("row.*", mixed.alias("_mix"))
+
+    if not edge.filter("e.copies > 1").take(1):
+        return with_part(joined, F.lit(0))
+    repeated = F.coalesce(F.col("e.copies") > 1, F.lit(False))
+    number = F.row_number().over(Window.partitionBy("k").orderBy(F.xxhash64(F.to_json("row")))) - 1
+    return with_part(joined.filter(~repeated), F.lit(0)).unionByName(with_part(joined.filter(repeated).withColumn("number", number), F.col("number")))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """docs as the mix holds them: a row for each repetition, numbered by ``repetition`` from 1; ``taken`` has its words.
 
     The document at a source's edge ends after its last taken word in its last repetition. A document that the mix
-    leaves out is gone; one without words stays once, as it costs nothing.
+    leaves out is gone; one without words stays once, as it costs nothing. Columns of docs named ``repetition`` or
+    ``taken`` are replaced.
     """
+    kept = [c for c in docs.columns if c not in ("_mix", "repetition", "taken")]
     mixed = mix(docs, size=word_count(F.col("text")), source=F.col("source"), doc_id=F.col("doc_id"), **options)
-    m = F.col("_mix")
+    m = F.col("m")
+    rows = mixed.select(F.struct(*kept).alias("row"), F.col("_mix").alias("m"))
     copies = F.when(m["size"] == 0, F.lit(1)).otherwise(m["whole"] + F.when(m["part"] > 0, 1).otherwise(0)).cast("int")
-    rows = mixed.withColumn("_copies", copies).filter("_copies > 0").withColumn("repetition", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    rows = rows.withColumn("repetition", F.explode_outer(F.when(copies > 0, F.sequence(F.lit(1), copies)))).filter("repetition is not null")
     taken = F.when(F.col("repetition") <= m["whole"], m["size"]).otherwise(m["part"])
-    cut = F.call_function("regexp_extract", F.col("text"), F.concat(F.lit(r"^(?s:[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+){"), (taken - 1).cast("string"), F.lit(r"}+[^\x20\x09-\x0D]++)")), F.lit(0))
-    text = F.when((taken > 0) & (taken < m["size"]), cut).otherwise(F.col("text"))
-    return rows.withColumn("taken", taken).withColumn("text", text).drop("_mix", "_copies")
+    cut = F.call_function("regexp_extract", F.col("row.text"), F.concat(F.lit(r"^(?s:[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+){"), (taken - 1).cast("string"), F.lit(r"}+[^\x20\x09-\x0D]++)")), F.lit(0))
+    text = F.when((taken > 0) & (taken < m["size"]), cut).otherwise(F.col("row.text"))
+    return rows.select(*[text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in kept], "repetition", taken.alias("taken"))
 
 
 ORACLE_SQL = r"""

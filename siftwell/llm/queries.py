@@ -22,7 +22,7 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
     m = F.col("_mix")
-    mixed = mixing.mix(staged(docs, "mix-sizes"), size=F.col("size"), source=F.col("source"), doc_id=F.col("doc_id"))
+    mixed = mixing.mix(staged(docs, "mix-sizes"), size=F.col("size"), source=F.col("source"), doc_id=F.col("doc_id"), narrow=True)
     return mixed.select("doc_id", "size", m["source_size"].alias("source_size"), m["target"].alias("target"), (m["whole"] * F.col("size") + m["part"]).alias("taken"))
 
 
