@@ -1,16 +1,18 @@
 """Toxicity: bags of subword embeddings, averaged by passage, into a linear softmax; trained jointly in numpy.
 
 A word is the mean of the vectors of its character n-grams (with its whole form among them), a passage of ``PASSAGE``
-words the mean of its words, and a softmax over two classes takes it from there. A document is as toxic as its worst
-passage, so a few words in a long text are not averaged away; training follows the same rule. As the softmax's margin is
-linear in the passage mean, a trained word comes down to one number, which scoring looks up.
+words the mean of its words, and a softmax over two classes takes it from there. A passage of fewer words is filled up with
+zero vectors, so that one word of a short text does not speak for 24. A document is as toxic as its worst passage, so a few
+words in a long text are not averaged away; training follows the same rule. As the softmax's margin is linear in the passage
+mean, a trained word comes down to one number, which scoring looks up.
 
 Subwords are those that labelled texts give evidence for: n-grams whose share of toxic documents is further from the
 whole share than chance allows. A misspelling unseen in training still shares most of them. Vectors start at the
 evidence and are then trained together with the softmax.
 
 Fitted on at most ``TRAIN_ROWS`` labelled rows and about ``TRAIN_CHARS`` characters, in the order of a seeded hash; whole
-texts. Every text is scored whole.
+texts. One task reads the sample and trains; what reaches the driver is the model, of at most ``SUBWORDS`` numbers. Every text
+is scored whole.
 
 Defined cases: null and empty texts and texts without letters get the score of an empty passage; unlabelled rows and rows
 whose label is null are not learnt from; with no label of one class every score is the class share, smoothed; repeated
@@ -19,6 +21,7 @@ rows are scored alike; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
@@ -26,7 +29,6 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -198,33 +200,34 @@ def fit(docs: DataFrame, labels: DataFrame, held_in: Column, seed: int = 7) -> M
     rows = staged(rows, "toxicity-sample")
     share = TRAIN_CHARS / max(1, rows.agg(F.sum(F.length("text"))).first()[0] or 0)
     if share < 1:
-        rows = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit("chars")), F.lit(1_000_000)) < int(1_000_000 * share))
-    table = rows.toArrow()
-    order = pc.sort_indices(table, [("doc_id", "ascending"), ("text", "ascending")])
-    return train(((table["text"][k].as_py(), table["toxic"][k].as_py()) for k in order.to_pylist()), seed)
+        rows = rows.filter(F.pmod(F.xxhash64("doc_id", "text", F.lit("chars")), F.lit(1_000_000)) < int(1_000_000 * share))
+
+    def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = (part for batch in batches for part in chunks(batch))
+        model = train((pair for part in parts for pair in zip(part.column("text").to_pylist(), part.column("toxic").to_pylist(), strict=True)), seed)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    made = rows.coalesce(1).sortWithinPartitions("doc_id", "text").mapInArrow(trained, "model binary").first()
+    return pickle.loads(made.model) if made else train([], seed)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) of every row of docs."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, float] = {}
         for batch in batches:
             for part in chunks(batch):
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(shared.value.scores(part.column("text").to_pylist(), cache))], ["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(model.scores(part.column("text").to_pylist(), cache))], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(scored, "doc_id long, score double")
 
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """The rows of docs, with all their columns, that score below the threshold."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, float] = {}
         for batch in batches:
             for part in chunks(batch):
-                yield part.filter(pa.array(shared.value.scores(part.column("text").to_pylist(), cache) < threshold))
+                yield part.filter(pa.array(model.scores(part.column("text").to_pylist(), cache) < threshold))
 
     return docs.mapInArrow(kept, docs.schema)
