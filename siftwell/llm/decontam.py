@@ -2,21 +2,26 @@
 
 The index holds the items; a passage of a training document is the query. An item's impacts are divided by its greatest
 possible score, so a score is the share of the item's BM25 weight that the passage has, and one threshold serves all
-items. Items are indexed in blocks of ``BLOCK``; the sum of a passage's block maxima bounds the score of every item in
-the block (block-max WAND), and only blocks whose bound reaches the threshold are scored. All items at or above it are
-retrieved, and each is verified: both its question and its answer must overlap with the passage in word trigrams, or
-in runs of the part's own length where it has one or two words. An item's question ends with its first question mark;
-without one it is the first half.
+items. Every term has its postings (item, impact), and for each block of ``BLOCK`` items that it occurs in the greatest of
+its impacts there. Terms are numbered by falling maximum, so a passage's terms come strongest first. Block-max WAND: the
+pivot is the term after which the maxima of all weaker ones sum to less than half the threshold. Items without a term up to
+the pivot cannot reach the threshold, so only blocks in the lists of those terms are opened; a block's bound is the sum of
+their maxima in it and of the weaker terms' maxima at large, and only blocks whose bound reaches the threshold are scored.
+All items at or above it are retrieved, and each is verified: both its question and its answer must overlap with the passage
+in word trigrams, or in runs of the part's own length where it has one or two words. An item's question ends with its first
+question mark; without one it is the first half. Many passages are searched at once, as arrays.
 
 Passages are two neighbouring segments, each as long as the longest item of its class (lengths up to 64, 128, ...), so
 every occurrence of an item lies in one passage whole, wherever it starts. Words are runs of letters and digits, lower
 case within A-Z.
 
-Scale: documents stay where they are; the index of ``SHARD_ITEMS`` items is of bounded size and goes to every task. A
-larger benchmark is taken in shards, each a pass over the documents; document frequencies are of all items.
+Scale: documents stay where they are; the index of a shard, at most about ``SHARD_ITEMS`` items and ``SHARD_WORDS`` words, is
+of bounded size and goes to every task with the code. A larger benchmark is taken in shards, each a pass over the documents;
+equal items are indexed once; document frequencies are of all different items.
 
-Defined cases: items and documents that are null, empty or without words match nothing; equal items are all reported;
-rows that repeat a document are each reported; an empty table gives an empty result.
+Defined cases: documents and items that are null, empty or without words match nothing; an item with a null id counts like
+any other and is reported with that id; equal items are all reported; rows that repeat a document are each reported; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,34 +35,59 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import staged
+from siftwell.llm.common import bounded, staged
 from siftwell.llm.words import PLAIN, Words, chunks, rolling, words_of
 
 K1, B = 1.2, 0.75
 THRESHOLD, OVERLAP = 0.7, 0.5
-BLOCK, SHARD_ITEMS, SHORTEST_CLASS = 2, 2000, 64
+BLOCK, SHORTEST_CLASS = 4, 64
+SHARD_ITEMS, SHARD_WORDS = 2000, 400_000
+#: Entries of block lists that are summed at once.
+OPENED = 4_000_000
 _GRAM = 3
 _ROWS = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
+_HITS = "doc_id long, item string, score double, question_overlap double, answer_overlap double"
+
+
+class Lists(NamedTuple):
+    """Lists one after the other: list k is at[k]:at[k + 1] of both arrays."""
+
+    at: np.ndarray
+    ids: np.ndarray
+    values: np.ndarray
+
+    def opened(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of several lists all entries, one list after the other: the index into k, and the place in the arrays."""
+        sizes = self.at[k + 1] - self.at[k]
+        within = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        return np.repeat(np.arange(len(k)), sizes), np.repeat(self.at[k], sizes) + within
 
 
 class Index(NamedTuple):
-    """Items of one length class. terms: sorted word fingerprints; maxima: term x block; of each block its items'
-    numbers, its terms (indices) and the impacts, item x term."""
+    """Items of one length class. fingerprints: of the terms, in order; number: of each the term's number, by falling
+    maximum; maxima: of each term; blocks: of each term its blocks with their maxima; items: of each item its terms with
+    their impacts, which are the postings by item."""
 
     segment: int
-    terms: np.ndarray
+    fingerprints: np.ndarray
+    number: np.ndarray
     sieve: np.ndarray
     maxima: np.ndarray
-    blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
-    ids: list[int | None]
+    blocks: Lists
+    items: Lists
+    keys: list[str]
     parts: list[tuple[tuple[np.ndarray, int], tuple[np.ndarray, int]]]
 
     def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of the words that are terms, and the terms."""
+        """Positions of the words that are terms, and the terms' numbers."""
         at = np.flatnonzero(self.sieve[hashes >> np.uint64(44)])
-        k = np.minimum(np.searchsorted(self.terms, hashes[at]), len(self.terms) - 1)
-        same = self.terms[k] == hashes[at]
-        return at[same], k[same]
+        k = np.minimum(np.searchsorted(self.fingerprints, hashes[at]), len(self.fingerprints) - 1)
+        same = self.fingerprints[k] == hashes[at]
+        return at[same], self.number[k[same]]
+
+    def score(self, item: int, present: np.ndarray) -> float:
+        a, b = self.items.at[item], self.items.at[item + 1]
+        return float(self.items.values[a:b] @ present[self.items.ids[a:b]])
 
 
 def _grams(hashes: np.ndarray) -> tuple[np.ndarray, int]:
@@ -73,8 +103,9 @@ def _question_words(text: str, n: int) -> int:
     return k if 0 < k < n else max(1, n // 2)
 
 
-def build(items: list[tuple[int | None, str | None]], document_frequency: dict[int, int], count: int, mean_words: float) -> list[Index]:
-    """Indexes of items by length class. document_frequency: of the words' fingerprints, over all count items."""
+def build(items: list[tuple[str, str]], terms: np.ndarray, frequency: np.ndarray, count: int, mean_words: float) -> list[Index]:
+    """Indexes of the items (key, text) by length class. terms: fingerprints of words, in order; frequency: how many of all
+    count items have each."""
     words = words_of(pa.array([t for _, t in items], pa.string()), table=PLAIN)
     hashes = words.hashes()
     classes: dict[int, list[int]] = {}
@@ -84,67 +115,108 @@ def build(items: list[tuple[int | None, str | None]], document_frequency: dict[i
     out = []
     for segment, members in sorted(classes.items()):
         own = [hashes[words.first[k] : words.first[k + 1]] for k in members]
-        terms = np.unique(np.concatenate(own))
-        df = np.array([document_frequency[int(t)] for t in terms], float)
+        held = [np.unique(h, return_counts=True) for h in own]
+        sizes = np.array([len(t) for t, _ in held])
+        item = np.repeat(np.arange(len(own)), sizes)
+        fingerprints, term = np.unique(np.concatenate([t for t, _ in held]), return_inverse=True)
+        df = frequency[np.searchsorted(terms, fingerprints)].astype(float)
         idf = np.log1p((count - df + 0.5) / (df + 0.5))
+        tf, length = np.concatenate([n for _, n in held]), np.repeat([len(h) for h in own], sizes)
+        impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean_words))
+        impact /= np.repeat(np.add.reduceat(impact, np.cumsum(sizes) - sizes), sizes)
+        maxima = np.zeros(len(fingerprints))
+        np.maximum.at(maxima, term, impact)
+        order = np.argsort(-maxima, kind="stable")
+        number = np.empty(len(order), np.int64)
+        number[order] = np.arange(len(order))
+        term, maxima = number[term], maxima[order]
+        by_block = term * (len(own) // BLOCK + 1) + item // BLOCK
+        pairs, at = np.unique(by_block, return_inverse=True)
+        highest = np.zeros(len(pairs))
+        np.maximum.at(highest, at, impact)
+        of_term = pairs // (len(own) // BLOCK + 1)
+        blocks = Lists(np.searchsorted(of_term, np.arange(len(maxima) + 1)), pairs % (len(own) // BLOCK + 1), highest)
         sieve = np.zeros(1 << 20, bool)
-        sieve[terms >> np.uint64(44)] = True
-        maxima, blocks = np.zeros((len(terms), -(-len(members) // BLOCK)), np.float32), []
-        for b in range(maxima.shape[1]):
-            mine = own[b * BLOCK : (b + 1) * BLOCK]
-            at = np.searchsorted(terms, np.unique(np.concatenate(mine)))
-            impacts = np.zeros((len(mine), len(at)))
-            for i, h in enumerate(mine):
-                t, tf = np.unique(h, return_counts=True)
-                impact = idf[np.searchsorted(terms, t)] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(h) / mean_words))
-                impacts[i, np.searchsorted(terms[at], t)] = impact / impact.sum()
-            maxima[at, b] = impacts.max(axis=0)
-            blocks.append((np.arange(b * BLOCK, b * BLOCK + len(mine)), at, impacts))
+        sieve[fingerprints >> np.uint64(44)] = True
         cuts = [_question_words(items[k][1], len(h)) for k, h in zip(members, own, strict=True)]
-        out.append(Index(segment, terms, sieve, maxima, blocks, [items[k][0] for k in members], [(_grams(h[:c]), _grams(h[c:])) for c, h in zip(cuts, own, strict=True)]))
+        parts = [(_grams(h[:c]), _grams(h[c:])) for c, h in zip(cuts, own, strict=True)]
+        out.append(Index(segment, fingerprints, number, sieve, maxima, blocks, Lists(np.concatenate(([0], np.cumsum(sizes))), term, impact), [items[k][0] for k in members], parts))
     return out
 
 
+def candidates(index: Index, passage: np.ndarray, term: np.ndarray, threshold: float) -> Iterator[tuple[int, int]]:
+    """(passage, block) of all blocks whose bound reaches the threshold. passage, term: the terms of each passage, in order."""
+    threshold *= 0.999  # sums are not exact
+    strength = index.maxima[term]
+    starts = np.flatnonzero(np.diff(passage, prepend=-1))
+    ends = np.append(starts[1:], len(passage))
+    upto = np.cumsum(strength)
+    rest = np.repeat(upto[ends - 1], ends - starts) - upto + strength  # of a term and all weaker ones of its passage
+    strong = rest >= threshold / 2
+    light = np.add.reduceat(np.where(strong, 0, strength), starts)
+    hopeful = np.repeat(rest[starts] >= threshold, ends - starts)
+    at = np.flatnonzero(strong & hopeful)
+    if not len(at):
+        return
+    row = np.repeat(np.arange(len(starts)), ends - starts)[at]
+    sizes = np.cumsum(index.blocks.at[term[at] + 1] - index.blocks.at[term[at]])
+    many = int(index.blocks.ids.max()) + 1
+    a = 0
+    while a < len(at):  # as many passages as OPENED entries allow, one at least
+        b = int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + OPENED, "right"))
+        b = int(np.searchsorted(row, row[b])) if b < len(at) else b
+        b = b if b > a else int(np.searchsorted(row, row[a], "right"))
+        of, place = index.blocks.opened(term[at[a:b]])
+        pairs, inverse = np.unique(row[a:b][of] * many + index.blocks.ids[place], return_inverse=True)
+        bound = np.bincount(inverse, index.blocks.values[place]) + light[pairs // many]
+        for pair in pairs[bound >= threshold].tolist():
+            yield int(passage[starts[pair // many]]), pair % many
+        a = b
+
+
 def leaks(index: Index, w: Words, hashes: np.ndarray, threshold: float, overlap: float) -> Iterator[tuple[int, int, float, float, float]]:
     """(text, item, score, question overlap, answer overlap) of every verified hit; an item once a text, its best passage."""
     counts = np.diff(w.first)
-    segments = np.maximum(1, -(-counts // index.segment))
-    first_segment = np.cumsum(segments) - segments
+    passages = np.maximum(1, -(-counts // index.segment) - 1)
+    first = np.cumsum(passages) - passages
     at, term = index.look_up(hashes)
     text = np.searchsorted(w.first, at, "right") - 1
-    keys = np.unique((first_segment[text] + (at - w.first[text]) // index.segment) * len(index.terms) + term)
-    of, term = keys // len(index.terms), keys % len(index.terms)
-    if not len(of):
+    segment = (at - w.first[text]) // index.segment
+    begins, ends = segment < passages[text], segment > 0  # a segment begins one passage and ends another
+    passage = first[text] + segment
+    keys = np.unique(np.concatenate((passage[begins], passage[ends] - 1)) * len(index.maxima) + np.concatenate((term[begins], term[ends])))
+    if not len(keys):
         return
-    starts = np.flatnonzero(np.diff(of, prepend=-1))
-    bounds = np.zeros((int(segments.sum()) + 1, index.maxima.shape[1]), np.float32)
-    bounds[of[starts]] = np.add.reduceat(index.maxima[term], starts, axis=0)
-    document = np.repeat(np.arange(len(counts)), segments)
-    followed = np.concatenate((document[1:] == document[:-1], [False]))
-    bounds[:-1] += bounds[1:] * followed[:, None]
+    passage, term = keys // len(index.maxima), keys % len(index.maxima)
+    document = np.repeat(np.arange(len(counts)), passages)
     found: dict[tuple[int, int], tuple[float, float, float]] = {}
-    present = np.zeros(len(index.terms), bool)
-    for s, b in zip(*np.nonzero(bounds[:-1] >= threshold * 0.999), strict=True):
-        items, terms, impacts = index.blocks[b]
-        lo, hi = np.searchsorted(of, [s, s + 1 + followed[s]])
-        present[term[lo:hi]] = True
-        scores = impacts @ present[terms]
-        present[term[lo:hi]] = False
-        for i in np.flatnonzero(scores >= threshold):
-            d = document[s]
-            begin = w.first[d] + (s - first_segment[d]) * index.segment
-            passage = hashes[begin : min(begin + (1 + followed[s]) * index.segment, w.first[d + 1])]
-            shares = [np.isin(g, rolling(passage, n)).mean() if len(g) else 1.0 for g, n in index.parts[items[i]]]
-            if min(shares) >= overlap:
-                key, hit = (int(d), int(items[i])), (float(scores[i]), float(shares[0]), float(shares[1]))
-                found[key] = max(found.get(key, hit), hit)
+    present = np.zeros(len(index.maxima))
+    for p, block in candidates(index, passage, term, threshold):
+        own = term[slice(*np.searchsorted(passage, [p, p + 1]))]
+        present[own] = 1
+        scores = [(item, index.score(item, present)) for item in range(block * BLOCK, min((block + 1) * BLOCK, len(index.keys)))]
+        present[own] = 0
+        for item, score in scores:
+            if score >= threshold:
+                d = document[p]
+                begin = w.first[d] + (p - first[d]) * index.segment
+                words = hashes[begin : min(begin + 2 * index.segment, w.first[d + 1])]
+                shares = [np.isin(g, rolling(words, n)).mean() if len(g) else 1.0 for g, n in index.parts[item]]
+                if min(shares) >= overlap:
+                    key, hit = (int(d), item), (score, float(shares[0]), float(shares[1]))
+                    found[key] = max(found.get(key, hit), hit)
     for (d, i), hit in found.items():
         yield d, i, *hit
 
 
+def _keyed(items: DataFrame) -> DataFrame:
+    """(item_id, item): ids of items with the key of their text."""
+    return items.select(F.col("item_id").cast("long"), F.md5(F.col("text").cast("string").cast("binary")).alias("item")).filter("item is not null")
+
+
 def shards(items: DataFrame) -> list[list[Index]]:
-    """Indexes of the items (item_id, text), SHARD_ITEMS to a shard."""
-    items = staged(items.select(F.col("item_id").cast("long"), F.col("text").cast("string")), "items")
+    """Indexes of the different items (item_id, text), in shards."""
+    texts = staged(items.select(F.col("text").cast("string")).filter("text is not null").distinct().withColumn("item", F.md5(F.col("text").cast("binary"))), "items")
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,30 +224,27 @@ def shards(items: DataFrame) -> list[list[Index]]:
                 w = words_of(part.column("text"), table=PLAIN)
                 h, text = w.hashes().view(np.int64), np.repeat(np.arange(part.num_rows), np.diff(w.first))
                 pairs, n = np.unique(np.stack([text, h]), axis=1, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(text_ids(part, pairs[0])), pa.array(pairs[1]), pa.array(n)], ["item_id", "term", "n"])
+                yield pa.RecordBatch.from_arrays([part.column("item").take(pa.array(pairs[0])), pa.array(pairs[1]), pa.array(n)], ["item", "term", "n"])
 
-    def text_ids(part: pa.RecordBatch, rows: np.ndarray) -> pa.Array:
-        return part.column("item_id").take(pa.array(rows))
-
-    found = staged(items.mapInArrow(terms, "item_id long, term long, n long"), "item-terms")
-    frequency = found.groupBy("term").agg(F.count("*").alias("df"))
-    count = items.count()
-    mean = (found.agg(F.sum("n")).first()[0] or 0) / max(1, count)
-    parts = max(1, -(-count // SHARD_ITEMS))
-    shard = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
+    found = staged(texts.select("item", "text").mapInArrow(terms, "item string, term long, n long"), "item-terms")
+    frequency = staged(found.groupBy("term").agg(F.count("*").alias("df")), "item-frequencies")
+    count, words = found.agg(F.countDistinct("item"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    parts = max(1, -(-count // SHARD_ITEMS), -(-words // SHARD_WORDS))
+    shard = F.pmod(F.xxhash64("item"), F.lit(parts))
     out = []
-    for k in range(parts):
-        own = items.filter(shard == k).orderBy("item_id", "text").collect()  # about SHARD_ITEMS rows
-        df = found.join(F.broadcast(items.filter(shard == k).select("item_id").distinct()), "item_id", "left_semi").select("term").distinct().join(frequency, "term").collect() if own else []
-        if own:
-            out.append(build([tuple(r) for r in own], {int(np.int64(r.term).view(np.uint64)): r.df for r in df}, count, mean))
+    for k in range(parts if count else 0):
+        own = texts.filter(shard == k).orderBy("item").collect()
+        used = frequency.join(found.filter(shard == k).select("term").distinct(), "term", "left_semi").toArrow()  # SHARD_WORDS rows, about, at most
+        term = used["term"].to_numpy().view(np.uint64)
+        order = np.argsort(term)
+        out.append(build([(r.item, r.text) for r in own], term[order], used["df"].to_numpy()[order], count, words / count))
     return out
 
 
 def _found(part: pa.RecordBatch, indexes: list[Index], threshold: float, overlap: float) -> list[tuple]:
     w = words_of(part.column("text"), table=PLAIN)
     hashes = w.hashes()
-    return [(d, index.ids[i], *hit) for index in indexes for d, i, *hit in leaks(index, w, hashes, threshold, overlap)]
+    return [(d, index.keys[i], *hit) for index in indexes for d, i, *hit in leaks(index, w, hashes, threshold, overlap)]
 
 
 def contaminated(docs: DataFrame, items: DataFrame, *, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
@@ -183,33 +252,31 @@ def contaminated(docs: DataFrame, items: DataFrame, *, threshold: float = THRESH
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
     def searched(indexes: list[Index]) -> DataFrame:
-        shared = docs.sparkSession.sparkContext.broadcast(indexes)
-
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in chunks(batch):
-                    hits = _found(part, shared.value, threshold, overlap)
+                    hits = _found(part, indexes, threshold, overlap)
                     columns = list(zip(*hits, strict=True)) or [()] * 5
                     ids = part.column("doc_id").take(pa.array(columns[0], pa.int64()))
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(columns[1], pa.int64()), *(pa.array(c, pa.float64()) for c in columns[2:])], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(columns[1], pa.string()), *(pa.array(c, pa.float64()) for c in columns[2:])], ["doc_id", "item", "score", "question_overlap", "answer_overlap"])
 
-        return texts.mapInArrow(search, _ROWS)
+        return texts.mapInArrow(search, _HITS)
 
     found = [searched(indexes) for indexes in shards(items)]
-    return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], _ROWS)
+    if not found:
+        return docs.sparkSession.createDataFrame([], _ROWS)
+    return reduce(DataFrame.unionByName, found).join(bounded(staged(_keyed(items), "item-keys")), "item").select("doc_id", "item_id", "score", "question_overlap", "answer_overlap")
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, *, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
     """The rows of docs, with all their columns, in which no item is found."""
 
     def cleaned(df: DataFrame, indexes: list[Index]) -> DataFrame:
-        shared = docs.sparkSession.sparkContext.broadcast(indexes)
-
         def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in chunks(batch):
                     keep = np.ones(part.num_rows, bool)
-                    keep[[d for d, *_ in _found(part, shared.value, threshold, overlap)]] = False
+                    keep[[d for d, *_ in _found(part, indexes, threshold, overlap)]] = False
                     yield part.filter(pa.array(keep))
 
         return df.mapInArrow(clean, docs.schema)
