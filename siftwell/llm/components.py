@@ -26,6 +26,14 @@ def unite(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
         np.minimum.at(parent, np.maximum(i, j), np.minimum(i, j))
 
 
+def with_nodes(unique: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """unique with ``node``, its ``id`` or, where that is null, a number above all ids, staged; and the greatest id."""
+    top = unique.agg(F.max("id")).first()[0]
+    top = -1 if top is None else top
+    node = F.coalesce("id", F.monotonically_increasing_id() + F.lit(top + 1))
+    return staged(unique.withColumn("node", node.cast("long")), name), top
+
+
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 

@@ -7,15 +7,19 @@ than it, so a pair of tiles whose counts are further apart is never made; within
 counts of the four 16-bit quarters taken together, by which blocks are skipped. What remains is compared completely,
 by exclusive-or and bit counts. A pair of tiles returns a spanning forest of its links and never the pairs themselves.
 
-That finds texts with almost all shingles in common. To find texts by similarity (``similar_groups``), the fingerprints are
-wider and their radius is that of the similarity; candidates are then compared exactly by their sets of shingles.
+That finds texts with almost all shingles in common. To find texts by similarity (``similar_groups``), equal sets of shingles
+are merged, the fingerprints are wider, and their radius is that of the similarity and ``SPREAD`` deviations more; candidates
+are then compared exactly by their sets of shingles. Bits of a text of few shingles say too little, so texts of up to
+``SHORT`` shingles have a second way to become candidates that misses nothing: two such sets share one of their rarest
+shingles, as many as the similarity allows to differ and one more.
 
 Cost: the comparison is quadratic in the number of distinct fingerprints, as the method is; its memory is two tiles a
 task, and each tile is sent to the tasks that compare it.
 
 Defined cases: null, empty and blank texts have fingerprint zero, which links like any other; a text of fewer words
-than a shingle is one shingle; a very long text is one row's work; repeated rows link with each other; an empty table
-gives an empty result; rows with a null id are left out, as they can name no group.
+than a shingle is one shingle; a very long text is one row's work; repeated rows link with each other; rows with a null id
+link like any other, but name no group: a group of only such rows has the id null; ``without_near_duplicates`` keeps rows
+without an id; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,11 +31,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.llm.common import bounded, staged
-from siftwell.llm.components import components, unite
+from siftwell.llm.components import components, unite, with_nodes
 from siftwell.llm.words import chunks, mixed, words_of
 
 SHINGLE = 5
@@ -42,6 +46,8 @@ SEED = 42
 TILE, TILES = 65_536, 16
 #: Words of 64 bits where similar texts are sought, and sets of shingles in a tile.
 WIDE, SET_TILE = 4, 256
+#: Deviations that candidates may lie beyond the expected distance, and shingles of the texts that also have the other way.
+SPREAD, SHORT = 5, 80
 _ROWS, _COLUMNS = 256, 2048
 
 
@@ -50,15 +56,13 @@ class Shingles(NamedTuple):
 
     hashes: np.ndarray
     made: np.ndarray
-    joined: bytes
-    spans: list[tuple[int, int]]
 
 
 def shingles(texts: pa.Array, shingle: int = SHINGLE, seed: int = SEED) -> Shingles:
-    """XXH64 of each text's shingles, lower-cased within A-Z; and the texts' words joined by spaces, as spans of bytes."""
+    """XXH64 of each text's shingles, lower-cased within A-Z."""
     w = words_of(texts, lower=True)
     if not len(w.starts):
-        return Shingles(np.zeros(0, np.uint64), np.zeros(len(texts), np.int64), b"", [(0, 0)] * len(texts))
+        return Shingles(np.zeros(0, np.uint64), np.zeros(len(texts), np.int64))
     sizes = w.ends - w.starts
     inside = np.repeat(w.starts, sizes) + _within(sizes)
     starts = np.cumsum(sizes + 1) - sizes - 1  # of the words, one space apart
@@ -71,8 +75,7 @@ def shingles(texts: pa.Array, shingle: int = SHINGLE, seed: int = SEED) -> Shing
     last = np.minimum(at + shingle, np.repeat(w.first[1:], made)) - 1
     data, digest = joined.tobytes(), xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(data[s:e], seed) for s, e in zip(starts[at].tolist(), ends[last].tolist(), strict=True)), np.uint64, len(at))
-    spans = [(int(starts[a]), int(ends[b - 1])) if b > a else (0, 0) for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)]
-    return Shingles(hashes, made, data, spans)
+    return Shingles(hashes, made)
 
 
 def majority(hashes: np.ndarray, made: np.ndarray) -> np.ndarray:
@@ -109,7 +112,7 @@ def _within(sizes: np.ndarray) -> np.ndarray:
 
 
 def with_fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp) of every row of docs with an id; fp holds the fingerprint's 64 bits as long."""
+    """(doc_id, fp) of every row of docs; fp holds the fingerprint's 64 bits as long."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,7 +120,7 @@ def with_fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED)
                 fp = pa.array(fingerprints(part.column("text"), shingle, seed).view(np.int64))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), fp], ["doc_id", "fp"])
 
-    return docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(made, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(made, "doc_id long, fp long")
 
 
 def _quarters(fp: np.ndarray) -> np.ndarray:
@@ -211,27 +214,32 @@ def near_links(unique: DataFrame, radius: int = RADIUS, tile: int = TILE, total:
 def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED) -> DataFrame:
     """(doc_id, fp, component_id): one row per row of docs, with the least doc_id that links of at most ``radius`` bits reach."""
     prints = staged(with_fingerprints(docs, shingle, seed), "fingerprints")
-    unique = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "unique-fingerprints")
-    found = components(near_links(unique, radius))
-    groups = staged(unique.join(found, "node", "left").select(F.col("fp").alias("group_fp"), F.coalesce("component", "node").alias("component_id")), "groups")
+    unique, top = with_nodes(prints.groupBy("fp").agg(F.min("doc_id").alias("id")), "unique-fingerprints")
+    found = components(near_links(unique.select("fp", "node"), radius))
+    least = F.coalesce("component", "node")
+    groups = staged(unique.join(found, "node", "left").select(F.col("fp").alias("group_fp"), F.when(least <= top, least).alias("component_id")), "groups")
     return prints.join(bounded(groups), F.col("fp") == F.col("group_fp")).select("doc_id", "fp", "component_id")
 
 
+def _like(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common >= similarity * (len(a) + len(b) - common) - 1e-6
+
+
 def _sets_near(similarity: float):
-    def near(pair: pd.DataFrame) -> pd.DataFrame:
-        """Rows of one or two tiles of a group, each with its set of shingles -> a spanning forest of the pairs as similar."""
-        first = (pair["tile"] == pair["x"]).to_numpy()
-        nodes = np.sort(pair["node"].to_numpy())
-        rank = np.searchsorted(nodes, pair["node"].to_numpy())
-        sets = [np.frombuffer(s, np.uint64) for s in pair["shingles"]]
+    def near(task: pd.DataFrame) -> pd.DataFrame:
+        """Sets of a tile (side 0) and of another (side 1), which may hold the same rows -> a spanning forest of the pairs as similar."""
+        nodes = np.unique(task["node"].to_numpy())
+        rank = np.searchsorted(nodes, task["node"].to_numpy())
+        side = task["side"].to_numpy()
+        sets = [np.frombuffer(s, np.uint64) for s in task["shingles"]]
         sizes = np.array([len(s) for s in sets])
         row = np.repeat(np.arange(len(sets)), sizes)
         values, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         column = (np.cumsum(counts > 1) - 1)[inverse]
         shared = (counts > 1)[inverse]
         row, column = row[shared], column[shared]
-        left = np.flatnonzero(first)
-        right = left if first.all() else np.flatnonzero(~first)
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         common = np.zeros((len(left), len(right)))
         for at in range(0, int(column.max()) + 1 if len(column) else 0, 4096):
             here = (column >= at) & (column < at + 4096)
@@ -246,50 +254,100 @@ def _sets_near(similarity: float):
     return near
 
 
+def short_groups(short: DataFrame, similarity: float) -> DataFrame:
+    """(node, n, short: its n shingles) -> (group, node): groups by a common shingle, such that any two sets as similar meet in one.
+
+    Of sets of n and m shingles as similar, each has its n - ceil(n * similarity) + 1 rarest ones, and these have one in common.
+    """
+    each = staged(short.select("node", "n", F.explode_outer("short").alias("shingle")), "short-shingles")
+    counts = each.groupBy(F.col("shingle").alias("_shingle")).agg(F.count("*").alias("texts")).filter("texts > 1")
+    # one that a single text has is rarer than all others and meets nothing
+    held = each.join(counts, F.col("shingle") == F.col("_shingle"), "left").withColumn("texts", F.coalesce("texts", F.lit(1)))
+    at = F.row_number().over(Window.partitionBy("node").orderBy("texts", "shingle"))
+    rarest = held.withColumn("at", at).filter(F.col("at") <= F.col("n") - F.ceil(F.col("n") * similarity - 1e-6) + 1).filter("texts > 1")
+    return rarest.select(F.col("shingle").alias("group"), "node")
+
+
+def similar_links(sets: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
+    """sets (node, shingles), groups (group, node) -> (a, b): links that span, within each group, all pairs as similar.
+
+    Every set is compared with that of its group's least node first. Those alike are settled, as they need not be compared
+    with one another; the others are compared with all of the group, tile by tile.
+    """
+    grouped = groups.withColumnRenamed("node", "_node").join(sets, F.col("_node") == F.col("node")).select("group", "node", "shingles")
+    least = staged(groups.groupBy(F.col("group").alias("_group")).agg(F.min("node").alias("first")), "group-firsts")
+    first = staged(least.join(sets, F.col("first") == F.col("node")).select("_group", "first", F.col("shingles").alias("first_shingles")), "group-first-sets")
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(batch.column("shingles").to_pylist(), batch.column("first_shingles").to_pylist(), strict=True)
+            alike = pa.array([_like(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), similarity) for x, y in pairs], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("group"), batch.column("node"), batch.column("first"), alike], ["group", "node", "first", "alike"])
+
+    told = grouped.join(bounded(first), F.col("group") == F.col("_group")).filter("node <> first").mapInArrow(compared, "group long, node long, first long, alike boolean")
+    told = staged(told, "compared-with-first")
+    links = told.filter("alike").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    rest = told.filter("not alike")
+    if not rest.take(1):
+        return links
+    # tasks (group, x, y): tile x of the others with tile y of all
+    sizes = told.groupBy(F.col("group").alias("_group")).agg(F.sum((~F.col("alike")).cast("int")).alias("others"), (F.count("*") + 1).alias("all")).filter("others > 0")
+    sizes = staged(sizes.select("_group", F.ceil(F.col("others") / SET_TILE).cast("int").alias("xs"), F.ceil(F.col("all") / SET_TILE).cast("int").alias("ys")), "group-tiles")
+    tile = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    sized = groups.join(bounded(sizes), F.col("group") == F.col("_group")).select("group", "node", "xs", "ys")
+    other = rest.select(F.col("group").alias("_g"), F.col("node").alias("_n"))
+    left = sized.join(other, (F.col("group") == F.col("_g")) & (F.col("node") == F.col("_n"))).select("group", "node", tile("xs").alias("x"), F.explode(F.sequence(F.lit(0), F.col("ys") - 1)).alias("y"), F.lit(0).alias("side"))
+    right = sized.select("group", "node", F.explode(F.sequence(F.lit(0), F.col("xs") - 1)).alias("x"), tile("ys").alias("y"), F.lit(1).alias("side"))
+    tasks = left.unionByName(right).withColumnRenamed("node", "_node").join(sets, F.col("_node") == F.col("node")).select("group", "x", "y", "side", "node", "shingles")
+    return links.unionByName(tasks.groupBy("group", "x", "y").applyInPandas(_sets_near(similarity), "a long, b long"))
+
+
 def similar_groups(docs: DataFrame, *, similarity: float = SIMILARITY, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """(doc_id, component_id): groups of texts whose sets of shingles have a Jaccard similarity of at least so much.
 
-    Texts of equal words are merged first. SimHashes of ``WIDE`` times 64 bits find candidates by the tiled comparison,
-    within a radius that such texts exceed with a chance of about one in a thousand; the groups of candidates are then
-    compared exactly, in tiles again, by their sets. Only texts in such a group have their sets made.
+    Rows without an id are left out. Texts of equal sets are merged first. SimHashes of ``WIDE`` times 64 bits find candidates
+    by the tiled comparison, within a radius that such texts of many shingles exceed with a chance of less than one in a
+    million, and short texts also by their rarest shingles; groups of candidates are then compared exactly by their sets.
+    Only texts in such a group have their sets made.
     """
     texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     cosine = 2 * similarity / (1 + similarity)
     share = np.arccos(min(1.0, cosine)) / np.pi  # of bits in which two such texts differ, as expected
-    radius, total = (int(np.ceil(bits * share + 3 * np.sqrt(bits * share * (1 - share)))) for bits in (64, 64 * WIDE))
+    radius, total = (int(np.ceil(bits * share + SPREAD * np.sqrt(bits * share * (1 - share)))) for bits in (64, 64 * WIDE))
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch):
-                s = shingles(part.column("text"), shingle, seed)
-                hashes, count = distinct(s)  # one vote for each, as the sets have it
+                hashes, count = distinct(shingles(part.column("text"), shingle, seed))  # one vote for each, as the sets have it
                 prints = [majority(hashes if not k else mixed(hashes + np.uint64(k)), count) for k in range(WIDE)]
                 more = np.stack(prints[1:], axis=1)
-                keys = [xxhash.xxh3_128_digest(s.joined[a:b]) for a, b in s.spans]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(keys, pa.binary()), pa.array(prints[0].view(np.int64)), pa.array([m.tobytes() for m in more], pa.binary())], ["doc_id", "key", "fp", "more"])
+                ends = np.cumsum(count)
+                keys = [xxhash.xxh3_128_digest(hashes[e - n : e].tobytes()) for e, n in zip(ends, count, strict=True)]
+                short = [hashes[e - n : e].view(np.int64) if 0 < n <= SHORT else None for e, n in zip(ends, count, strict=True)]
+                columns = [pa.array(keys, pa.binary()), pa.array(prints[0].view(np.int64)), pa.array([m.tobytes() for m in more], pa.binary()), pa.array(short, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], ["doc_id", "key", "fp", "more", "short"])
 
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch):
-                s = shingles(part.column("text"), shingle, seed)
-                ends = np.cumsum(s.made)
-                sets = [np.unique(s.hashes[e - n : e]).tobytes() for n, e in zip(s.made, ends, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("node"), part.column("component"), pa.array(sets, pa.binary())], ["node", "component", "shingles"])
-
-    prints = staged(texts.mapInArrow(made, "doc_id long, key binary, fp long, more binary"), "wide-fingerprints")
-    unique = staged(prints.groupBy("key").agg(F.min("doc_id").alias("node"), F.min("fp").alias("fp"), F.min("more").alias("more")), "unique-texts")
-    suspects = staged(components(near_links(unique.select("fp", "node", "more"), radius, total=total)), "suspects")
-    # a group's tiles hold SET_TILE sets each; a pair of them is a task
-    sizes = suspects.groupBy("component").agg(F.ceil(F.count("*") / SET_TILE).cast("int").alias("tiles"))
-    suspects = staged(suspects.join(bounded(sizes), "component"), "suspect-tiles")
-    sets = texts.join(bounded(suspects), F.col("doc_id") == F.col("node")).dropDuplicates(["node"]) if prints.groupBy("doc_id").count().filter("count > 1").take(1) else texts.join(bounded(suspects), F.col("doc_id") == F.col("node"))
-    sets = sets.select("text", "node", "component").mapInArrow(with_sets, "node long, component long, shingles binary")
-    sets = sets.join(bounded(sizes.withColumnRenamed("component", "of")), F.col("component") == F.col("of")).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    tasks = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("component", F.least("tile", "other").alias("x"), F.greatest("tile", "other").alias("y"), "tile", "node", "shingles")
-    links = tasks.groupBy("component", "x", "y").applyInPandas(_sets_near(similarity), "a long, b long")
-    groups = components(links)
-    groups = staged(unique.join(groups, "node", "left").select(F.col("key").alias("_key"), F.coalesce("component", "node").alias("component_id")), "text-groups")
-    return prints.join(bounded(groups), F.col("key") == F.col("_key")).select("doc_id", "component_id")
+                hashes, count = distinct(shingles(part.column("text"), shingle, seed))
+                sets = [hashes[e - n : e].tobytes() for n, e in zip(count, np.cumsum(count), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.binary())], ["node", "shingles"])
+
+    prints = staged(texts.mapInArrow(made, "doc_id long, key binary, fp long, more binary, short array<long>"), "wide-fingerprints")
+    held = prints.groupBy("key").agg(F.min("doc_id").alias("node"), F.min("fp").alias("fp"), F.min("more").alias("more"), F.min("short").alias("short"))
+    unique = staged(held, "unique-texts")
+    near = components(near_links(unique.select("fp", "node", "more"), radius, total=total)).select(F.col("component").alias("group"), "node")
+    groups = near.unionByName(short_groups(unique.filter("short is not null").select("node", F.size("short").alias("n"), "short"), similarity))
+    groups = staged(groups, "suspects")
+    nodes = staged(groups.select(F.col("node").alias("_node")).distinct(), "suspect-nodes")
+    own = texts.join(bounded(nodes), F.col("doc_id") == F.col("_node"))
+    if prints.groupBy("doc_id").count().filter("count > 1").take(1):  # rows that repeat an id: the one whose set the node stands for
+        own = own.dropDuplicates(["doc_id"])
+    sets = staged(own.select("text", F.col("doc_id").alias("node")).mapInArrow(with_sets, "node long, shingles binary"), "suspect-sets")
+    found = components(similar_links(sets, groups, similarity))
+    named = staged(unique.join(found, "node", "left").select(F.col("key").alias("_key"), F.coalesce("component", "node").alias("component_id")), "text-groups")
+    return prints.join(bounded(named), F.col("key") == F.col("_key")).select("doc_id", "component_id")
 
 
 def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:
