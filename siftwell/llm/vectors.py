@@ -1,9 +1,10 @@
 """Embedding near-dedup: spherical k-means cells, blocked cosine products within cells, one representative for a group.
 
-Equal vectors are first merged into one row with a count, so copies cost nothing. Centroids are fitted on a bounded sample
-of ``SAMPLE`` rows in the order of a seeded hash; every vector is then indexed. A vector lives in the cell of its nearest
-centroid, and visits every other cell if it is within ``reach`` of the plane halfway between the two centroids. A pair of
-vectors of different cells that meets in both of them counts in one, as each vector carries the cells it visits.
+Equal vectors are first merged into one row with a count, so copies cost nothing. Centroids are fitted by one task on a bounded
+sample of ``SAMPLE`` rows in the order of a seeded hash, for each length that vectors have; every vector is then indexed. A
+vector lives in the cell of its nearest centroid, and visits every other cell if it is within ``reach`` of the plane halfway
+between the two centroids. A pair of vectors of different cells that meets in both of them counts in one, as each vector
+carries the cells it visits.
 
 Two unit vectors with cosine c are sqrt(2 - 2 c) apart. If they live on either side of a plane, one of them lies within half
 of that of it; with this as reach no link can be missed. ``exact=False`` gives that up: it presumes that the difference of
@@ -11,16 +12,19 @@ two near vectors spreads evenly over d dimensions, so that its part across a pla
 reaches half of ``SPREAD`` deviations where that is less.
 
 A cell is split into tiles of bounded size; a task compares two tiles, whatever the size of the cell. It returns counts of
-links and a spanning forest, never the pairs.
+links and a spanning forest, never the pairs. Vectors travel as they are stored and are scaled, in double precision, where
+they are compared; afterwards a 128-bit hash stands for them.
 
-Defined cases: vectors that are null, empty, zero, of another length than most, or hold null or non-finite components link
-with nothing and are their own component; rows with a null id are left out; repeated ids count as one vector each; an empty
-table gives an empty result.
+Defined cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing and are their own
+component; vectors of different lengths do not link with each other; repeated ids count as one vector each; vectors with a
+null id link like any other, but name no component: one of only such vectors has the id null; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm.common import bounded, staged
-from siftwell.llm.components import components, unite
+from siftwell.llm.components import components, unite, with_nodes
 
 COSINE = 0.95
 SAMPLE, ROUNDS = 20_000, 12
@@ -53,12 +57,21 @@ def kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 11) -> np.nd
     return centroids
 
 
-def _unit(column: pa.Array, d: int) -> np.ndarray:
-    x = column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, d)
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(float)
     x = x / np.abs(x).max(axis=1, keepdims=True)  # so that no square overflows or vanishes
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _by_length(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of each length, and their values, row by row."""
+    sizes, values = column.value_lengths().to_numpy(zero_copy_only=False), column.flatten().to_numpy(zero_copy_only=False)
+    first = np.cumsum(sizes) - sizes
+    for d in np.unique(sizes):
+        rows = np.flatnonzero(sizes == d)
+        yield rows, values[first[rows][:, None] + np.arange(d)]
+
+
 def _receives(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Whether pairs that meet in cell a and in cell b count in a: of every two cells just one does, and each about half the time."""
     return ((a + b) % 2 == 0) == (a < b)
@@ -76,10 +89,10 @@ def assign(x: np.ndarray, centroids: np.ndarray, reach: float) -> tuple[np.ndarr
     return np.concatenate((np.arange(len(x)), rows)), np.concatenate((own, cells)), np.concatenate((own, own[rows])), visits
 
 
-def _compared(d: int, cosine: float):
+def _compared(cosine: float, kind: type):
     def compare(pair: pd.DataFrame) -> pd.DataFrame:
         """Rows of one home tile (side 0) and those of another tile of the cell, at home or visiting (side 1)."""
-        x = np.frombuffer(b"".join(pair["vector"]), float).reshape(-1, d)
+        x = _unit(np.frombuffer(b"".join(pair["vector"]), kind).reshape(len(pair), -1))
         node, copies, side, lives = (pair[c].to_numpy() for c in ("node", "copies", "side", "lives"))
         cell, visits = pair["cell"].iloc[0], np.unpackbits(np.frombuffer(b"".join(pair["visits"]), np.uint8).reshape(len(x), -1), axis=1)
         nodes = np.sort(node)
@@ -106,51 +119,66 @@ def _compared(d: int, cosine: float):
     return compare
 
 
+def _centroids(unique: DataFrame, cell_rows: int) -> dict[int, np.ndarray]:
+    """By length, fitted in one task on a bounded sample; a length that the sample lacks has none, and all its vectors one cell."""
+    n = dict(unique.groupBy(F.size("embedding")).count().collect())  # a row for each length
+    sample = unique.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("embedding")
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            for _, x in _by_length(batch.column("embedding")):
+                held.setdefault(x.shape[1], []).append(_unit(x))
+        made = {d: kmeans(np.concatenate(parts), max(1, min(CELLS, n[d] // cell_rows))) for d, parts in held.items()}
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(made)], pa.binary())], ["made"])
+
+    made = sample.coalesce(1).mapInArrow(fitted, "made binary").first()
+    return pickle.loads(made.made) if made else {}
+
+
 def near_duplicates(vectors: DataFrame, *, cosine: float = COSINE, exact: bool = True, cell_rows: int = CELL_ROWS, tile: int = TILE) -> DataFrame:
-    """(vec_id, n_links, component_id) of every row of vectors (vec_id, embedding) with an id."""
-    spark = vectors.sparkSession
-    rows = vectors.filter("vec_id is not null").select(F.col("vec_id").cast("long"), "embedding")
+    """(vec_id, n_links, component_id) of every row of vectors (vec_id, embedding)."""
     e = F.col("embedding")
+    kind = np.float32 if dict(vectors.dtypes)["embedding"] == "array<float>" else np.float64
+    rows = vectors.select(F.col("vec_id").cast("long"), e.cast(f"array<{'float' if kind is np.float32 else 'double'}>").alias("embedding"))
     fine = F.coalesce(F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(e, lambda v: v != 0), F.lit(False))
-    lengths = rows.filter(fine).groupBy(F.size(e).alias("d")).count().orderBy(F.desc("count"), "d").first()
-    d = lengths.d if lengths else 0
-    valid = fine & (F.size(e) == d)
-    unique = staged(rows.filter(valid).groupBy("embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")), "unique-vectors")
-    n = unique.count()
-    if not n:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    sample = unique.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("embedding").toArrow()
-    centroids = kmeans(_unit(sample["embedding"].combine_chunks(), d), max(1, min(CELLS, n // cell_rows)))
-    reach = math.sqrt(max(0.0, 2 - 2 * cosine)) / 2 * (1 if exact else min(1, SPREAD / math.sqrt(d)))
-    shared = spark.sparkContext.broadcast(centroids)
+    rows = rows.withColumn("fine", fine).withColumn("h1", F.xxhash64(F.lit(1), e)).withColumn("h2", F.xxhash64(F.lit(2), e))
+    unique, top = with_nodes(rows.filter("fine").groupBy("h1", "h2", "embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")), "unique-vectors")
+    centroids = _centroids(unique, cell_rows)
+    most = max([1, *(len(c) for c in centroids.values())])
+    near = math.sqrt(max(0.0, 2 - 2 * cosine)) / 2
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                x = _unit(part.column("embedding"), d)
-                row, cell, lives, visits = assign(x, shared.value, reach)
-                take = pa.array(row)
-                packed, bits = (pa.array([v.tobytes() for v in rows], pa.binary()) for rows in (x, np.packbits(visits, axis=1)))
-                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(lives.astype(np.int32)), part.column("node").take(take), part.column("copies").take(take), packed.take(take), bits.take(take)], ["cell", "lives", "node", "copies", "vector", "visits"])
-
-    at = unique.mapInArrow(placed, "cell int, lives int, node long, copies long, vector binary, visits binary")
+                for rows, x in _by_length(part.column("embedding")):
+                    d = x.shape[1]
+                    row, cell, lives, visits = assign(_unit(x), centroids.get(d, np.eye(1, d)), near * (1 if exact else min(1, SPREAD / math.sqrt(d))))
+                    visits = np.pad(visits, ((0, 0), (0, most - visits.shape[1])))
+                    take, whose = pa.array(row), pa.array(rows[row])
+                    packed, bits = (pa.array([v.tobytes() for v in values], pa.binary()) for values in (np.ascontiguousarray(x, kind), np.packbits(visits, axis=1)))
+                    columns = [pa.array(np.full(len(row), d, np.int32)), pa.array(cell.astype(np.int32)), pa.array(lives.astype(np.int32)), part.column("node").take(whose), part.column("copies").take(whose), packed.take(take), bits.take(take)]
+                    yield pa.RecordBatch.from_arrays(columns, ["d", "cell", "lives", "node", "copies", "vector", "visits"])
+
+    at = unique.select("node", "copies", "embedding").mapInArrow(placed, "d int, cell int, lives int, node long, copies long, vector binary, visits binary")
     at = staged(at, "cells").withColumn("home", F.col("cell") == F.col("lives"))
-    sizes = at.groupBy("cell").agg(F.sum(F.col("home").cast("int")).alias("homes"), F.sum((~F.col("home")).cast("int")).alias("visitors"))
-    sizes = sizes.select(F.col("cell").alias("_cell"), F.ceil(F.col("homes") / tile).cast("int").alias("h"), F.ceil(F.col("visitors") / tile).cast("int").alias("v"))  # CELLS rows at most
-    at = at.join(F.broadcast(sizes), F.col("cell") == F.col("_cell")).filter("h > 0").withColumn("t", F.pmod(F.xxhash64("node"), F.when(F.col("home"), F.col("h")).otherwise(F.col("v"))).cast("int"))
-    # tasks (cell, x, y): home tile x with home tile y >= x, or with visiting tile y - h
-    as_left = at.filter("home").select("cell", F.col("t").alias("x"), F.explode(F.sequence(F.col("t"), F.col("h") + F.col("v") - 1)).alias("y"), "node", "copies", "vector", "visits", "lives", F.lit(0).alias("side"), F.col("t").alias("own"))
+    sizes = at.groupBy("d", "cell").agg(F.sum(F.col("home").cast("int")).alias("homes"), F.sum((~F.col("home")).cast("int")).alias("visitors"))
+    sizes = sizes.select(F.col("d").alias("_d"), F.col("cell").alias("_cell"), F.ceil(F.col("homes") / tile).cast("int").alias("h"), F.ceil(F.col("visitors") / tile).cast("int").alias("v"))
+    at = at.join(bounded(staged(sizes, "cell-sizes")), (F.col("d") == F.col("_d")) & (F.col("cell") == F.col("_cell"))).filter("h > 0").withColumn("t", F.pmod(F.xxhash64("node"), F.when(F.col("home"), F.col("h")).otherwise(F.col("v"))).cast("int"))
+    # tasks (d, cell, x, y): home tile x with home tile y >= x, or with visiting tile y - h
+    as_left = at.filter("home").select("d", "cell", F.col("t").alias("x"), F.explode(F.sequence(F.col("t"), F.col("h") + F.col("v") - 1)).alias("y"), "node", "copies", "vector", "visits", "lives", F.lit(0).alias("side"), F.col("t").alias("own"))
     as_right = at.withColumn("y", F.when(F.col("home"), F.col("t")).otherwise(F.col("h") + F.col("t"))).withColumn("last", F.when(F.col("home"), F.col("t") - 1).otherwise(F.col("h") - 1)).filter("last >= 0")
-    as_right = as_right.select("cell", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("x"), "y", "node", "copies", "vector", "visits", "lives", F.lit(1).alias("side"), F.lit(-1).alias("own"))
+    as_right = as_right.select("d", "cell", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("x"), "y", "node", "copies", "vector", "visits", "lives", F.lit(1).alias("side"), F.lit(-1).alias("own"))
     tasks = as_left.unionByName(as_right).withColumn("same", F.col("own") == F.col("y")).drop("own")
-    found = staged(tasks.groupBy("cell", "x", "y").applyInPandas(_compared(d, cosine), "node long, root long, links long"), "vector-links")
+    found = staged(tasks.groupBy("d", "cell", "x", "y").applyInPandas(_compared(cosine, kind), "node long, root long, links long"), "vector-links")
     groups = components(found.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    nodes = unique.join(links, "node", "left").join(groups, "node", "left")
-    nodes = staged(nodes.select(F.col("embedding").alias("_e"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.coalesce("component", "node").alias("component_id")), "vector-groups")
-    linked = rows.filter(valid).join(bounded(nodes, 50_000), F.col("embedding") == F.col("_e")).select("vec_id", "n_links", "component_id")
-    alone = rows.filter(~valid).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    nodes = unique.select("h1", "h2", "node", "copies").join(links, "node", "left").join(groups, "node", "left")
+    least = F.coalesce("component", "node")
+    nodes = staged(nodes.select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.when(least <= top, least).alias("component_id")), "vector-groups")
+    linked = rows.filter("fine").join(bounded(nodes), (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2"))).select("vec_id", "n_links", "component_id")
+    alone = rows.filter("not fine").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone)
 
 
