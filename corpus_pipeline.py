@@ -32,15 +32,19 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return decontam.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+def _counted(docs: DataFrame) -> DataFrame:
+    """docs with n_chars, where it has that column, of the text as it is."""
+    return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
+
+
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by its kind; n_chars follows the text."""
-    clean = pii.redacted(docs)
-    return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean
+    return _counted(pii.redacted(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of the sources by weight."""
-    return mixing.mixed_documents(docs)
+    """The mix of the sources by weight; n_chars follows the text, which is cut at a source's edge."""
+    return _counted(mixing.mixed_documents(docs))
 
 
 STAGES = [
