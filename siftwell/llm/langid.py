@@ -1,8 +1,9 @@
 """Language ID by Bayesian evidence fusion: text likelihoods, declared markup language, address suffix, host priors.
 
 The posterior of a language is its prior on the host times the likelihoods of what the text, the markup and the address
-say. Text: byte trigrams in a hash space, naive Bayes, fitted on a bounded sample of texts of known language
-(``TRAIN_ROWS``); as trigrams overlap and repeat, their evidence is discounted. Markup and address suffix: how often a
+say. Text: byte trigrams in a hash space, naive Bayes. The languages are all that the input names; each is fitted on a sample of
+its texts (``TRAIN_ROWS`` and about ``TRAIN_CHARS`` of a language, in the order of a hash, one at least), so that neither a rare
+language nor one of a few texts many times over is lost. As trigrams overlap and repeat, their evidence is discounted. Markup and address suffix: how often a
 declaration or suffix goes with a language, from grouped counts over the whole input. Host: counts of languages on the host
 shrunk to those on its domain, those to all; a row's own text is taken out of the counts that judge it.
 
@@ -20,13 +21,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.llm.common import bounded, staged
 from siftwell.llm.words import chunks
 
-TRAIN_ROWS, TRAIN_CHARS = 4000, 20_000_000
+TRAIN_ROWS, TRAIN_CHARS = 1500, 6_000_000
 SLOTS = 1 << 16
 DISCOUNT, CAP = 0.3, 400.0
 HOST_WEIGHT, DOMAIN_WEIGHT, EVIDENCE_WEIGHT = 5.0, 20.0, 2.0
@@ -51,28 +52,35 @@ def _trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return slots[at], np.searchsorted(at, offsets)
 
 
-def fit(texts: DataFrame) -> tuple[list[str], np.ndarray]:
-    """(text, lang) rows -> languages in order, and log-likelihoods of the slots, slot x language. A bounded sample is used."""
-    rows = texts.filter("lang is not null and text is not null").select("text", "lang")
-    rows = staged(rows.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.lit(_share(rows))), "langid-sample")
-    counts: dict[str, np.ndarray] = {}
-    for row in rows.toLocalIterator():
-        slots, _ = _trigrams(pa.array([row.text]))
-        counts[row.lang] = counts.get(row.lang, np.zeros(SLOTS)) + np.bincount(slots, minlength=SLOTS)
-    languages = sorted(counts)
-    if not languages:
+def fit(texts: DataFrame, key: Column | None = None) -> tuple[list[str], np.ndarray]:
+    """(text, lang) rows -> languages in order, and log-likelihoods of the slots, slot x language. A bounded sample is used.
+
+    key: tells rows of one text apart, so that copies are drawn one by one.
+    """
+    at = F.pmod(F.xxhash64(key if key is not None else F.lit(0), "text"), F.lit(1 << 40))
+    rows = texts.filter("lang is not null and text is not null").select("text", "lang", at.alias("at"))
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("size"), F.min("at").alias("first")).collect()  # a row for each language
+    if not sizes:
         return [], np.zeros((SLOTS, 0), np.float32)
-    table = np.stack([counts[k] for k in languages], axis=1)
+    share = {r.lang: min(1.0, TRAIN_ROWS / r.n, TRAIN_CHARS / max(r["size"] or 0, 1)) for r in sizes}
+    until = F.create_map(*[F.lit(x) for r in sizes for x in (r.lang, max(int((1 << 40) * share[r.lang]), r.first + 1))])
+    drawn = rows.filter(F.col("at") < F.try_element_at(until, F.col("lang")))
+    drawn = drawn.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("at"))).filter(F.col("k") <= TRAIN_ROWS)
+
+    def counted(group: pa.Table) -> pa.Table:
+        counts = np.zeros(SLOTS)
+        for batch in group.select(["text"]).to_batches():
+            for part in chunks(batch):
+                counts += np.bincount(_trigrams(part.column("text"))[0], minlength=SLOTS)
+        return pa.table({"lang": group["lang"][:1], "counts": pa.array([counts.tobytes()], pa.binary())})
+
+    made = drawn.select("lang", "text").groupBy("lang").applyInArrow(counted, "lang string, counts binary").collect()
+    made = sorted(made, key=lambda r: r.lang)
+    table = np.stack([np.frombuffer(r.counts) for r in made], axis=1)
     base = table.sum(axis=1) + 1
     base = base / base.sum()
     smooth = 500.0
-    return languages, np.log((table + smooth * base[:, None]) / (table.sum(axis=0) + smooth)).astype(np.float32)
-
-
-def _share(rows: DataFrame) -> int:
-    """Of a million hash values, how many to take for about TRAIN_ROWS rows and TRAIN_CHARS characters."""
-    n, size = rows.agg(F.count("*"), F.sum(F.length("text"))).first()
-    return int(1_000_000 * min(1.0, TRAIN_ROWS / max(n, 1), TRAIN_CHARS / max(size or 0, 1)))
+    return [r.lang for r in made], np.log((table + smooth * base[:, None]) / (table.sum(axis=0) + smooth)).astype(np.float32)
 
 
 def visible(html: Column) -> Column:
@@ -93,7 +101,6 @@ def host(url: Column) -> Column:
 def identify(rows: DataFrame, languages: list[str], table: np.ndarray) -> DataFrame:
     """rows (key, text, declared, host), key of any type -> (key, lang, confidence, text_lang)."""
     n = len(languages)
-    shared = rows.sparkSession.sparkContext.broadcast(table)
 
     def likelihoods(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,7 +110,7 @@ def identify(rows: DataFrame, languages: list[str], table: np.ndarray) -> DataFr
                 some = np.flatnonzero(np.diff(first))
                 if len(some):
                     for k in range(n):
-                        sums[some, k] = np.add.reduceat(shared.value[:, k][slots], first[some], dtype=float)
+                        sums[some, k] = np.add.reduceat(table[:, k][slots], first[some], dtype=float)
                 size = np.diff(first)[:, None]
                 sums *= DISCOUNT * np.minimum(1.0, CAP / np.maximum(size, 1))
                 lists = pa.ListArray.from_arrays(np.arange(part.num_rows + 1, dtype=np.int32) * n, sums.ravel())
@@ -123,9 +130,9 @@ def identify(rows: DataFrame, languages: list[str], table: np.ndarray) -> DataFr
     def up(name: str) -> DataFrame:
         return per_host.groupBy(F.col(name).alias(f"of_{name}")).agg(F.array(*[F.sum(F.col("by_host")[k]) for k in range(n)]).alias(f"by_{name}"))
 
-    overall = per_host.agg(F.array(*[F.coalesce(F.sum(F.col("by_host")[k]), F.lit(0.0)) for k in range(n)]).alias("by_all"))
-    hosts = per_host.join(bounded(up("domain")), F.col("domain") == F.col("of_domain")).join(bounded(up("suffix")), F.col("suffix") == F.col("of_suffix")).crossJoin(F.broadcast(overall))
-    hosts = staged(hosts.select(F.col("host").alias("of_host"), "by_host", "by_domain", "by_suffix", "by_all"), "host-counts")
+    overall = per_host.agg(*[F.coalesce(F.sum(F.col("by_host")[k]), F.lit(0.0)) for k in range(n)]).first()
+    hosts = per_host.join(bounded(up("domain")), F.col("domain") == F.col("of_domain")).join(bounded(up("suffix")), F.col("suffix") == F.col("of_suffix"))
+    hosts = staged(hosts.select(F.col("host").alias("of_host"), "by_host", "by_domain", "by_suffix", F.array(*[F.lit(float(x)) for x in overall]).alias("by_all")), "host-counts")
     said = staged(found.groupBy(F.col("declared").alias("of_declared")).agg(votes.alias("by_declared")), "declared")
     both = found.join(bounded(hosts, 200_000), F.col("host") == F.col("of_host")).join(bounded(said, 10_000), F.col("declared") == F.col("of_declared"))
 

@@ -12,7 +12,7 @@ from siftwell.llm.common import bounded, fold, staged, table, word_count
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every page (text, markup, address, host) and of every document (text, with its source for a host)."""
     docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
-    languages, likelihoods = langid.fit(docs.filter(fold(F.col("doc_id")) != 0))
+    languages, likelihoods = langid.fit(docs.filter(fold(F.col("doc_id")) != 0), F.col("doc_id"))
     html = F.col("html")
     rows = pages.select(F.struct(F.lit(None).cast("long").alias("doc_id"), F.col("page_id").cast("long").alias("page_id")).alias("key"), langid.visible(html).alias("text"), langid.declared(html).alias("declared"), langid.host(F.col("url")).alias("host"))
     rows = rows.unionByName(docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("long").alias("page_id")).alias("key"), "text", F.lit("").alias("declared"), F.col("source").alias("host")))
