@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Character classes of a token, and sentence ends by script.
+# Character classes of a token, and sentence ends by script. White space is that of Unicode, hence (?U).
 TOKEN = r"[\p{L}\p{N}_\x{0900}-\x{097F}\x{0A80}-\x{0AFF}]+"
-SENTENCE_END = r"(?<=[।॥.!?])\s+|\n+"
-SENTENCE_END_ANSWER = r"(?<=[।॥.!?])\s+"
-SENTENCE_END_INDIC = r"(?<=[।॥])\s*|\n+"
-SENTENCE_END_LATIN = r"(?<=[.!?])\s+|\n+"
-SENTENCE_END_MIXED = r"(?<=[।॥])\s*|(?<=[.!?])\s+|\n+"
+SENTENCE_END = r"(?U)(?<=[।॥.!?])\s+|\n+"
+SENTENCE_END_ANSWER = r"(?U)(?<=[।॥.!?])\s+"
+SENTENCE_END_INDIC = r"(?U)(?<=[।॥])\s*|\n+"
+SENTENCE_END_LATIN = r"(?U)(?<=[.!?])\s+|\n+"
+SENTENCE_END_MIXED = r"(?U)(?<=[।॥])\s*|(?<=[.!?])\s+|\n+"
 DEVANAGARI, GUJARATI = r"\x{0900}-\x{097F}", r"\x{0A80}-\x{0AFF}"
 
 # Function words that say nothing about support.
@@ -34,9 +34,13 @@ def empty_strings() -> Column:
     return F.array().cast("array<string>")
 
 
+#: White space of Unicode.
+SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def stripped(text: Column) -> Column:
     """Without white space at either end."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(SPACE))
 
 
 def normalized(text: Column) -> Column:
@@ -89,18 +93,13 @@ def detect_script(text: Column, share: float = 0.75) -> Column:
     return bind(F.array(letters(text, DEVANAGARI), letters(text, GUJARATI), letters(text, r"\p{IsLatin}")), named)
 
 
-def pieces(text: Column) -> Column:
-    """The default units of size: words with the space after them."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\S+\s*"), F.lit(0))
+def runs(text: Column, words: int) -> Column:
+    """The default units of size are words with the space after them: a text in runs of so many."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"(?U)(?:\S++\s*+){{1,{words}}}"), F.lit(0))
 
 
 def size_of(text: Column) -> Column:
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"\S+"))
-
-
-def window(units: Column, start: Column, length: int) -> Column:
-    """Units start to start + length (from 0), joined and stripped."""
-    return stripped(F.array_join(F.slice(units, start + 1, F.lit(length)), ""))
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"(?U)\S+"))
 
 
 def content_words(text: Column) -> Column:
@@ -109,9 +108,14 @@ def content_words(text: Column) -> Column:
     return F.filter(F.array_except(tokens(text), stop), lambda t: F.length(t) > 1)
 
 
+def shared(own: Column, words: Column) -> Column:
+    """Share of own words that are among the words; 0 without any."""
+    return F.when(F.size(own) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(own, words)) / F.size(own))
+
+
 def overlap(answer: Column, context: Column) -> Column:
     """Share of the answer's content words that the context has; 0 without any."""
-    return bind(content_words(answer), lambda own: F.when(F.size(own) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(own, content_words(context))) / F.size(own)))
+    return bind(content_words(answer), lambda own: shared(own, content_words(context)))
 
 
 def span(text: Column, most: int) -> Column:

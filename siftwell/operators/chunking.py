@@ -15,23 +15,27 @@ from siftwell.functions.vectors import dot, encoded
 
 def slices(text: Column, size: int) -> Column:
     """A text in windows of so many units."""
-
-    def cut(units: Column) -> Column:
-        windows = F.transform(F.sequence(F.lit(0), F.size(units) - 1, F.lit(size)), lambda i: T.window(units, i, size))
-        return F.when(F.size(units) <= size, F.array(text)).otherwise(F.filter(windows, lambda s: s != ""))
-
-    return T.bind(T.pieces(text), cut)
+    return T.bind(T.runs(text, size), lambda runs: F.when(F.size(runs) <= 1, F.array(text)).otherwise(F.filter(F.transform(runs, T.stripped), lambda s: s != "")))
 
 
 def sliding(text: Column, size: int, overlap: int) -> Column:
-    """Windows of size units, each starting size - overlap after the one before, up to the first that reaches the end."""
+    """Windows of size units, each starting size - overlap after the one before, up to the first that reaches the end.
+
+    The text is cut into runs of a stride; a window is a run and the beginning of those after it.
+    """
     stride = max(1, size - overlap)
+    whole, part = divmod(size, stride)
+    begin = rf"(?U)^(?:\S++\s*+){{1,{part}}}"
+
+    def window(runs: Column, k: Column) -> Column:
+        more = [F.coalesce(F.get(runs, k + i), F.lit("")) for i in range(whole)]
+        return T.stripped(F.concat(*more, F.regexp_extract(F.coalesce(F.get(runs, k + whole), F.lit("")), begin, 0) if part else F.lit("")))
 
-    def cut(units: Column) -> Column:
-        starts = F.sequence(F.lit(0), (F.ceil((F.size(units) - size) / stride) * stride).cast("int"), F.lit(stride))
-        return F.when(F.size(units) <= size, F.array(text)).otherwise(F.transform(starts, lambda i: T.window(units, i, size)))
+    def cut(runs: Column, n: Column) -> Column:
+        last = F.ceil((n - size) / stride).cast("int")
+        return F.when(n <= size, F.array(text)).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda k: window(runs, k)))
 
-    return T.bind(T.pieces(text), cut)
+    return T.bind(T.runs(text, stride), lambda runs: T.bind((F.size(runs) - 1) * stride + T.size_of(F.get(runs, F.size(runs) - 1)), lambda n: cut(runs, F.coalesce(n, F.lit(0)))))
 
 
 def pack(units: Column, budget: int, overlap: int) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siftwell.config import DEFAULT, Settings
 from siftwell.functions.text import normalized
+from siftwell.operators.joins import sized
 
 RAW = "ordinal bigint, query_id bigint, query string, Eng_Query string, Answer string, Eng_Answer string, passages struct<is_selected:array<int>,English_passages:array<string>,Translated_passages:array<string>>, target_lang string, query_type string"
 
@@ -39,11 +40,17 @@ def kept_passages(rows: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
 def capped(rows: DataFrame, cap: int, by: str = "lang", order: list[str] | None = None, size: Column | None = None) -> DataFrame:
     """Rows of a group as long as those before sum to less than cap: the one that goes over is the last.
 
-    The order is the group's own, so a group is one sorted partition: for many rows in one group, give a coarser ``by``.
+    Where a group ends is found among its first cap rows that count, which is all that a task ever sorts; rows themselves
+    stay where they are. rows is read twice.
     """
-    at = Window.partitionBy(by).orderBy(*(order or ["ordinal", "side"])).rowsBetween(Window.unboundedPreceding, -1)
+    keys = order or ["ordinal", "side"]
     counted = F.when(F.col("positive"), F.size("kept")).otherwise(0) if size is None else size
-    return rows.withColumn("_before", F.coalesce(F.sum(counted).over(at), F.lit(0))).filter(F.col("_before") < cap).drop("_before")
+    held = rows.select(F.col(by).alias("_by"), F.struct(*keys).alias("_at"), counted.cast("long").alias("_n")).filter("_n > 0")
+    at = Window.partitionBy("_by").orderBy("_at")
+    first = held.withColumn("_k", F.row_number().over(at)).filter(F.col("_k") <= cap)
+    last = first.withColumn("_sum", F.sum("_n").over(at.rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("_sum") >= cap).groupBy("_by").agg(F.min("_at").alias("_last"))
+    ends = rows.join(sized(last), F.col(by).eqNullSafe(F.col("_by")), "left")
+    return ends.filter(F.col("_last").isNull() | (F.struct(*keys) <= F.col("_last"))).select(*rows.columns)
 
 
 def passages(rows: DataFrame) -> DataFrame:
@@ -66,9 +73,9 @@ def build(raw: DataFrame, english: Column, cap: int, settings: Settings = DEFAUL
 
 def stratified(rows: DataFrame, limit: int, by: str = "lang", order: str = "ordinal") -> DataFrame:
     """The first limit / groups rows of each group, one at least."""
-    groups = rows.select(by).distinct().agg(F.count("*").alias("_groups"))
+    groups = rows.select(by).distinct().count()
     at = Window.partitionBy(by).orderBy(order)
-    return rows.withColumn("_r", F.row_number().over(at)).crossJoin(F.broadcast(groups)).filter(F.col("_r") <= F.greatest(F.lit(1), F.floor(F.lit(limit) / F.col("_groups")))).drop("_r", "_groups")
+    return rows.withColumn("_r", F.row_number().over(at)).filter(F.col("_r") <= max(1, limit // max(1, groups))).drop("_r")
 
 
 def sampled(queries: DataFrame, n: int, seed: str, key: str, repeat_rate: float = 0.0) -> DataFrame:

@@ -33,11 +33,15 @@ def averages(per_query: DataFrame, by: list[str] | None = None, ks: tuple[int, .
 def sweep(scores: DataFrame, by: list[str] | None = None, digits: int = 3) -> DataFrame:
     """scores (score, positive) -> a row for each distinct rounded score: threshold, tpr, fpr, youden.
 
-    Shares of raw scores at or over each threshold; null where a group has no row of a kind. Counts by score are summed from the top, so the work is that of a sort
-    of the distinct scores and no pair of score and threshold is made.
+    Shares of raw scores at or over each threshold; null where a group has no row of a kind. Counts by step of the grid are
+    summed from the top; no pair of score and threshold is made, and no task sorts raw scores.
     """
-    by = by or []
-    raw = scores.groupBy(*by, "score").agg(F.sum(F.col("positive").cast("int")).alias("p"), F.sum((~F.col("positive")).cast("int")).alias("n"))
+    by, scale = by or [], 10.0**digits
+    # a raw score counts at the greatest threshold of the grid that it reaches, so there is a row for each step at most
+    near = F.floor(F.col("score") * scale)
+    reached = F.when(F.col("score") >= (near + 1) / scale, near + 1).when(F.col("score") < near / scale, near - 1).otherwise(near) / scale
+    kept = scores.select(*by, "score", reached.alias("reached"), "positive")
+    raw = kept.groupBy(*by, F.col("reached").alias("score")).agg(F.sum(F.col("positive").cast("int")).alias("p"), F.sum((~F.col("positive")).cast("int")).alias("n"))
     marks = scores.select(*by, F.round("score", digits).alias("score")).distinct().withColumn("p", F.lit(0)).withColumn("n", F.lit(0)).withColumn("mark", F.lit(True))
     both = raw.withColumn("mark", F.lit(False)).unionByName(marks)
     down = Window.partitionBy(*by).orderBy(F.col("score").desc()).rangeBetween(Window.unboundedPreceding, 0)
@@ -58,7 +62,8 @@ def choose(curve: DataFrame, by: list[str] | None = None, settings: Settings = D
 
 def summary(scores: DataFrame, by: list[str], percents: tuple[float, ...]) -> DataFrame:
     """Count, mean and percentiles of score by group."""
-    return scores.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean"), *[F.round(F.percentile("score", F.lit(p)), 6).alias(f"p{int(p * 100):02d}") for p in percents])
+    told = scores.groupBy(*by).agg(F.count("*").alias("n"), F.avg("score").alias("mean"), F.percentile("score", F.array(*[F.lit(p) for p in percents])).alias("_p"))
+    return told.select(*by, "n", F.round("mean", 6).alias("mean"), *[F.round(F.get("_p", F.lit(i)), 6).alias(f"p{int(p * 100):02d}") for i, p in enumerate(percents)])
 
 
 def separation(scores: DataFrame, by: str, least_positive: int = 20, least_negative: int = 5) -> DataFrame:
@@ -92,8 +97,16 @@ LATENCY = (0.5, 0.7, 0.9, 0.95, 0.99, 1.0)
 
 def latency(rows: DataFrame, value: Column, by: list[str] | None = None) -> DataFrame:
     """n, mean and P50 to P100 of a value, rounded to 2 places; null where there is none."""
-    aggs = [F.count(value).alias("n"), F.round(F.avg(value), 2).alias("mean"), *[F.round(F.percentile(value, F.lit(p)), 2).alias(f"p{int(p * 100)}") for p in LATENCY]]
-    return (rows.groupBy(*by) if by else rows).agg(*aggs)
+    held = rows.select(*(by or []), value.alias("_v"))
+    told = (held.groupBy(*by) if by else held).agg(F.count("_v").alias("n"), F.avg("_v").alias("mean"), F.percentile("_v", F.array(*[F.lit(p) for p in LATENCY])).alias("_p"))
+    return told.select(*(by or []), "n", F.round("mean", 2).alias("mean"), *[F.round(F.get("_p", F.lit(i)), 2).alias(f"p{int(p * 100)}") for i, p in enumerate(LATENCY)])
+
+
+def answered(rows: DataFrame, by: list[str] | None = None, settings: Settings = DEFAULT) -> DataFrame:
+    """rows (path, core_ms, refused) -> n, refused, percent within the budget, and P50 and P95 of core_ms, of all or by group."""
+    aggs = [F.count("*").alias("n"), F.sum(F.col("refused").cast("long")).alias("refused"), F.avg((F.col("core_ms") <= settings.core_budget_ms).cast("double")).alias("_within"), F.percentile("core_ms", F.array(F.lit(0.5), F.lit(0.95))).alias("_p")]
+    told = (rows.groupBy(*by) if by else rows).agg(*aggs)
+    return told.select(*(by or []), "n", "refused", F.round(F.col("_within") * 100.0, 1).alias("within_budget_pct"), F.round(F.get("_p", F.lit(0)), 2).alias("p50"), F.round(F.get("_p", F.lit(1)), 2).alias("p95"))
 
 
 def shares(rows: DataFrame, by: str) -> DataFrame:

@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.config import DEFAULT, Settings
 from siftwell.functions import text as T
 
-# Attempts to change the instructions, case ignored, anywhere in the text.
+# Attempts to change the instructions, case ignored, anywhere in the text; classes are those of Unicode.
 INJECTION = (
     r"ignore\s+(all\s+|any\s+)?(previous|prior|above|earlier)\s+(instruction|prompt|direction|rule)",
     r"disregard\s+(all\s+|the\s+)?(previous|prior|above|system)",
@@ -33,7 +33,7 @@ UNSAFE = (
     r"credit\s+card\s+(number|dump)s?\s+(list|for\s+sale)",
 )
 # Fixed value: what speech recognition makes of noise.
-GARBAGE = r"(?i)^[^\p{L}\p{N}]+$|^(uh|um|hmm|ah|er)[\s.,]*$"
+GARBAGE = r"(?iU)^[^\p{L}\p{N}]+$|^(uh|um|hmm|ah|er)[\s.,]*$"
 
 REASONS = ("UNSAFE_INPUT", "PROMPT_INJECTION", "EMPTY_INPUT", "UNSUPPORTED_LANGUAGE", "OUT_OF_CORPUS", "LOW_CONFIDENCE", "UNGROUNDED_OUTPUT", "PROVIDER_UNAVAILABLE", "ANSWERED_FROM_GENERAL_KNOWLEDGE")
 #: What a user is told: by reason, in each language.
@@ -53,7 +53,7 @@ MESSAGES = {
 def any_of(text: Column, patterns: tuple[str, ...]) -> Column:
     found = F.lit(False)
     for pattern in patterns:
-        found = found | text.rlike(f"(?i){pattern}")
+        found = found | text.rlike(f"(?iU){pattern}")
     return found
 
 
@@ -89,7 +89,9 @@ def relevance(queries: DataFrame, hits: DataFrame, settings: Settings = DEFAULT,
     OUT_OF_CORPUS without hits or below the language's floor; LOW_CONFIDENCE where the first is not min_margin above the
     second, or with spread above the mean of the next four. Only the five best scores of a query are kept.
     """
-    best = hits.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list("dense_score"), asc=False), 1, 5).alias("best"))
+    first = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("dense_score").desc()))
+    five = hits.select("query_id", "dense_score").withColumn("_k", first).filter("_k <= 5")
+    best = five.groupBy("query_id").agg(F.sort_array(F.collect_list("dense_score"), asc=False).alias("best"))
     floors = thresholds if thresholds is not None else settings.relevance_by_lang
     floor = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in floors.items() for x in kv]), F.col("lang")), F.lit(settings.relevance_default)) if floors else F.lit(settings.relevance_default)
     rest = F.slice("best", 2, 4)
@@ -101,7 +103,34 @@ def relevance(queries: DataFrame, hits: DataFrame, settings: Settings = DEFAULT,
 
 def best_overlap(answer: Column, contexts: Column) -> Column:
     """The greatest overlap of an answer with any one context; 0 without contexts."""
-    return F.coalesce(F.array_max(F.transform(contexts, lambda c: T.overlap(answer, c))), F.lit(0.0))
+    return T.bind(T.content_words(answer), lambda own: F.coalesce(F.array_max(F.transform(contexts, lambda c: T.shared(own, T.content_words(c)))), F.lit(0.0)))
+
+
+def best_similarity(similarity: Callable[[pd.Series, pd.Series], pd.Series]) -> Callable[[Column, Column], Column]:
+    """(answer, contexts) -> the greatest similarity(answer, context); null, and not asked for, where the answer is null."""
+
+    @F.pandas_udf("double")
+    def best(answers: pd.Series, contexts: pd.Series) -> pd.Series:
+        pairs = [(i, a, c) for i, (a, cs) in enumerate(zip(answers, contexts, strict=True)) if a is not None and cs is not None for c in cs]
+        out = pd.Series([None] * len(answers), dtype="float64")
+        if pairs:
+            rows, left, right = zip(*pairs, strict=True)
+            found = pd.Series(list(similarity(pd.Series(left), pd.Series(right)))).groupby(list(rows)).max()
+            out.loc[found.index] = found
+        return out
+
+    return best.asNondeterministic()
+
+
+def judged(rows: DataFrame, settings: Settings = DEFAULT, similarity: Callable[[pd.Series, pd.Series], pd.Series] | None = None) -> DataFrame:
+    """As grounding(), with unrounded figures."""
+    text, contexts = F.coalesce(F.col("answer"), F.lit("")), F.coalesce(F.col("contexts"), T.empty_strings())
+    given = (T.stripped(text) != "") & (F.size(contexts) > 0)
+    rows = rows.withColumn("overlap", F.when(given, best_overlap(text, contexts)).otherwise(0.0)).withColumn("escalated", given & (F.col("overlap") < settings.min_overlap))
+    score = best_similarity(similarity)(F.when(F.col("escalated"), F.col("answer")), F.col("contexts")) if similarity else F.lit(None).cast("double")
+    rows = rows.withColumn("similarity", score)
+    failed = F.col("escalated") & ~(F.coalesce(F.col("similarity"), F.lit(-1.0)) >= settings.min_similarity)
+    return rows.withColumn("reason", F.when(~given | failed, "UNGROUNDED_OUTPUT"))
 
 
 def grounding(rows: DataFrame, settings: Settings = DEFAULT, similarity: Callable[[pd.Series, pd.Series], pd.Series] | None = None) -> DataFrame:
@@ -110,28 +139,23 @@ def grounding(rows: DataFrame, settings: Settings = DEFAULT, similarity: Callabl
     Enough overlap with one context is support. Only rows that fail it are given to similarity(answer, context), and the
     best context counts; without that function they are refused.
     """
-    text, contexts = F.coalesce(F.col("answer"), F.lit("")), F.coalesce(F.col("contexts"), T.empty_strings())
-    given = (T.stripped(text) != "") & (F.size(contexts) > 0)
-    rows = rows.withColumn("overlap", F.when(given, best_overlap(text, contexts)).otherwise(0.0)).withColumn("escalated", given & (F.col("overlap") < settings.min_overlap))
-    if similarity is None:
-        rows = rows.withColumn("similarity", F.lit(None).cast("double"))
-    else:
-        score = F.pandas_udf(similarity, "double")
-        due = rows.filter("escalated").withColumn("_row", F.monotonically_increasing_id())
-        scored = due.withColumn("_c", F.explode("contexts")).withColumn("_s", score("answer", "_c"))
-        best = scored.groupBy("_row").agg(F.max("_s").alias("similarity"), F.first(F.struct(*rows.columns)).alias("_all")).select("_all.*", "similarity")
-        rows = rows.filter("not escalated").withColumn("similarity", F.lit(None).cast("double")).unionByName(best)
-    reason = F.when(~given, "UNGROUNDED_OUTPUT").when(F.col("escalated") & ~(F.coalesce(F.col("similarity"), F.lit(-1.0)) >= settings.min_similarity), "UNGROUNDED_OUTPUT")
-    return rows.withColumn("overlap", F.round("overlap", 4)).withColumn("similarity", F.round("similarity", 4)).withColumn("reason", reason)
+    return judged(rows, settings, similarity).withColumn("overlap", F.bround("overlap", 4)).withColumn("similarity", F.bround("similarity", 4))
 
 
 def supported(answer: Column, contexts: Column, settings: Settings = DEFAULT) -> Column:
     """(answer, dropped): an answer without the sentences that no context supports, unless that leaves none."""
-    sents = T.split_at(answer, T.SENTENCE_END_ANSWER)
-    fits = lambda s: F.exists(contexts, lambda c: T.overlap(s, c) >= settings.sentence_overlap)
-    kept = F.filter(sents, fits)
-    whole = (F.size(sents) <= 1) | (F.size(kept) == 0)
-    return F.struct(F.when(whole, answer).otherwise(F.array_join(kept, " ")).alias("answer"), F.when(whole, T.empty_strings()).otherwise(F.filter(sents, lambda s: ~fits(s))).alias("dropped"))
+
+    def told(sents: Column, words: Column) -> Column:
+        fits = lambda s: T.bind(T.content_words(s), lambda own: F.exists(words, lambda w: T.shared(own, w) >= settings.sentence_overlap))
+        return F.transform(sents, lambda s: F.struct(s.alias("s"), fits(s).alias("fits")))
+
+    def sorted_out(sents: Column) -> Column:
+        kept = F.filter(sents, lambda s: s["fits"])
+        whole = (F.size(sents) <= 1) | (F.size(kept) == 0)
+        dropped = F.transform(F.filter(sents, lambda s: ~s["fits"]), lambda s: s["s"])
+        return F.struct(F.when(whole, answer).otherwise(F.array_join(F.transform(kept, lambda s: s["s"]), " ")).alias("answer"), F.when(whole, T.empty_strings()).otherwise(dropped).alias("dropped"))
+
+    return T.bind(F.transform(contexts, T.content_words), lambda words: T.bind(told(T.split_at(answer, T.SENTENCE_END_ANSWER), words), sorted_out))
 
 
 def citations(hits: Column, keep: Column, settings: Settings = DEFAULT) -> Column:
@@ -139,4 +163,4 @@ def citations(hits: Column, keep: Column, settings: Settings = DEFAULT) -> Colum
     named = F.transform(F.filter(F.coalesce(keep, F.array().cast("array<int>")), lambda k: (k >= 1) & (k <= F.size(hits))), lambda k: F.element_at(hits, k))
     chosen = F.when(F.size(named) > 0, named).otherwise(hits)
     shown = lambda h: F.coalesce(F.nullif(h["context"], F.lit("")), h["text"])
-    return F.transform(chosen, lambda h: F.struct(h["chunk_id"].alias("chunk_id"), h["passage_id"].alias("passage_id"), F.substring(shown(h), 1, settings.citation_chars).alias("text"), F.round(h["dense_score"], 4).alias("score"), h["lang"].alias("lang")))
+    return F.transform(chosen, lambda h: F.struct(h["chunk_id"].alias("chunk_id"), h["passage_id"].alias("passage_id"), F.substring(shown(h), 1, settings.citation_chars).alias("text"), F.bround(h["dense_score"], 4).alias("score"), h["lang"].alias("lang")))

@@ -18,15 +18,21 @@ def lengths(docs: DataFrame) -> DataFrame:
     return docs.select("id", "lang", tokens(F.col("text")).alias("terms")).withColumn("dl", F.size("terms"))
 
 
-def language_stats(held: DataFrame) -> DataFrame:
-    """(lang, n, avgdl) of what lengths() gives."""
-    return held.groupBy("lang").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+def counts(held: DataFrame) -> DataFrame:
+    """(lang, term, df, words, whole) of what lengths() gives: each document counts a term once, before any shuffle, and once for
+    the language as a whole, in a row without term, with its words."""
+    marked = exploded(held, ["lang", "dl"], F.array_union(F.array_distinct("terms"), F.array(F.lit(""))), "term")
+    return marked.groupBy("lang", "term").agg(F.count("*").alias("df"), F.sum("dl").alias("words"), F.max(F.col("term") == "").alias("whole"))
 
 
-def idf(held: DataFrame, stats: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """(lang, term, idf): a negative value is replaced by a share of the language's mean. Each document counts a term once, before any shuffle."""
-    df = exploded(held, ["lang"], F.array_distinct("terms"), "term").groupBy("lang", "term").agg(F.count("*").alias("df"))
-    raw = df.join(F.broadcast(stats), "lang").select("lang", "term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+def language_stats(counted: DataFrame) -> DataFrame:
+    """(lang, n, avgdl) of what counts() gives."""
+    return counted.filter("whole").select("lang", F.col("df").alias("n"), (F.col("words") / F.col("df")).alias("avgdl"))
+
+
+def idf(counted: DataFrame, stats: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """(lang, term, idf): a negative value is replaced by a share of the language's mean."""
+    raw = counted.filter("not whole").join(F.broadcast(stats), "lang").select("lang", "term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.groupBy("lang").agg(F.avg("raw").alias("mean"))  # a row for each language
     return raw.join(F.broadcast(mean), "lang").select("lang", "term", F.when(F.col("raw") < 0, settings.epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
@@ -42,9 +48,10 @@ class Built(NamedTuple):
 def build(docs: DataFrame, settings: Settings = DEFAULT) -> Built:
     """docs (id, lang, text) -> the index of all their terms. Counts are combined before the shuffle."""
     held = lengths(docs)
-    stats = language_stats(held)
+    counted = counts(held)
+    stats = language_stats(counted)
     postings = exploded(held, ["lang", "id", "dl"], F.col("terms"), "term").groupBy("lang", "id", "dl", "term").agg(F.count("*").alias("tf"))
-    return Built(postings.select("lang", "term", "id", "dl", "tf"), idf(held, stats, settings), stats)
+    return Built(postings.select("lang", "term", "id", "dl", "tf"), idf(counted, stats, settings), stats)
 
 
 def write(index: Built, path: str) -> None:
@@ -64,11 +71,12 @@ def search(queries: DataFrame, docs: DataFrame, limit: int, settings: Settings =
     For one batch of queries without an index: only postings of the queries' terms are made.
     """
     held = lengths(docs)
-    stats = language_stats(held)
+    counted = counts(held)
+    stats = language_stats(counted)
     asked, small = _asked(queries)
     terms = small(asked.select("lang", "term").distinct())
     postings = exploded(held, ["id", "lang", "dl"], F.col("terms"), "term").join(terms, ["lang", "term"], "left_semi").groupBy("lang", "id", "dl", "term").agg(F.count("*").alias("tf"))
-    return _scored(asked, small, Built(postings, idf(held, stats, settings), stats), limit, settings)
+    return _scored(asked, small, Built(postings, idf(counted, stats, settings), stats), limit, settings)
 
 
 def search_built(queries: DataFrame, index: Built, limit: int, settings: Settings = DEFAULT) -> DataFrame:

@@ -2,43 +2,88 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.config import DEFAULT, Settings
-from siftwell.functions.vectors import dot
 from siftwell.operators.index import ranked
-from siftwell.operators.joins import few, sized
+
+
+#: Queries that are held at once; more are taken in blocks, each a pass over the vectors.
+QUERIES = 20_000
+_ROWS, _SLACK = 2048, 2e-9
+
+
+def _products(asked: DataFrame, vectors: DataFrame, limit: int) -> DataFrame:
+    """asked (query_id, part, vec), vectors (id, part, vec) -> (query_id, id, score): of each batch the best of each query among
+    the rows of its part; a query whose part is null is compared with all. A stated set of queries against all rows, in blocks."""
+    kinds = dict(asked.dtypes), dict(vectors.dtypes)
+    schema = f"query_id {kinds[0]['query_id']}, id {kinds[1]['id']}, score double"
+
+    def compared(queries: pa.Table):
+        ids, parts = queries["query_id"].combine_chunks(), queries["part"].to_pylist()
+        q = _matrix(queries["vec"].combine_chunks())
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            of_part = {p: np.flatnonzero([x is None or x == p for x in parts]) for p in {*parts, None}}
+            for batch in batches:
+                for part in (batch.slice(k, _ROWS) for k in range(0, batch.num_rows, _ROWS)):
+                    names, x = np.array(part.column("part").to_pylist(), object), _matrix(part.column("vec"))
+                    for name in set(names.tolist()):
+                        rows, own = np.flatnonzero(names == name), of_part.get(name, of_part[None])
+                        if not len(own) or x.shape[1] != q.shape[1]:
+                            continue
+                        like = x[rows] @ q[own].T
+                        like[np.isnan(like)] = -np.inf
+                        least = np.partition(like, -limit, axis=0)[-limit] if len(rows) > limit else np.full(len(own), -np.inf)
+                        r, c = np.nonzero((like >= least - _SLACK) & (like > -np.inf))
+                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(own[c])), part.column("id").take(pa.array(rows[r])), pa.array(like[r, c])], ["query_id", "id", "score"])
+
+        return run
+
+    blocks = -(-asked.count() // QUERIES)
+    found = None
+    for k in range(blocks):
+        block = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k) if blocks > 1 else asked
+        made = vectors.select("id", F.col("part").cast("string").alias("part"), "vec").mapInArrow(compared(block.toArrow()), schema)
+        found = made if found is None else found.unionByName(made)
+    return found if found is not None else vectors.sparkSession.createDataFrame([], schema)
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Vectors row by row in double precision; a row without one of the first length is NaN."""
+    sizes = column.value_lengths().fill_null(-1).to_numpy()
+    d = int(sizes[sizes > 0][0]) if (sizes > 0).any() else 0
+    out = np.full((len(sizes), d), np.nan)
+    fit = np.flatnonzero(sizes == d) if d else np.zeros(0, np.int64)
+    if len(fit):
+        out[fit] = column.take(pa.array(fit)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, d)
+    return out
 
 
 def dense(queries: DataFrame, vectors: DataFrame, limit: int, known: list[str] | None = None) -> DataFrame:
     """queries (query_id, part, vec) x vectors (id, part, vec) -> (query_id, id, score, rank) by inner product.
 
     A query of a part that vectors have is compared within it; one without part, or of an unknown one, with all.
-    known: the parts, if they are known beforehand; else they are looked up in vectors.
+    known: the parts, if they are known beforehand; else those that are asked are looked up in vectors.
     """
+    part = F.col("part").cast("string")
     if known is None:
-        parts = sized(vectors.select(F.col("part").alias("_known")).distinct())
-        asked = queries.join(parts, F.col("part") == F.col("_known"), "left").select("query_id", F.col("_known").alias("_part"), F.col("vec").alias("_q"))
-    else:
-        asked = queries.select("query_id", F.when(F.col("part").isin(*known), F.col("part")).alias("_part"), F.col("vec").alias("_q"))
-    small = F.broadcast if few(queries, 20_000) else lambda df: df
-    found = vectors.join(small(asked.filter("_part is not null")), F.col("part") == F.col("_part"))
-    lost = asked.filter("_part is null")
-    if lost.take(1):  # a stated set of queries against all rows
-        found = found.unionByName(vectors.crossJoin(small(lost)))
-    scored = found.select("query_id", "id", F.round(dot(F.col("_q"), F.col("vec")), 9).alias("score"))
-    return ranked(scored, ["query_id"], F.col("score").desc(), limit)
+        wanted = [r.part for r in queries.select(part.alias("part")).filter("part is not null").distinct().collect()]
+        known = [r.part for r in vectors.select(part.alias("part")).filter(F.col("part").isin(wanted)).distinct().collect()]
+    asked = queries.select("query_id", F.when(part.isin(known), part).alias("part"), "vec")
+    return ranked(_products(asked, vectors, limit).withColumn("score", F.round("score", 9)), ["query_id"], F.col("score").desc(), limit)
 
 
 def dense_strict(queries: DataFrame, vectors: DataFrame, limit: int) -> DataFrame:
-    """As dense(), but a query of an unknown part finds nothing."""
-    asked = queries.select("query_id", F.col("part").alias("_part"), F.col("vec").alias("_q"))
-    scored = vectors.join(sized(asked, 20_000), F.col("part") == F.col("_part")).select("query_id", "id", F.round(dot(F.col("_q"), F.col("vec")), 9).alias("score"))
-    return ranked(scored, ["query_id"], F.col("score").desc(), limit)
+    """As dense(), but a query without part, or of an unknown one, finds nothing."""
+    asked = queries.filter("part is not null").select("query_id", F.col("part").cast("string").alias("part"), "vec")
+    return ranked(_products(asked, vectors, limit).withColumn("score", F.round("score", 9)), ["query_id"], F.col("score").desc(), limit)
 
 
 def fuse(dense_hits: DataFrame, sparse_hits: DataFrame, limit: int, settings: Settings = DEFAULT) -> DataFrame:

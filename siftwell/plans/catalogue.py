@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from siftwell.config import DEFAULT, Settings
 from siftwell.functions import text as T
-from siftwell.functions.vectors import dot, encode, encoded
+from siftwell.functions.vectors import encode, encoded
 from siftwell.operators import answers, chunking, etl, evaluate, guards, index, retrieve
+from siftwell.operators.joins import sized
 from siftwell.plans import sql
 from siftwell.sources import files
 from siftwell.streaming import stateful
@@ -85,14 +86,19 @@ def _index_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "lang", "text")
 
 
+def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("lang").filter("lang is not null").distinct()
+
+
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every benchmark item as a question in every language that documents have."""
-    langs = _docs(spark, sf_dir).select("lang").distinct()
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text").join(F.broadcast(langs), F.lit(True))
+    """Every benchmark item as a question in every language that documents have: (item_id, query_id, lang, text)."""
+    langs = _languages(spark, sf_dir).agg(F.collect_set("lang").alias("_langs")).first()[0]  # a few
+    items = table(spark, sf_dir, "benchmark").select("item_id", "text", F.explode(F.array(*[F.lit(x) for x in sorted(langs)]).cast("array<string>")).alias("lang"))
+    return items.select("item_id", F.concat_ws(":", "item_id", "lang").alias("query_id"), "lang", "text")
 
 
 def q_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.search(_items(spark, sf_dir), _index_docs(spark, sf_dir), DEFAULT.top_k).select("query_id", "lang", "id", "score", "rank")
+    return index.search(_items(spark, sf_dir).select(F.col("item_id").alias("query_id"), "lang", "text"), _index_docs(spark, sf_dir), DEFAULT.top_k).select("query_id", "lang", "id", "score", "rank")
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,13 +125,13 @@ def q_dense_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Dense and sparse hits of the items among English documents."""
-    docs = _index_docs(spark, sf_dir).filter("lang = 'en'")
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    asked = encode(items, "query_id", "text").withColumn("part", F.lit("en"))
-    found = retrieve.dense(asked, encode(docs, "id", "text").withColumn("part", F.lit("en")), DEFAULT.candidates, ["en"])
-    sparse = index.search(items.withColumn("lang", F.lit("en")), docs, DEFAULT.candidates)
-    return found, sparse.select("query_id", "id", "score", "rank")
+    """Dense and sparse hits of the items among the documents of every language."""
+    docs, items = _index_docs(spark, sf_dir), _items(spark, sf_dir)
+    vecs = encode(table(spark, sf_dir, "benchmark"), "item_id", "text")
+    asked = items.join(vecs, "item_id").select("query_id", F.col("lang").alias("part"), "vec")
+    held = encode(docs.withColumn("key", F.struct("id", "lang")), "key", "text").select("key.id", F.col("key.lang").alias("part"), "vec")
+    found = retrieve.dense(asked, held, DEFAULT.candidates, [r.lang for r in _languages(spark, sf_dir).collect()])
+    return found, index.search(items.select("query_id", "lang", "text"), docs, DEFAULT.candidates).select("query_id", "id", "score", "rank")
 
 
 def q_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,24 +179,22 @@ def q_citation_enforcement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_answer_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items answered by their best English chunk where it supports them, refused otherwise."""
-    chunks = chunking.chunk(_passages(spark, sf_dir).filter("lang = 'en'"), "passage_native")
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.lit("en").alias("lang"), F.col("text").alias("query"))
-    texts = chunks.select(F.col("chunk_id").alias("id"), "lang", "text")
-    top = index.search(items.withColumn("text", F.col("query")), texts, 1).select("query_id", "id", "score")
-    joined = items.join(top, "query_id", "left").join(texts.select("id", F.col("text").alias("chunk")), "id", "left")
-    overlap = F.round(T.overlap(F.col("query"), F.coalesce("chunk", F.lit(""))), 4)
+    """Items answered, in every language, by their best chunk where it supports them, refused otherwise."""
+    texts = chunking.chunk(_passages(spark, sf_dir), "passage_native").select(F.col("chunk_id").alias("id"), "lang", "text")
+    items = _items(spark, sf_dir).select("query_id", "lang", "text")
+    top = index.search(items, texts, 1).select("query_id", "id", "score")
+    joined = items.withColumnRenamed("text", "query").join(top, "query_id", "left").join(texts.select("id", F.col("text").alias("chunk")), "id", "left")
+    overlap = F.bround(T.overlap(F.col("query"), F.coalesce("chunk", F.lit(""))), 4)
     judged = joined.withColumn("overlap", overlap).withColumn("refused", F.col("overlap") < DEFAULT.min_overlap)
     reason = F.when(F.col("id").isNull(), "OUT_OF_CORPUS").when(F.col("refused"), "UNGROUNDED_OUTPUT")
-    answer = F.when(reason.isNull(), F.substring("chunk", 1, DEFAULT.citation_chars)).otherwise(guards.message(reason, F.lit("en")))
+    answer = F.when(reason.isNull(), F.substring("chunk", 1, DEFAULT.citation_chars)).otherwise(guards.message(reason, F.col("lang")))
     return judged.select("query_id", F.when(reason.isNull(), F.col("id")).alias("chunk_id"), "score", "overlap", F.when(reason.isNull(), "extractive").otherwise("refused").alias("path"), reason.alias("reason"), answer.alias("answer"))
 
 
 def _routable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir).filter("lang = 'en'")
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.lit("en").alias("lang"))
+    items = _items(spark, sf_dir).select("query_id", "lang", F.col("text").alias("query"))
     found = retrieve.fuse(*_both(spark, sf_dir), 5, FUSED)
-    text = docs.select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("l"))
+    text = _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("l"))
     doc = F.col("id").cast("string")
     hit = F.struct("rank", F.concat_ws(":", F.lit("doc"), doc).alias("chunk_id"), doc.alias("passage_id"), "text", F.lit("").alias("context"), "dense_score", F.col("l").alias("lang"))
     hits = found.join(text, "id").groupBy("query_id").agg(F.sort_array(F.collect_list(hit)).alias("hits"))  # five of each
@@ -198,29 +202,81 @@ def _routable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    settings = Settings(relevance_by_lang={"en": 0.75}, extractive_min_score=0.80, extractive_min_span=0.60)
+    settings = Settings(languages=("en", "de", "es", "fr"), relevance_by_lang={}, relevance_default=0.75, extractive_min_score=0.80, extractive_min_span=0.60)
     return answers.route(_routable(spark, sf_dir), settings).withColumn("citations", F.size("citations"))
 
 
 def _relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, relevant): English documents that hold the first line of an item as a line or the start of one's sentence run."""
+    """(query_id, lang, relevant): documents of the language that hold the first long line of an item as a line."""
     line = lambda c: F.filter(F.transform(F.split(c, "\n"), T.stripped), lambda s: F.length(s) >= 20)
-    docs = _docs(spark, sf_dir).filter("lang = 'en'").select("doc_id", F.explode(F.array_distinct(line(F.col("text")))).alias("line")).select("doc_id", F.md5("line").alias("line"))
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.get(line(F.col("text")), F.lit(0)).alias("line")).select("query_id", F.md5("line").alias("line"))
-    found = docs.join(F.broadcast(items), "line").groupBy("query_id").agg(F.sort_array(F.collect_set("doc_id")).alias("relevant"))
-    return items.select("query_id").join(found, "query_id", "left").withColumn("relevant", F.coalesce("relevant", F.array().cast("array<bigint>")))
+    docs = _docs(spark, sf_dir).select("doc_id", "lang", F.explode_outer(F.array_distinct(line(F.col("text")))).alias("line")).filter("line is not null").select("doc_id", "lang", F.md5("line").alias("line"))
+    items = _items(spark, sf_dir).select("query_id", "lang", F.get(line(F.col("text")), F.lit(0)).alias("line")).select("query_id", "lang", F.md5("line").alias("line"))
+    found = docs.join(sized(items), ["line", "lang"]).groupBy("query_id").agg(F.sort_array(F.collect_set("doc_id")).alias("relevant"))
+    return items.select("query_id", "lang").join(found, "query_id", "left").withColumn("relevant", F.coalesce("relevant", F.array().cast("array<bigint>")))
 
 
 def q_scorable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    corpus = _docs(spark, sf_dir).filter(F.col("doc_id") % 7 != 0).select(F.col("doc_id").alias("id"))  # a corpus that lacks some
+    """Items all of whose relevant documents are long enough for the corpus."""
+    corpus = _docs(spark, sf_dir).filter(F.length(T.normalized(F.col("text"))) >= DEFAULT.min_passage_chars).select(F.col("doc_id").alias("id"))
     return evaluate.scorable(_relevant(spark, sf_dir), corpus).select("query_id", F.size("relevant").cast("long").alias("relevant"))
 
 
-def q_recall_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _by_item(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = _relevant(spark, sf_dir).filter(F.size("relevant") > 0)
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.lit("en").alias("lang"), "text")
-    hits = index.search(items, _index_docs(spark, sf_dir).filter("lang = 'en'"), 10)
-    return evaluate.averages(evaluate.by_query(asked, hits))
+    hits = index.search(_items(spark, sf_dir).select("query_id", "lang", "text"), _index_docs(spark, sf_dir), 10)
+    return evaluate.by_query(asked, hits).join(asked.select("query_id", "lang"), "query_id")
+
+
+def q_recall_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.averages(_by_item(spark, sf_dir))
+
+
+def q_recall_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall by language, with the best of each metric marked."""
+    return evaluate.marked_best(evaluate.averages(_by_item(spark, sf_dir), ["lang"]), ["recall_at_5", "mrr"], "recall_at_5").drop("rank")
+
+
+def q_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of each item by how near their length is to the item's, where the language is English."""
+    hits = index.search(_items(spark, sf_dir).select("query_id", "lang", "text"), _index_docs(spark, sf_dir), 10)
+    texts = _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")
+    full = hits.join(_items(spark, sf_dir).select("query_id", F.col("text").alias("query")), "query_id").join(texts, "id")
+    made = retrieve.rerank(full, lambda q, t: -(t.str.len() - q.str.len()).abs().astype(float), "en", 5)
+    return made.select("query_id", "id", "rank", "rerank_score")
+
+
+def q_request(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as requests."""
+    made = table(spark, sf_dir, "conversations").withColumn("r", guards.request(F.col("text"), (F.col("conv_id") % 60).cast("int"), 200))
+    return made.select("conv_id", "turn", F.md5("r.query").alias("query_md5"), F.col("r.top_k").cast("long").alias("top_k"), F.col("r.valid").alias("valid"))
+
+
+def q_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentences of a turn as hits, of which some are named."""
+    hit = lambda s, i: F.struct(F.concat_ws(":", "conv_id", "turn", i.cast("string")).alias("chunk_id"), F.concat_ws(":", "conv_id", "turn").alias("passage_id"), s.alias("text"), F.lit("").alias("context"), ((i + 1) / 7.0).alias("dense_score"), F.lit("en").alias("lang"))
+    keep = F.array((F.col("conv_id") % 4).cast("int"), F.lit(2), F.lit(-1))
+    made = table(spark, sf_dir, "conversations").withColumn("s", T.sentences(F.col("text"))).withColumn("c", guards.citations(F.transform("s", hit), keep))
+    return made.select("conv_id", "turn", F.array_join(F.transform("c", lambda c: F.concat_ws("/", c["chunk_id"], F.md5(c["text"]), c["score"].cast("decimal(6,4)").cast("string"))), ",").alias("citations"))
+
+
+def q_model_reply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies of a model, fenced, bare, amid words and broken, made of the documents' ids and read again."""
+    body = F.concat(F.lit('{"answer": "a'), "doc_id", F.lit('", "citations": [1, "-'), F.col("doc_id") % 9, F.lit('", "x"], "confidence": '), F.col("doc_id") % 3, F.lit(".25}"))
+    kinds = F.array(body, F.concat(F.lit("```json\n"), body, F.lit("\n```")), F.concat(F.lit("Sure: "), body, F.lit(" done")), F.lit("{broken"))
+    made = _docs(spark, sf_dir).select("doc_id", T.reply(F.element_at(kinds, (F.col("doc_id") % 4 + 1).cast("int"))).alias("r"))
+    return made.select("doc_id", F.col("r.answer").alias("answer"), F.array_join("r.citations", ",").alias("citations"), F.col("r.confidence").alias("confidence"))
+
+
+def q_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prompt of every turn with the one before as its context, and the language of its speech code."""
+    code = F.element_at(F.array(F.lit("hi-IN"), F.lit("en"), F.lit("")), (F.col("conv_id") % 3 + 1).cast("int"))
+    return _replies(spark, sf_dir).select("conv_id", "turn", F.md5(T.prompt(F.col("answer"), F.col("contexts"))).alias("prompt_md5"), T.speech_language(code).alias("lang"))
+
+
+def q_answered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as answered requests, by kind."""
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("path"), (F.col("value") * 4).alias("core_ms"), (F.col("event_id") % 5 == 0).alias("refused"))
+    return evaluate.answered(rows, ["path"])
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:

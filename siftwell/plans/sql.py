@@ -146,10 +146,10 @@ def dense(asked: str, vectors: str, condition: str, limit: int) -> str:
 
 VECTORS = "select vec_id as id, label::varchar as part, embedding as vec from embeddings"
 ASKED = "select vec_id as query_id, label::varchar as part, embedding as vec from embeddings where vec_id % 100 = 0"
-EN_DOCS = "select doc_id as id, lang, text from documents where lang = 'en'"
-EN_ITEMS = "select item_id as query_id, 'en' as lang, text from benchmark"
+LANG_DOCS = "select doc_id as id, lang, text from documents"
+LANG_ITEMS = "select item_id || ':' || lang as query_id, lang, text from benchmark cross join (select distinct lang from documents where lang is not null)"
 RRF = f"""
-    dense_hits as ({dense(f"select * from {encode('select item_id as query_id, text from benchmark', 'query_id')}", f"select * from {encode(EN_DOCS, 'id')}", 'true', 40)}),
+    dense_hits as ({dense(f"select query_id, lang, vec from ({LANG_ITEMS}) join {encode('select item_id, text from benchmark', 'item_id')} on query_id = item_id || ':' || lang", f"select id, lang, vec from {encode(LANG_DOCS, 'id')} join ({LANG_DOCS}) using (id)", 'q.lang = v.lang', 40)}),
     fused as (select query_id, id, round(sum(share), 9) as rrf, max(dense_score) as dense_score, string_agg(tag, ',' order by tag) as sources from (
       select query_id, id, 1.0::double / (60 + rank) as share, score as dense_score, 'dense' as tag from dense_hits
       union all select query_id, id, 0.15::double / (60 + rank), 0.0, 'sparse' from hits) group by query_id, id)"""
@@ -158,9 +158,13 @@ REPLIES = "select t.conv_id, t.turn, t.text as answer, b.text as context from tu
 TURNS = "turns as (select conv_id, turn, min(text) as text from conversations group by all)"
 LINES = "list_filter(list_transform(string_split(text, chr(10)), lambda s: " + strip("s") + "), lambda s: length(s) >= 20)"
 RELEVANT = f"""
-    doc_lines as (select doc_id, unnest(list_distinct({LINES})) as line from documents where lang = 'en'),
-    item_lines as (select item_id as query_id, ({LINES})[1] as line from benchmark),
-    relevant as (select query_id, doc_id from item_lines join doc_lines using (line) group by all)"""
+    doc_lines as (select doc_id, lang, unnest(list_distinct({LINES})) as line from documents),
+    item_lines as (select query_id, lang, ({LINES})[1] as line from ({LANG_ITEMS})),
+    relevant as (select query_id, lang, doc_id from item_lines join doc_lines using (line, lang) group by all)"""
+PER_ITEM = f"""{bm25(LANG_ITEMS, LANG_DOCS, 10)}, {RELEVANT},
+      per as (select r.query_id, r.lang, count(*) as n, count(h.rank) filter (where h.rank <= 1) as n1, count(h.rank) filter (where h.rank <= 5) as n5, count(h.rank) as n10, min(h.rank) as first
+        from relevant r left join hits h on h.query_id = r.query_id and h.id = r.doc_id group by r.query_id, r.lang)"""
+RECALL = "count(*) as n, round(avg(n1 / n), 6) as recall_at_1, round(avg(n5 / n), 6) as recall_at_5, round(avg(n10 / n), 6) as recall_at_10, round(avg(coalesce(1.0 / first, 0)), 6) as mrr"
 SWEEP = """
     marks as (select distinct {by} round(score, 3) as threshold from scores),
     curve as (select {by} threshold, avg(case when score >= threshold then 1.0 else 0.0 end) filter (where positive) as tpr,
@@ -211,7 +215,7 @@ ORACLES = {
     "q_dense_topk": dense(ASKED, VECTORS, "q.part = v.part", 10),
     "q_dense_all_parts": dense(ASKED, VECTORS, "true", 10),
     "q_dense_strict": dense(f"select query_id, case when query_id % 200 = 0 then 'unknown' else part end as part, vec from ({ASKED})", VECTORS, "q.part = v.part", 10),
-    "q_rrf": f"with {bm25(EN_ITEMS, EN_DOCS, 40)}, {RRF} select * from (select *, row_number() over (partition by query_id order by rrf desc, id) as rank from fused) where rank <= 10",
+    "q_rrf": f"with {bm25(LANG_ITEMS, LANG_DOCS, 40)}, {RRF} select * from (select *, row_number() over (partition by query_id order by rrf desc, id) as rank from fused) where rank <= 10",
     "q_best_passages": f"""select * from (select query_id, passage_id, best, row_number() over (partition by query_id order by best, passage_id) as rank from (
       select query_id, floor(id / 5)::bigint as passage_id, min(rank) as best from ({dense(ASKED, VECTORS, "q.part = v.part", 100)}) group by all)) where rank <= 10""",
     "q_best_hit": f"""select query_id, id, score as dense_score, rank from (select *, row_number() over (partition by query_id order by score desc, rank) as r from ({dense(ASKED, VECTORS, "q.part = v.part", 10)}) where id <> query_id) where r = 1""",
@@ -224,20 +228,36 @@ ORACLES = {
       t as (select query_id, case query_id % 3 when 0 then 'en' when 1 then 'hi' else 'xx' end as lang, max(x) as top_score, round(max(x) - max(x) filter (where k = 2), 9) as margin from r group by query_id)
       select query_id, lang, top_score, margin, case when top_score < case lang when 'en' then 0.995 when 'hi' then 0.99 else 0.884 end then 'OUT_OF_CORPUS' when margin < 0.0005 then 'LOW_CONFIDENCE' end as reason from t""",
     "q_grounding": f"""with {TURNS}, r as ({REPLIES}), o as (select conv_id, turn, case when {strip('answer')} = '' then 0 else {overlap('answer', 'context')} end as x, {strip('answer')} <> '' as given from r)
-      select conv_id, turn, round(x, 4) as overlap, given and x < 0.231 as escalated, case when not given or x < 0.231 then 'UNGROUNDED_OUTPUT' end as reason from o""",
+      select conv_id, turn, round_even(x, 4) as overlap, given and x < 0.231 as escalated, case when not given or x < 0.231 then 'UNGROUNDED_OUTPUT' end as reason from o""",
     "q_citation_enforcement": f"""with {TURNS}, r as (select *, {parts('answer', [ANY_END])} as s from ({REPLIES})), k as (select *, list_filter(s, lambda y: {overlap('y', 'context')} >= 0.12) as kept from r)
       select conv_id, turn, md5(case when len(s) <= 1 or len(kept) = 0 then answer else array_to_string(kept, ' ') end) as answer_md5, (case when len(s) <= 1 or len(kept) = 0 then 0 else len(s) - len(kept) end)::bigint as dropped from k""",
-    "q_answer_slice": f"""with made as (select doc_id::varchar as passage_id, lang, {limited(cut('text', 512))} as parts from documents where lang = 'en'),
+    "q_answer_slice": f"""with made as (select doc_id::varchar as passage_id, lang, {limited(cut('text', 512))} as parts from documents),
       pieces as (select 'passage_native:' || passage_id || ':' || i as id, lang, part as text from (select passage_id, lang, unnest(parts) as part, unnest(range(len(parts))) as i from made)),
-      {bm25(EN_ITEMS, 'select id, lang, text from pieces', 1)},
-      judged as (select b.item_id as query_id, h.id, h.score, p.text as chunk, round({overlap('b.text', "coalesce(p.text, '')")}, 4) as overlap from benchmark b left join hits h on h.query_id = b.item_id left join pieces p on p.id = h.id),
+      {bm25(LANG_ITEMS, 'select id, lang, text from pieces', 1)},
+      judged as (select b.query_id, b.lang, h.id, h.score, p.text as chunk, round_even({overlap('b.text', "coalesce(p.text, '')")}, 4) as overlap from ({LANG_ITEMS}) b left join hits h on h.query_id = b.query_id left join pieces p on p.id = h.id),
       named as (select *, case when id is null then 'OUT_OF_CORPUS' when overlap < 0.231 then 'UNGROUNDED_OUTPUT' end as reason from judged)
-      select query_id, case when reason is null then id end as chunk_id, score, overlap, case when reason is null then 'extractive' else 'refused' end as path, reason, case when reason is null then substr(chunk, 1, 600) else {_message('reason', "'en'")} end as answer from named""",
-    "q_scorable": f"with {RELEVANT} select query_id, count(*) as relevant from relevant group by query_id having bool_and(doc_id % 7 <> 0)",
-    "q_recall_mrr": f"""with {bm25(EN_ITEMS, EN_DOCS, 10)}, {RELEVANT},
-      per as (select r.query_id, count(*) as n, count(h.rank) filter (where h.rank <= 1) as n1, count(h.rank) filter (where h.rank <= 5) as n5, count(h.rank) as n10, min(h.rank) as first
-        from relevant r left join hits h on h.query_id = r.query_id and h.id = r.doc_id group by r.query_id)
-      select count(*) as n, round(avg(n1 / n), 6) as recall_at_1, round(avg(n5 / n), 6) as recall_at_5, round(avg(n10 / n), 6) as recall_at_10, round(avg(coalesce(1.0 / first, 0)), 6) as mrr from per""",
+      select query_id, case when reason is null then id end as chunk_id, score, overlap, case when reason is null then 'extractive' else 'refused' end as path, reason, case when reason is null then substr(chunk, 1, 600) else {_message('reason', 'lang')} end as answer from named""",
+    "q_scorable": f"with {RELEVANT} select query_id, count(*) as relevant from relevant join (select doc_id, length({NORM.format('text')}) >= 40 as long from documents) using (doc_id) group by query_id having bool_and(long)",
+    "q_recall_mrr": f"""with {PER_ITEM} select {RECALL} from per""",
+    "q_recall_by_lang": f"""with {PER_ITEM}, told as (select lang, {RECALL} from per group by lang)
+      select *, recall_at_5 = max(recall_at_5) over () as best_recall_at_5, mrr = max(mrr) over () as best_mrr from told""",
+    "q_rerank": f"""with {bm25(LANG_ITEMS, LANG_DOCS, 10)}, full_hits as (select h.*, i.text as query, d.text as doc, count(*) over (partition by h.query_id) as n from hits h join ({LANG_ITEMS}) i on i.query_id = h.query_id join documents d on d.doc_id = h.id),
+      reordered as (select *, case when lang = 'en' and n >= 2 and rank <= 5 then -abs(length(doc) - length(query))::double end as rerank_score from full_hits)
+      select query_id, id, row_number() over (partition by query_id order by rerank_score is null, rerank_score desc, rank) as rank, rerank_score from reordered""",
+    "q_request": f"""select conv_id, turn, md5(q) as query_md5, (conv_id % 60)::bigint as top_k, length(q) <= 200 and conv_id % 60 between 1 and 50 as valid from (select conv_id, turn, {strip("coalesce(text, '')")} as q from conversations)""",
+    "q_citations": f"""with s as (select conv_id, turn, {sent("coalesce(text, '')")} as s from conversations),
+      k as (select *, list_filter([conv_id % 4, 2, -1], lambda i: i >= 1 and i <= len(s)) as k from s)
+      select conv_id, turn, array_to_string(list_transform(case when len(k) > 0 then k else range(1, len(s) + 1) end, lambda i: conv_id || ':' || turn || ':' || (i - 1) || '/' || md5(substr(s[i], 1, 600)) || '/' || round_even(i / 7.0::double, 4)::decimal(6, 4)), ',') as citations from k""",
+    "q_model_reply": """select doc_id, case when doc_id % 4 < 3 then 'a' || doc_id end as answer, case when doc_id % 4 < 3 then '1,' || (-(doc_id % 9)) end as citations, case when doc_id % 4 < 3 then least(1.0, doc_id % 3 + 0.25)::double end as confidence from documents""",
+    "q_prompt": f"""with {TURNS}, r as ({REPLIES}) select conv_id, turn, md5('[1] ' || context || chr(10) || chr(10) || 'Question: ' || answer) as prompt_md5, case conv_id % 3 when 0 then 'hi' when 1 then 'en' end as lang from r""",
+    "q_answered": """select event_type as path, count(*) as n, count(*) filter (where event_id % 5 = 0) as refused, round(100.0::double * avg(case when value * 4 <= 200 then 1.0 else 0.0 end), 1) as within_budget_pct,
+      round(quantile_cont(value * 4, 0.5), 2) as p50, round(quantile_cont(value * 4, 0.95), 2) as p95 from events group by event_type""",
+    "q_breaker_replay": """with recursive e as (select user_id::varchar as key, event_id, event_id % 3 = 0 as ok, epoch_us(ts::timestamp) / 1e6 as since, row_number() over (partition by user_id order by epoch_us(ts::timestamp), event_id) as k from events),
+      r as (select key, event_id, k, 'closed' as state, case when ok then 0 else 1 end as failures, null::double as opened from e where k = 1
+        union all select key, event_id, k, state, failures, case when state = 'open' then opened when failures = 0 then null when failures >= 3 then since else opened end from (
+          select key, event_id, k, since, state, opened, case when state = 'open' then prior when ok then 0 else prior + 1 end as failures from (
+            select e.key, e.event_id, e.k, e.ok, e.since, r.opened, r.failures as prior, case when r.opened is null then 'closed' when e.since - r.opened >= 30 then 'half_open' else 'open' end as state from r join e on e.key = r.key and e.k = r.k + 1)))
+      select key, event_id, state, state <> 'open' as allowed, failures from r""",
     "q_roc_sweep": f"with scores as ({SCORES}), {SWEEP.format(by='', using='on true')} select threshold, round(tpr, 9) as tpr, round(fpr, 9) as fpr, round(tpr - fpr, 9) as youden from curve",
     "q_threshold": f"""with scores as ({SCORES}), {SWEEP.format(by='lang,', using='using (lang)')},
       ordered as (select *, row_number() over (partition by lang order by case when fpr <= 0.10 and tpr >= 0 then 0 when tpr >= 0 then 1 else 2 end, round(tpr - fpr, 4) desc, threshold) as r from curve)

@@ -158,3 +158,25 @@ def test_streams_equal_replays(spark, tmp_path):
     query = stream.writeStream.format("memory").queryName("breaker_out").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     query.awaitTermination()
     assert sorted(map(tuple, spark.table("breaker_out").collect())) == sorted(map(tuple, stateful.breaker_replay(events).collect()))
+
+
+def test_capped_ends_with_the_row_that_goes_over(spark):
+    rng = random.Random(3)
+    rows = [(i, rng.choice(["a", "b", None]), rng.choice([0, 0, 1, 2, 5])) for i in range(300)]
+    df = spark.createDataFrame(rows, "ordinal long, lang string, n int").repartition(4)
+    want, sums = [], {}
+    for i, lang, n in rows:
+        if sums.get(lang, 0) < 40:
+            want.append(i)
+            sums[lang] = sums.get(lang, 0) + n
+    got = sorted(r.ordinal for r in etl.capped(df, 40, order=["ordinal"], size=F.col("n")).collect())
+    assert got == want and etl.capped(df, 10**6, order=["ordinal"], size=F.col("n")).count() == 300
+
+
+def test_sweep_counts_scores_at_the_thresholds_they_reach(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice([k / 1000, k / 1000 + 0.0004, k / 1000 - 0.0004, 0.289, 1.001]), rng.random() < 0.5) for k in range(400)]
+    got = {r.threshold: (r.tpr, r.fpr) for r in evaluate.sweep(spark.createDataFrame(rows, "score double, positive boolean")).collect()}
+    assert set(got) == {round(x, 3) for x, _ in rows}
+    for t, (tpr, fpr) in got.items():
+        assert tpr == pytest.approx(np.mean([x >= t for x, p in rows if p])) and fpr == pytest.approx(np.mean([x >= t for x, p in rows if not p]))
