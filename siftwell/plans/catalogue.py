@@ -207,11 +207,10 @@ def q_route(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, lang, relevant): documents of the language that hold the first long line of an item as a line."""
-    line = lambda c: F.filter(F.transform(F.split(c, "\n"), T.stripped), lambda s: F.length(s) >= 20)
-    docs = _docs(spark, sf_dir).select("doc_id", "lang", F.explode_outer(F.array_distinct(line(F.col("text")))).alias("line")).filter("line is not null").select("doc_id", "lang", F.md5("line").alias("line"))
-    items = _items(spark, sf_dir).select("query_id", "lang", F.get(line(F.col("text")), F.lit(0)).alias("line")).select("query_id", "lang", F.md5("line").alias("line"))
-    found = docs.join(sized(items), ["line", "lang"]).groupBy("query_id").agg(F.sort_array(F.collect_set("doc_id")).alias("relevant"))
+    """(query_id, lang, relevant): documents of the language that have a long sentence of an item."""
+    said = lambda df, *ids: df.select(*ids, F.explode_outer(F.array_distinct(F.filter(T.sentences(F.col("text")), lambda s: F.length(s) >= 20))).alias("s")).filter("s is not null").select(*ids, F.md5("s").alias("s"))
+    items = _items(spark, sf_dir)
+    found = said(_docs(spark, sf_dir), "doc_id", "lang").join(sized(said(items, "query_id", "lang")), ["s", "lang"]).groupBy("query_id").agg(F.sort_array(F.collect_set("doc_id")).alias("relevant"))
     return items.select("query_id", "lang").join(found, "query_id", "left").withColumn("relevant", F.coalesce("relevant", F.array().cast("array<bigint>")))
 
 

@@ -156,10 +156,10 @@ RRF = f"""
 SCORES = "select doc_id, lang, n_chars / 4096.0::double as score, quality = 1 as positive from documents join labels using (doc_id)"
 REPLIES = "select t.conv_id, t.turn, t.text as answer, b.text as context from turns t join turns b on t.conv_id = b.conv_id and t.turn = b.turn + 1"
 TURNS = "turns as (select conv_id, turn, min(text) as text from conversations group by all)"
-LINES = "list_filter(list_transform(string_split(text, chr(10)), lambda s: " + strip("s") + "), lambda s: length(s) >= 20)"
+LINES = f"list_distinct(list_filter({sent('text')}, lambda s: length(s) >= 20))"
 RELEVANT = f"""
-    doc_lines as (select doc_id, lang, unnest(list_distinct({LINES})) as line from documents),
-    item_lines as (select query_id, lang, ({LINES})[1] as line from ({LANG_ITEMS})),
+    doc_lines as (select doc_id, lang, unnest({LINES}) as line from documents),
+    item_lines as (select query_id, lang, unnest({LINES}) as line from ({LANG_ITEMS})),
     relevant as (select query_id, lang, doc_id from item_lines join doc_lines using (line, lang) group by all)"""
 PER_ITEM = f"""{bm25(LANG_ITEMS, LANG_DOCS, 10)}, {RELEVANT},
       per as (select r.query_id, r.lang, count(*) as n, count(h.rank) filter (where h.rank <= 1) as n1, count(h.rank) filter (where h.rank <= 5) as n5, count(h.rank) as n10, min(h.rank) as first
