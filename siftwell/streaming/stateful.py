@@ -25,29 +25,45 @@ class AnswerCache:
 
     def __init__(self, settings: Settings = DEFAULT):
         self.settings = settings
-        self.vectors: list[np.ndarray] = []
+        self.clear()
+
+    def clear(self) -> None:
+        """Forget all entries."""
         self.entries: list[tuple[int, str | None, float]] = []
+        self.vectors = np.zeros((0, 0))  # row i is that of entry i; rows beyond the entries are spare
+
+    def _drop(self, i: int) -> None:
+        last = len(self.entries) - 1
+        self.vectors[i:last] = self.vectors[i + 1 : last + 1]
+        del self.entries[i]
+
+    def _add(self, vec: np.ndarray, entry: tuple[int, str | None, float]) -> None:
+        if len(self.entries) == len(self.vectors):
+            more = np.zeros((max(16, 2 * len(self.vectors)), len(vec)))
+            more[: len(self.entries)] = self.vectors if self.entries else 0
+            self.vectors = more
+        self.vectors[len(self.entries)] = vec
+        self.entries.append(entry)
 
     def ask(self, event_id: int, vec: np.ndarray, lang: str | None, at: float) -> tuple[str, int | None, float | None]:
         """(hit or miss, entry matched, similarity). A miss is stored, as its answer would be."""
         outcome, matched, similarity = "miss", None, None
         if self.entries:
-            like = np.stack(self.vectors) @ vec
+            like = self.vectors[: len(self.entries)] @ vec
             best = int(np.argmax(like))
             if like[best] >= self.settings.cache_similarity:
                 stored, language, since = self.entries[best]
                 if at - since > self.settings.cache_ttl_seconds > 0:
                     outcome = "expired"
-                    del self.entries[best], self.vectors[best]
+                    self._drop(best)
                 elif lang and language and lang != language:
                     outcome = "other language"
                 else:
                     outcome, matched, similarity = "hit", stored, round(float(like[best]), 4)
         if outcome != "hit":
             if len(self.entries) >= self.settings.cache_entries:
-                del self.entries[0], self.vectors[0]
-            self.entries.append((event_id, lang, at))
-            self.vectors.append(vec)
+                self._drop(0)
+            self._add(vec, (event_id, lang, at))
         return outcome, matched, similarity
 
     def row(self, key: str, event: dict) -> tuple:

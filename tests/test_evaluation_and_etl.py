@@ -123,6 +123,9 @@ def test_files_and_manifest(spark, tmp_path):
     made = files.manifest(chunks, "fixed", "m", 1, "now")
     assert made.first().per_lang == {"en": 1, "hi": 1}
     assert {r.check: r.passed for r in files.verify(made, vectors, None, 0.5).collect()} == {"vectors match manifest": False, "postings present": False}
+    full, none = chunks.select("chunk_id"), chunks.limit(0)
+    assert [r.passed for r in files.verify(made, full, None, 0.0, vectors).collect()] == [True, True, False]
+    assert [r.passed for r in files.verify(made, full, None, 0.0, none).collect()] == [True, True]
     files.write_json(chunks, str(tmp_path / "j"))
     assert spark.read.json(str(tmp_path / "j")).count() == 2
 
@@ -180,3 +183,42 @@ def test_sweep_counts_scores_at_the_thresholds_they_reach(spark):
     assert set(got) == {round(x, 3) for x, _ in rows}
     for t, (tpr, fpr) in got.items():
         assert tpr == pytest.approx(np.mean([x >= t for x, p in rows if p])) and fpr == pytest.approx(np.mean([x >= t for x, p in rows if not p]))
+
+
+def test_vector_store(spark, tmp_path):
+    path, kind = str(tmp_path / "store"), "chunk_id string, doc_id string, lang string, vec array<float>"
+    held = lambda *docs: sorted((r.chunk_id, r.doc_id, r.lang, r.vec) for r in files.stored_vectors(spark, path, *docs).collect())
+    first = spark.createDataFrame([("c1", "d1", "en", [1.0]), ("c1", "d1", "01", [2.0]), ("c2", "d2", "en", [3.0])], kind)
+    newer = spark.createDataFrame([("c2", "d3", "en", [4.0]), ("c3", "d1", "en", None), ("c3", "d1", "en", None)], kind)
+    files.recreate_vectors(first, path)
+    for _ in range(2):  # once more, as after a failure
+        files.upsert_vectors(newer, path, 1)
+    assert held() == [("c1", "d1", "01", [2.0]), ("c1", "d1", "en", [1.0]), ("c2", "d3", "en", [4.0]), ("c3", "d1", "en", None)]
+    assert held(["d2"]) == [] and [r[0] for r in held(["d3"])] == ["c2"] and held([]) == []
+    files.recreate_vectors(first.filter("lang = 'en' and chunk_id = 'c2'"), path)
+    assert held() == [("c1", "d1", "01", [2.0]), ("c2", "d2", "en", [3.0])]
+    files.upsert_vectors(first.limit(0), path, 2)
+    assert len(held()) == 2
+
+
+@pytest.mark.parametrize(("entries", "ttl"), [(1, 0), (3, 0), (40, 5), (17, 30)])
+def test_cache_against_a_plain_list(entries, ttl):
+    rng, settings = np.random.default_rng(entries), Settings(cache_entries=entries, cache_ttl_seconds=ttl)
+    cache, plain, met = stateful.AnswerCache(settings), [], set()
+    for i in range(300):
+        vec, lang = np.eye(30)[rng.integers(30)], str(rng.choice(["en", "hi"]))
+        like = [float(v @ vec) for v, *_ in plain]
+        best = max(range(len(plain)), key=lambda k: (like[k], -k), default=None)
+        wanted = ("miss", None, None)
+        if best is not None and like[best] >= settings.cache_similarity:
+            _, of, language, since = plain[best]
+            wanted = ("expired", None, None) if i - since > ttl > 0 else ("other language", None, None) if language != lang else ("hit", of, round(like[best], 4))
+            if wanted[0] == "expired":
+                del plain[best]
+        if wanted[0] != "hit":
+            plain = (plain[1:] if len(plain) >= entries else plain) + [(vec, i, lang, i)]
+        assert cache.ask(i, vec, lang, i) == wanted and len(cache.entries) == len(plain)
+        met.add(wanted[0])
+    assert {"hit", "miss"} <= met
+    cache.clear()
+    assert cache.ask(300, np.ones(3), "en", 300)[0] == "miss" and len(cache.entries) == 1
