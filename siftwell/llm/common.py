@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import tempfile
 import uuid
@@ -30,11 +31,16 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="siftwell-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _own_dir(spark.sparkContext.applicationId)
     return found.rstrip("/")
 
 
+@functools.cache
+def _own_dir(application: str) -> str:
+    """A temporary folder of an application; a running session does not let spark.checkpoint.dir be set."""
+    return tempfile.mkdtemp(prefix="siftwell-")
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage is cut, and a lost executor costs no recomputation.
 

@@ -1,8 +1,11 @@
 """The operators on small inputs with nulls, empty and long texts, ties, repeats and clashing columns, against brute force."""
 
 import hashlib
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
@@ -649,3 +652,14 @@ def test_digest_matches_hashlib(spark):
     docs = documents(spark, ["a  b", None])
     out = substring.repeats_removed(docs).select("doc_id", F.sha2(F.col("kept").cast("binary"), 256).alias("s")).collect()
     assert {r.doc_id: r.s for r in out} == {0: hashlib.sha256(b"a b").hexdigest(), 1: hashlib.sha256(b"").hexdigest()}
+
+
+def test_folder_of_our_own_where_none_is_set(tmp_path):
+    code = (
+        "from pyspark.sql import SparkSession\nfrom siftwell.llm.common import shared_dir, staged\n"
+        "s = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "assert s.conf.get('spark.checkpoint.dir', None) is None\n"
+        "assert staged(s.range(3), 'three').count() == 3 and shared_dir(s) == shared_dir(s)\n"
+    )
+    done = subprocess.run([sys.executable, "-c", code], env={**os.environ, "SPARK_CONF_DIR": str(tmp_path)}, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr[-2000:]
