@@ -9,12 +9,15 @@ by exclusive-or and bit counts. A pair of tiles returns a spanning forest of its
 
 That finds texts with almost all shingles in common. To find texts by similarity (``similar_groups``), equal sets of shingles
 are merged, the fingerprints are wider, and their radius is that of the similarity and ``SPREAD`` deviations more; candidates
-are then compared exactly by their sets of shingles. Bits of a text of few shingles say too little, so texts of up to
-``SHORT`` shingles have a second way to become candidates that misses nothing: two such sets share one of their rarest
-shingles, as many as the similarity allows to differ and one more.
+are then compared exactly by their sets of shingles. Fingerprints are compared within blocks only: of all shingles in one
+order, two sets as similar share one of their first, as many as the similarity allows to differ and one more. These are a
+set's anchors, and the sets that have one in common are a block. Any order does; one with frequent shingles last keeps
+blocks small. Bits of a text of few shingles say too little, so texts of up to ``SHORT`` shingles have a second way to become
+candidates that misses nothing: they share one of their rarest shingles likewise.
 
-Cost: the comparison is quadratic in the number of distinct fingerprints, as the method is; its memory is two tiles a
-task, and each tile is sent to the tasks that compare it.
+Cost: without blocks, the comparison is quadratic in the number of distinct fingerprints, as the method is; its memory is
+two tiles a task, and each tile is sent to the tasks that compare it. With them, anchors are a fifth of all shingles, and
+only a block is compared completely, by one task or, if it is large, by tiles.
 
 Defined cases: null, empty and blank texts have fingerprint zero, which links like any other; a text of fewer words
 than a shingle is one shingle; a very long text is one row's work; repeated rows link with each other; rows with a null id
@@ -48,7 +51,11 @@ TILE, TILES = 65_536, 16
 WIDE, SET_TILE = 4, 256
 #: Deviations that candidates may lie beyond the expected distance, and shingles of the texts that also have the other way.
 SPREAD, SHORT = 5, 80
-_ROWS, _COLUMNS = 256, 2048
+#: Sampled texts that make a shingle frequent, and frequent shingles at most.
+OFTEN, FREQUENT = 4, 500_000
+#: Texts in a block that one task compares at most, and rows of a task that makes or compares blocks.
+BLOCK, TASK_ROWS = 4096, 500_000
+_ROWS, _COLUMNS, _PAIRS = 256, 2048, 1_000_000
 
 
 class Shingles(NamedTuple):
@@ -302,18 +309,130 @@ def similar_links(sets: DataFrame, groups: DataFrame, similarity: float) -> Data
     return links.unionByName(tasks.groupBy("group", "x", "y").applyInPandas(_sets_near(similarity), "a long, b long"))
 
 
+def frequent_shingles(texts: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """Shingles of ``OFTEN`` texts or more of a sample, ``FREQUENT`` of them at most, rarest first: one text in 32, more where that is less than about 5,000."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch):
+                yield pa.RecordBatch.from_arrays([pa.array(distinct(shingles(part.column("text"), shingle, seed))[0].view(np.int64))], ["shingle"])
+
+    share = max(1, min(32, texts.count() // 5_000))
+    sample = texts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).select("text")
+    counts = sample.mapInArrow(made, "shingle long").groupBy("shingle").agg(F.count("*").alias("texts")).filter(F.col("texts") >= OFTEN)
+    most = counts.orderBy(F.desc("texts"), "shingle").limit(FREQUENT).select("shingle").toArrow().column("shingle")
+    return most.to_numpy()[::-1].view(np.uint64)
+
+
+def anchors(hashes: np.ndarray, count: np.ndarray, similarity: float, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each set, its first n - ceil(n * similarity) + 1 shingles in one order for all, and how many: two sets as similar share one.
+
+    hashes: count[i] of set i, in order of their values. That is the order, with the frequent ones (rarest first) behind all others.
+    """
+    most = np.where(count > 0, count - np.ceil(count * similarity - 1e-6).astype(np.int64) + 1, 0)
+    if not len(frequent) or not len(hashes):
+        return hashes[_within(count) < np.repeat(most, count)], most
+    by_value = np.argsort(frequent)
+    at = np.minimum(np.searchsorted(frequent[by_value], hashes), len(frequent) - 1)
+    often = frequent[by_value][at] == hashes
+    before = np.r_[0, np.cumsum(~often)]  # others before each position
+    starts = np.cumsum(count) - count
+    chosen = ~often & (before[:-1] - np.repeat(before[starts], count) < np.repeat(most, count))
+    short = most - (before[starts + count] - before[starts])  # places that others leave
+    where = np.flatnonzero(often)
+    row = np.repeat(np.arange(len(count)), count)[where]
+    order = np.lexsort((by_value[at[where]], row))
+    where, row = where[order], row[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    chosen[where[place < short[row]]] = True
+    return hashes[chosen], most
+
+
+def blocks(anchored: DataFrame, task: int = TASK_ROWS) -> DataFrame:
+    """(node, anchors) -> (block, size, node): the nodes that have an anchor in common, those of equal nodes once."""
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """All rows of some anchors."""
+        held = [(batch.column("anchor").to_numpy(), batch.column("node").to_numpy()) for batch in batches]
+        if not held:
+            return
+        anchor, node = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+        order = np.lexsort((node, anchor))
+        anchor, node = anchor[order], node[order]
+        new = np.ones(len(anchor), bool)
+        new[1:] = (anchor[1:] != anchor[:-1]) | (node[1:] != node[:-1])
+        anchor, node = anchor[new], node[new]
+        starts = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
+        sizes = np.diff(starts, append=len(anchor))
+        starts, sizes = starts[sizes > 1], sizes[sizes > 1]
+        ends = np.cumsum(sizes)
+        node = node[np.repeat(starts, sizes) + _within(sizes)]
+        name = mixed(np.add.reduceat(mixed(node.view(np.uint64) + np.uint64(1)), ends - sizes) + sizes.astype(np.uint64)) if len(sizes) else np.zeros(0, np.uint64)
+        once = np.zeros(len(sizes), bool)
+        once[np.unique(name, return_index=True)[1]] = True
+        node, sizes, name = node[np.repeat(once, sizes)], sizes[once], name[once].view(np.int64)
+        made = pa.RecordBatch.from_arrays([pa.array(np.repeat(name, sizes)), pa.array(np.repeat(sizes, sizes)), pa.array(node)], ["block", "size", "node"])
+        for at in range(0, made.num_rows, 65_536):
+            yield made.slice(at, 65_536)
+
+    n = anchored.agg(F.sum(F.size("anchors"))).first()[0] or 0
+    each = anchored.select(F.explode("anchors").alias("anchor"), "node").repartition(-(-n // task) or 1, "anchor")
+    return staged(each.mapInArrow(met, "block long, size long, node long").distinct(), "blocks")
+
+
+def block_links(unique: DataFrame, found: DataFrame, radius: int, total: int, *, most: int = BLOCK, task: int = TASK_ROWS) -> DataFrame:
+    """unique (node, fp, more), blocks of its nodes -> (a, b): links that span, within each block, the pairs of so few differing bits.
+
+    Every block is compared completely: those of up to ``most`` nodes many at a time by one task, the nodes of larger ones by tiles.
+    """
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """All rows of some blocks."""
+        held = [(*(batch.column(c).to_numpy() for c in ("block", "node", "fp")), np.frombuffer(b"".join(batch.column("more").to_pylist()), np.uint64).reshape(batch.num_rows, -1)) for batch in batches if batch.num_rows]
+        if not held:
+            return
+        block, node, fp, more = (np.concatenate([h[i] for h in held]) for i in range(4))
+        order = np.argsort(block, kind="stable")
+        block, node, fp, more = block[order], node[order], fp[order].view(np.uint64), more[order]
+        ends = np.searchsorted(block, block, "right")
+        nodes, rank = np.unique(node, return_inverse=True)
+        parent = np.arange(len(nodes))
+        ahead = ends - np.arange(len(block)) - 1  # rows after each in its block
+        upto, at = np.cumsum(ahead), 0
+        while at < len(block):
+            stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + _PAIRS, "right")))
+            a = np.repeat(np.arange(at, stop), ahead[at:stop])
+            b = a + 1 + _within(ahead[at:stop])
+            bits = np.bitwise_count(fp[a] ^ fp[b])
+            a, b, bits = a[bits <= radius], b[bits <= radius], bits[bits <= radius]
+            close = bits + np.bitwise_count(more[a] ^ more[b]).sum(axis=1) <= total
+            unite(parent, rank[a[close]], rank[b[close]])
+            at = stop
+        yield pa.RecordBatch.from_pandas(_tree(nodes, parent), preserve_index=False)
+
+    small = found.filter(F.col("size") <= most)
+    rows = small.withColumnRenamed("node", "_node").join(unique, F.col("_node") == F.col("node")).select("block", "node", "fp", "more")
+    links = rows.repartition(-(-small.count() // task) or 1, "block").mapInArrow(near, "a long, b long")
+    large = found.filter(F.col("size") > most).select(F.col("node").alias("_node")).distinct()
+    if not large.take(1):
+        return links
+    large = staged(large, "large-blocks")
+    return links.unionByName(near_links(staged(unique.join(bounded(large), F.col("_node") == F.col("node"), "left_semi"), "large-block-prints"), radius, total=total))
+
+
 def similar_groups(docs: DataFrame, *, similarity: float = SIMILARITY, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """(doc_id, component_id): groups of texts whose sets of shingles have a Jaccard similarity of at least so much.
 
     Rows without an id are left out. Texts of equal sets are merged first. SimHashes of ``WIDE`` times 64 bits find candidates
-    by the tiled comparison, within a radius that such texts of many shingles exceed with a chance of less than one in a
-    million, and short texts also by their rarest shingles; groups of candidates are then compared exactly by their sets.
-    Only texts in such a group have their sets made.
+    within a radius that such texts of many shingles exceed with a chance of less than one in a million; only texts that share
+    one of their anchors are compared, as all texts so similar do. Short texts are candidates also by their rarest shingles.
+    Groups of candidates are then compared exactly by their sets. Only texts in such a group have their sets made.
     """
     texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     cosine = 2 * similarity / (1 + similarity)
     share = np.arccos(min(1.0, cosine)) / np.pi  # of bits in which two such texts differ, as expected
     radius, total = (int(np.ceil(bits * share + SPREAD * np.sqrt(bits * share * (1 - share)))) for bits in (64, 64 * WIDE))
+    frequent = frequent_shingles(texts, shingle, seed)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -324,8 +443,10 @@ def similar_groups(docs: DataFrame, *, similarity: float = SIMILARITY, shingle:
                 ends = np.cumsum(count)
                 keys = [xxhash.xxh3_128_digest(hashes[e - n : e].tobytes()) for e, n in zip(ends, count, strict=True)]
                 short = [hashes[e - n : e].view(np.int64) if 0 < n <= SHORT else None for e, n in zip(ends, count, strict=True)]
-                columns = [pa.array(keys, pa.binary()), pa.array(prints[0].view(np.int64)), pa.array([m.tobytes() for m in more], pa.binary()), pa.array(short, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], ["doc_id", "key", "fp", "more", "short"])
+                first, most = anchors(hashes, count, similarity, frequent)
+                held = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(most)], pa.int32()), pa.array(first.view(np.int64)))
+                columns = [pa.array(keys, pa.binary()), pa.array(prints[0].view(np.int64)), pa.array([m.tobytes() for m in more], pa.binary()), pa.array(short, pa.list_(pa.int64())), held]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], ["doc_id", "key", "fp", "more", "short", "anchors"])
 
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -334,10 +455,11 @@ def similar_groups(docs: DataFrame, *, similarity: float = SIMILARITY, shingle:
                 sets = [hashes[e - n : e].tobytes() for n, e in zip(count, np.cumsum(count), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.binary())], ["node", "shingles"])
 
-    prints = staged(texts.mapInArrow(made, "doc_id long, key binary, fp long, more binary, short array<long>"), "wide-fingerprints")
-    held = prints.groupBy("key").agg(F.min("doc_id").alias("node"), F.min("fp").alias("fp"), F.min("more").alias("more"), F.min("short").alias("short"))
+    prints = staged(texts.mapInArrow(made, "doc_id long, key binary, fp long, more binary, short array<long>, anchors array<long>"), "wide-fingerprints")
+    held = prints.groupBy("key").agg(F.min("doc_id").alias("node"), F.min("fp").alias("fp"), F.min("more").alias("more"), F.any_value("short").alias("short"), F.any_value("anchors").alias("anchors"))
     unique = staged(held, "unique-texts")
-    near = components(near_links(unique.select("fp", "node", "more"), radius, total=total)).select(F.col("component").alias("group"), "node")
+    near = block_links(unique.select("node", "fp", "more"), blocks(unique.select("node", "anchors")), radius, total)
+    near = components(near).select(F.col("component").alias("group"), "node")
     groups = near.unionByName(short_groups(unique.filter("short is not null").select("node", F.size("short").alias("n"), "short"), similarity))
     groups = staged(groups, "suspects")
     nodes = staged(groups.select(F.col("node").alias("_node")).distinct(), "suspect-nodes")

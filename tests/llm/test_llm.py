@@ -414,6 +414,58 @@ def test_similar_groups_of_looped_passages(spark):
     assert out == {i: i // 2 * 2 for i in range(20)}
 
 
+def test_similar_groups_compare_within_blocks(spark, monkeypatch):
+    rng = random.Random(43)
+    base = [[f"b{k}x{i}" for i in range(rng.randint(100, 160))] for k in range(40)]
+    made = [" ".join(w if rng.random() > 0.01 else "new" for w in ws) for ws in base for _ in range(4)]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in made]
+    want = reach(len(made), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    tiled, compare = [], simhash.near_links
+    monkeypatch.setattr(simhash, "near_links", lambda unique, *args, **more: tiled.append(unique.count()) or compare(unique, *args, **more))
+    out = {r.doc_id: r.component_id for r in simhash.similar_groups(documents(spark, made)).collect()}
+    assert [out[i] for i in range(len(made))] == want and len(set(want)) < len(made)
+    assert not tiled  # no comparison of all texts with all
+
+
+def test_blocks_and_their_links_against_all_pairs(spark):
+    rng = np.random.default_rng(44)
+    pool = rng.integers(0, 2**63, 3000).astype(np.uint64)
+    base = [rng.choice(pool, rng.integers(20, 60), replace=False) for _ in range(60)]
+    sets = [np.unique(np.r_[b[rng.random(len(b)) > 0.06], rng.choice(pool, 2)]) for b in base for _ in range(5)]
+    held, most = simhash.anchors(np.concatenate(sets), np.array([len(s) for s in sets]), 0.8, rng.permutation(pool)[:1500])
+    ends = np.cumsum(most)
+    parts = [held[e - n : e] for e, n in zip(ends, most)]
+    alike = [(i, j) for i in range(len(sets)) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))]
+    assert len(alike) > 50 and all(len(np.intersect1d(parts[i], parts[j])) for i, j in alike)
+
+    found = simhash.blocks(spark.createDataFrame([(i, p.view(np.int64).tolist()) for i, p in enumerate(parts)], "node long, anchors array<long>"), task=500)
+    members = {}
+    for r in found.collect():
+        members.setdefault((r.block, r.size), set()).add(r.node)
+    holders = {}
+    for i, p in enumerate(parts):
+        for a in p.tolist():
+            holders.setdefault(a, set()).add(i)
+    assert {frozenset(m) for m in members.values()} == {frozenset(h) for h in holders.values() if len(h) > 1}
+    assert all(size == len(m) for (_, size), m in members.items())
+
+    prints = [[int(b) for b in rng.integers(0, 2**63, 4)] for _ in base for _ in range(5)]
+    for i in range(len(prints)):  # some of a group near, some far
+        if i % 5 and rng.random() < 0.6:
+            prints[i] = [p ^ (1 << int(rng.integers(60))) for p in prints[i - i % 5]]
+    rows = [(i, int(p[0]), bytearray(np.array(p[1:], np.uint64).tobytes())) for i, p in enumerate(prints)]
+    unique = spark.createDataFrame(rows, "node long, fp long, more binary")
+    far = lambda i, j: [(a ^ b).bit_count() for a, b in zip(prints[i], prints[j])]
+    met = {(max(i, j), min(i, j)) for m in members.values() for i in m for j in m if i != j}
+    want = reach(len(prints), lambda i, j: (i, j) in met and far(i, j)[0] <= 24 and sum(far(i, j)) <= 68)
+    got = {r.node: r.component for r in components(simhash.block_links(unique, found, 24, 68, task=500)).collect()}
+    assert [got.get(i, i) for i in range(len(prints))] == want and len(set(want)) < len(want)
+    tiles = {r.node: r.component for r in components(simhash.block_links(unique, found, 24, 68, most=1)).collect()}
+    whole = reach(len(prints), lambda i, j: far(i, j)[0] <= 24 and sum(far(i, j)) <= 68)
+    in_blocks = {i for m in members.values() for i in m}
+    assert [tiles.get(i, i) for i in in_blocks] == [whole[i] for i in in_blocks]
+
+
 def test_tiles_of_many_fingerprints(spark):
     rng = random.Random(16)
     prints = [rng.getrandbits(64) for _ in range(3000)]
