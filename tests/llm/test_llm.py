@@ -6,10 +6,12 @@ import random
 import re
 import subprocess
 import sys
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 import xxhash
@@ -132,6 +134,56 @@ def test_lm_scores_against_exact_counts(spark, monkeypatch):
         assert (r.n_words, r.target_loss, r.background_loss) == pytest.approx(want[r.doc_id]), r.doc_id
 
 
+def lm_block(seed, size):
+    """The body of a block with about so many bytes of text."""
+    rng = np.random.default_rng(seed)
+    made = [" ".join(f"w{x:05d}" for x in rng.integers(0, 50_000, 500)) for _ in range(size // 3500)]
+    batch = pa.record_batch({"doc_id": np.arange(len(made)), "text": made, "target": np.arange(len(made)) % 3 == 0})
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue()
+
+
+def traced(call):
+    """What a call returns, and the MB of arrays that it takes at most."""
+    tracemalloc.start()
+    try:
+        return call(), tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_lm_score_memory_stays_near_the_keys():
+    body = lm_block(7, lm_score.BLOCK_BYTES)
+    block, opening = traced(lambda: lm_score._opened(body))
+    counts, counting = traced(block.counts)
+    _, scoring = traced(lambda: block.losses(counts, tuple(int(c.sum()) for c in counts), 50_000))
+    assert max(opening, counting, scoring) < 100  # 176 to open it and 119 to score it when all was ranked and scored at once
+    packets = [(block.keys[i::4], *(c[i::4] for c in counts)) for i in range(4)] * 2
+    columns = [[lm_score._packed(x) for x in column] for column in zip(*((np.diff(k, prepend=np.uint64(0)), t, b) for k, t, b in packets))]
+    n = [len(k) for k, *_ in packets]
+    frame = pd.DataFrame({"block": range(8), "shard": 0, "n": n, **dict(zip(("keys", "target", "background"), columns))})
+    totals, adding = traced(lambda: lm_score._totals(frame))
+    assert adding * 1e6 / sum(n) < 30  # bytes an entry; 61 when the entries of all packets were ranked at once
+    for name, i in (("target", 1), ("background", 2)):
+        assert all((lm_score._unpacked(x, k) == 2 * p[i]).all() for x, k, p in zip(totals[name], n, packets))
+
+
+def test_lm_scores_by_parts_are_those_of_the_whole(monkeypatch):
+    body = lm_block(8, 200_000)
+    found = []
+    for size in (1, 700, 10**9):
+        monkeypatch.setattr(lm_score, "PART_BYTES", size)
+        monkeypatch.setattr(lm_score, "PART_WORDS", size)
+        block = lm_score._opened(body)
+        counts = block.counts()
+        found.append((*block[:5], *counts, *block.losses(counts, tuple(int(c.sum()) for c in counts), 50_000)))
+    for one in found[:2]:
+        for x, y in zip(one, found[2], strict=True):
+            assert len(x) == len(y) and np.allclose(x, y, rtol=1e-10, atol=0) and (x.dtype.kind == "f" or (x == y).all())
+
+
 # 4 substring dedup
 
 
