@@ -11,7 +11,7 @@ from siftwell.config import DEFAULT, Settings
 from siftwell.functions import text as T
 from siftwell.functions.vectors import encode, encoded
 from siftwell.operators import answers, chunking, etl, evaluate, guards, index, retrieve
-from siftwell.operators.joins import sized
+from siftwell.operators.joins import few, sized
 from siftwell.plans import sql
 from siftwell.sources import files
 from siftwell.streaming import stateful
@@ -97,6 +97,11 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.select("item_id", F.concat_ws(":", "item_id", "lang").alias("query_id"), "lang", "text")
 
 
+def _of_hits(rows: DataFrame, hits: DataFrame, items: DataFrame, on: str = "id") -> DataFrame:
+    """rows and the hits of their id, ten of an item at most: where items are few, hits go to the rows, which are not shuffled."""
+    return rows.join(F.broadcast(hits) if few(items, 20_000) else hits, on)
+
+
 def q_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.search(_items(spark, sf_dir).select(F.col("item_id").alias("query_id"), "lang", "text"), _index_docs(spark, sf_dir), DEFAULT.top_k).select("query_id", "lang", "id", "score", "rank")
 
@@ -180,10 +185,15 @@ def q_citation_enforcement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_answer_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items answered, in every language, by their best chunk where it supports them, refused otherwise."""
-    texts = chunking.chunk(_passages(spark, sf_dir), "passage_native").select(F.col("chunk_id").alias("id"), "lang", "text")
+    passages = _passages(spark, sf_dir)
+    texts = chunking.chunk(passages, "passage_native").select(F.col("chunk_id").alias("id"), "lang", "text")
     items = _items(spark, sf_dir).select("query_id", "lang", "text")
-    top = index.search(items, texts, 1).select("query_id", "id", "score")
-    joined = items.withColumnRenamed("text", "query").join(top, "query_id", "left").join(texts.select("id", F.col("text").alias("chunk")), "id", "left")
+    top = index.search(items, texts, 1, keys=_index_docs(spark, sf_dir)).select("query_id", "id", "score")
+    # only passages of which a chunk was found are cut once more
+    of = passages.select("passage_id", "doc_id", "lang", "text", F.concat_ws(":", F.lit("passage_native"), "passage_id").alias("of"))
+    found = chunking.chunk(_of_hits(of, top.withColumn("of", F.regexp_replace("id", ":[0-9]+$", "")), items, "of"), "passage_native")
+    chosen = found.filter("chunk_id = id").select("query_id", "id", "score", F.col("text").alias("chunk"))
+    joined = items.withColumnRenamed("text", "query").join(chosen, "query_id", "left")
     overlap = F.bround(T.overlap(F.col("query"), F.coalesce("chunk", F.lit(""))), 4)
     judged = joined.withColumn("overlap", overlap).withColumn("refused", F.col("overlap") < DEFAULT.min_overlap)
     reason = F.when(F.col("id").isNull(), "OUT_OF_CORPUS").when(F.col("refused"), "UNGROUNDED_OUTPUT")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from siftwell.config import DEFAULT, Settings
 from siftwell.functions.vectors import encoded
 from siftwell.operators import answers, guards, index, retrieve
+from siftwell.plans import catalogue
 
 DOCS = [(1, "en", "red apple pie"), (2, "en", "green apple"), (3, "en", "blue sky over red land"), (4, "hi", "red apple"), (5, "en", ""), (6, "en", "apple apple apple")]
 
@@ -246,3 +247,41 @@ def test_dense_in_blocks_of_queries(spark, monkeypatch):
         own = [(-round(float(np.dot(x[i], v)), 9), j) for j, q, v in rows if v is not None and len(v) == 5 and (p is None or q == p)]
         assert got[i] == [j for _, j in sorted(own)[:4]]
     assert {r.query_id for r in retrieve.dense_strict(asked, vecs, 4).collect()} == {0, 1, 4, 5, 6}
+
+
+def planned(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture
+def unhinted(spark):
+    """No join is broadcast for a small size alone."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    yield spark
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_bm25_passes_on_the_best_of_each_query_only(spark):
+    rng = np.random.default_rng(5)
+    docs = [(int(i), "en" if i % 5 else "hi", " ".join(rng.choice(list("abcdefghij"), rng.integers(0, 12)).tolist())) for i in rng.permutation(5_000)]
+    asked = [(k, lang, text) for k, (lang, text) in enumerate([("en", "a b b c"), ("hi", "a b b c"), ("en", "j"), ("en", "zz"), (None, "a"), ("en", "a b c d e f g h i j")])]
+    out = index.search(spark.createDataFrame(asked, "query_id long, lang string, text string"), spark.createDataFrame(docs, "id long, lang string, text string"), 7)
+    assert "Join" not in planned(out) and "Aggregate" not in planned(out)  # no row for each document that shares a term
+    got = defaultdict(list)
+    for r in out.orderBy("rank").collect():
+        got[r.query_id].append((r.id, r.score, r["rank"]))
+    for k, lang, text in asked:
+        want = sorted((-round(s, 6), i) for i, s in (okapi(docs, text, lang).items() if lang else ()) if round(s, 6) > 0)[:7]
+        assert got[k] == [(i, pytest.approx(-s, abs=2e-6), n + 1) for n, (s, i) in enumerate(want)]
+
+
+def test_bm25_with_ids_that_repeat_adds_them_up(spark):
+    docs = spark.createDataFrame([(1, "en", "red apple"), (1, "en", "red pie"), (2, "en", "red sky over land"), (3, "en", "blue"), (4, "en", "grey"), (5, "en", "green"), (6, "en", "pink")], "id long, lang string, text string")
+    asked = spark.createDataFrame([(1, "en", "red")], "query_id long, lang string, text string")
+    once, built = index.search(asked, docs, 3).collect(), index.search_built(asked, index.build(docs), 3).collect()
+    assert [r.id for r in once] == [1, 2] and once == built
+
+
+def test_answers_take_no_shuffle_of_chunks(unhinted):
+    plan = planned(catalogue.queries()["q_answer_slice"](unhinted, "/root/testdata/sf0.001"))
+    assert plan.count("SortMergeJoin") == 1  # of items and what was found for them
