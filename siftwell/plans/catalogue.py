@@ -247,9 +247,10 @@ def q_recall_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents of each item by how near their length is to the item's, where the language is English."""
-    hits = index.search(_items(spark, sf_dir).select("query_id", "lang", "text"), _index_docs(spark, sf_dir), 10)
+    items = _items(spark, sf_dir).select("query_id", "lang", "text")
+    hits = index.search(items, _index_docs(spark, sf_dir), 10)
     texts = _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")
-    full = hits.join(_items(spark, sf_dir).select("query_id", F.col("text").alias("query")), "query_id").join(texts, "id")
+    full = _of_hits(texts, hits, items).join(items.select("query_id", F.col("text").alias("query")), "query_id")
     made = retrieve.rerank(full, lambda q, t: -(t.str.len() - q.str.len()).abs().astype(float), "en", 5)
     return made.select("query_id", "id", "rank", "rerank_score")
 

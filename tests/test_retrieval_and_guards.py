@@ -285,3 +285,8 @@ def test_bm25_with_ids_that_repeat_adds_them_up(spark):
 def test_answers_take_no_shuffle_of_chunks(unhinted):
     plan = planned(catalogue.queries()["q_answer_slice"](unhinted, "/root/testdata/sf0.001"))
     assert plan.count("SortMergeJoin") == 1  # of items and what was found for them
+
+
+def test_reranking_takes_no_shuffle_of_documents(unhinted):
+    plan = planned(catalogue.queries()["q_rerank"](unhinted, "/root/testdata/sf0.001"))
+    assert "BroadcastHashJoin [id" in plan
