@@ -30,6 +30,7 @@ def _products(asked: DataFrame, vectors: DataFrame, limit: int) -> DataFrame:
         q = _matrix(queries["vec"].combine_chunks())
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            least = np.full(len(parts), -np.inf)  # what the best of a batch so far have at least
             of_part = {p: np.flatnonzero([x is None or x == p for x in parts]) for p in {*parts, None}}
             for batch in batches:
                 for part in (batch.slice(k, _ROWS) for k in range(0, batch.num_rows, _ROWS)):
@@ -40,8 +41,9 @@ def _products(asked: DataFrame, vectors: DataFrame, limit: int) -> DataFrame:
                             continue
                         like = x[rows] @ q[own].T
                         like[np.isnan(like)] = -np.inf
-                        least = np.partition(like, -limit, axis=0)[-limit] if len(rows) > limit else np.full(len(own), -np.inf)
-                        r, c = np.nonzero((like >= least - _SLACK) & (like > -np.inf))
+                        if len(rows) >= limit:
+                            least[own] = np.maximum(least[own], np.partition(like, -limit, axis=0)[-limit])
+                        r, c = np.nonzero((like >= least[own] - _SLACK) & (like > -np.inf))
                         yield pa.RecordBatch.from_arrays([ids.take(pa.array(own[c])), part.column("id").take(pa.array(rows[r])), pa.array(like[r, c])], ["query_id", "id", "score"])
 
         return run

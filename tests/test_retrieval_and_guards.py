@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftwell.config import DEFAULT, Settings
-from siftwell.functions.vectors import encoded
+from siftwell.functions.vectors import encode, encoded
 from siftwell.operators import answers, guards, index, retrieve
 from siftwell.plans import catalogue
 
@@ -290,3 +290,19 @@ def test_answers_take_no_shuffle_of_chunks(unhinted):
 def test_reranking_takes_no_shuffle_of_documents(unhinted):
     plan = planned(catalogue.queries()["q_rerank"](unhinted, "/root/testdata/sf0.001"))
     assert "BroadcastHashJoin [id" in plan
+
+
+def test_encoding_shuffles_nothing_and_equals_the_expression(spark):
+    df = spark.createDataFrame([(1, "Red apple, red PIE é"), (2, ""), (3, None), (4, "..."), (5, "a " * 5000)], "k long, t string")
+    df = df.withColumn("k", F.struct("k", F.lit("x").alias("lang")))
+    out = encode(df, "k", "t")
+    assert "Exchange" not in planned(out)
+    want = {r.k: r.vec for r in df.select("k", encoded(F.col("t")).alias("vec")).collect() if any(r.vec)}
+    assert {r.k: r.vec for r in out.collect()} == want and len(want) == 2
+
+
+def test_dense_search_passes_on_few_rows_of_later_batches(spark):
+    vecs = spark.range(0, 20_000, 1, 1).select("id", F.lit("a").alias("part"), F.array(1.0 - F.col("id") / 20_000).alias("vec"))
+    asked = spark.createDataFrame([(1, "a", [1.0])], "query_id long, part string, vec array<double>")
+    assert retrieve._products(asked, vecs, 5).count() <= 10
+    assert [r.id for r in retrieve.dense(asked, vecs, 5).orderBy("rank").collect()] == [0, 1, 2, 3, 4]
