@@ -207,7 +207,7 @@ def _routable(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("l"))
     doc = F.col("id").cast("string")
     hit = F.struct("rank", F.concat_ws(":", F.lit("doc"), doc).alias("chunk_id"), doc.alias("passage_id"), "text", F.lit("").alias("context"), "dense_score", F.col("l").alias("lang"))
-    hits = found.join(text, "id").groupBy("query_id").agg(F.sort_array(F.collect_list(hit)).alias("hits"))  # five of each
+    hits = _of_hits(text, found, items).groupBy("query_id").agg(F.sort_array(F.collect_list(hit)).alias("hits"))  # five of each
     return items.join(hits, "query_id", "left").withColumn("query_vec", encoded(F.col("query")))
 
 
