@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from siftwell.config import DEFAULT, Settings
 from siftwell.functions import text as T
-from siftwell.functions.vectors import dot, encoded
+from siftwell.functions.vectors import distances, dot, encoded
 
 
 def slices(text: Column, size: int) -> Column:
@@ -105,21 +105,28 @@ def percentile_of(values: Column, percent: float) -> Column:
 
 def with_topic_runs(rows: DataFrame, text: Column, most: int, percent: float, encoder: Callable[[Column], Column] = encoded) -> DataFrame:
     """rows with ``_runs``: runs of sentences, cut where neighbours are further apart than that percentile of the text's own
-    distances, or at most units. Step by step in columns of their own, so that each sentence is encoded once."""
-    rows = rows.withColumn("_sents", T.sentences(text)).withColumn("_vecs", F.transform("_sents", lambda s: encoder(s)))
-    apart = F.transform(F.sequence(F.lit(1), F.size("_sents") - 1), lambda i: 1.0 - dot(F.get("_vecs", i - 1), F.get("_vecs", i)))
-    rows = rows.withColumn("_apart", F.when(F.size("_sents") >= 2, apart)).withColumn("_limit", percentile_of(F.col("_apart"), percent))
-    units = F.zip_with(F.slice("_sents", 2, F.greatest(F.size("_sents") - 1, F.lit(0))), "_apart", lambda s, d: F.struct(s.alias("s"), T.size_of(s).alias("n"), d.alias("d")))
+    distances, or at most units. Step by step in columns of their own, so that each sentence is encoded once; by the default
+    encoder in Arrow batches, as its expression goes over a sentence's tokens once for each dimension."""
+    rows = rows.withColumn("_sents", T.sentences(text))
+    if encoder is encoded:
+        apart = distances(F.col("_sents"))
+    else:
+        rows = rows.withColumn("_vecs", F.transform("_sents", lambda s: encoder(s)))
+        apart = F.transform(F.sequence(F.lit(1), F.size("_sents") - 1), lambda i: 1.0 - dot(F.get("_vecs", i - 1), F.get("_vecs", i)))
+    rows = rows.withColumn("_apart", F.when(F.size("_sents") >= 2, apart))
+    # bound, as the fold below would otherwise take the percentile anew for each sentence
+    far = T.bind(percentile_of(F.col("_apart"), percent), lambda limit: F.transform("_apart", lambda d: d > limit))
+    units = F.zip_with(F.slice("_sents", 2, F.greatest(F.size("_sents") - 1, F.lit(0))), far, lambda s, d: F.struct(s.alias("s"), T.size_of(s).alias("n"), d.alias("d")))
     first = F.get("_sents", F.lit(0))
     start = F.struct(T.empty_strings().alias("done"), first.alias("open"), T.size_of(first).alias("n"))
 
     def step(state: Column, x: Column) -> Column:
         cut = F.struct(F.array_append(state["done"], state["open"]).alias("done"), x["s"].alias("open"), x["n"].alias("n"))
         grown = F.struct(state["done"].alias("done"), F.concat_ws(" ", state["open"], x["s"]).alias("open"), (state["n"] + x["n"]).alias("n"))
-        return F.when((x["d"] > F.col("_limit")) | (state["n"] + x["n"] > most), cut).otherwise(grown)
+        return F.when(x["d"] | (state["n"] + x["n"] > most), cut).otherwise(grown)
 
     runs = F.aggregate(units, start, step, lambda s: F.array_append(s["done"], s["open"]))
-    return rows.withColumn("_runs", F.when(F.size("_sents") < 2, F.array(text)).otherwise(runs)).drop("_sents", "_vecs", "_apart", "_limit")
+    return rows.withColumn("_runs", F.when(F.size("_sents") < 2, F.array(text)).otherwise(runs)).drop("_sents", "_vecs", "_apart")
 
 
 def _parts(strategy: str, text: Column, settings: Settings) -> Column:

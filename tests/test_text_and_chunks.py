@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from siftwell.config import Settings
 from siftwell.functions import text as T
-from siftwell.functions.vectors import dot, encode, encode_with, encoded
+from siftwell.functions.vectors import distances, dot, encode, encode_with, encoded
 from siftwell.operators import chunking
 
 HINDI = "भारत एक देश है। इसकी राजधानी दिल्ली है। यहाँ बहुत लोग रहते हैं।"
@@ -149,3 +149,17 @@ def test_models_and_chunkers_from_outside(spark):
     assert {r.passage_id: r.vec for r in encode_with(df, "passage_id", "text", "length", load).collect()} == {"a": [1.0, 0.0], "n": [0.0, 0.0]}
     out = chunking.chunk_with(df, "semicolon", lambda t: t.split(";")).orderBy("chunk_id").collect()
     assert [(r.chunk_id, r.text) for r in out] == [("semicolon:a:0", "one two"), ("semicolon:a:1", "three")]
+
+
+def test_semantic_encodes_in_batches_as_the_expression_does(spark):
+    made = [" ".join(f"{w} {w if k % 3 else 'é ' + w} {k % 7}." for w in ("red", "blue", "...", "sky")) for k in range(300)]
+    texts = ["", None, "One.", "Alpha beta. Alpha beta gamma! ... New\n\nÉté là. ΑΣ ΟΔΟΣ.\nΟΔΟΣ", " ".join(made), *made[:20]]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string").repartition(2)
+    text = F.coalesce("t", F.lit(""))
+    fast, plain = (chunking.with_topic_runs(df, text, 128, 78.0, e) for e in (encoded, lambda s: encoded(s)))
+    assert "ArrowEvalPython" in fast._jdf.queryExecution().executedPlan().toString()
+    assert {r.k: r._runs for r in fast.collect()} == {r.k: r._runs for r in plain.collect()}
+    sents = df.select("k", T.sentences(text).alias("s"))
+    apart = F.transform(F.sequence(F.lit(1), F.size("s") - 1), lambda i: 1.0 - dot(encoded(F.get("s", i - 1)), encoded(F.get("s", i))))
+    want = {r.k: r.d for r in sents.filter("size(s) > 1 and k <> 4").select("k", apart.alias("d")).collect()}
+    assert want.items() <= {r.k: r.d for r in sents.select("k", distances(F.col("s")).alias("d")).collect()}.items()
