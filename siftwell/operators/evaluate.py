@@ -17,11 +17,12 @@ def scorable(queries: DataFrame, corpus: DataFrame) -> DataFrame:
 
 def by_query(queries: DataFrame, hits: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
     """queries (query_id, relevant array), hits (query_id, id, rank) -> (query_id, recall_at_k..., rr)."""
-    most = max(ks)
     wanted = queries.select("query_id", F.array_distinct("relevant").alias("relevant"))
-    found = wanted.select("query_id", F.explode("relevant").alias("id")).join(hits.filter(F.col("rank") <= most), ["query_id", "id"]).groupBy("query_id").agg(F.min("rank").alias("first"), *[F.sum((F.col("rank") <= k).cast("int")).alias(f"n{k}") for k in ks])
-    joined = wanted.join(found, "query_id", "left")
-    return joined.select("query_id", *[F.try_divide(F.coalesce(F.col(f"n{k}"), F.lit(0)), F.size("relevant")).alias(f"recall_at_{k}") for k in ks], F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("rr"))
+    got = hits.filter(F.col("rank") <= max(ks)).groupBy("query_id").agg(F.collect_list(F.struct("id", "rank")).alias("_hits"))  # so many of each
+    ranks = F.transform(F.filter("_hits", lambda h: F.array_contains("relevant", h["id"])), lambda h: h["rank"])
+    joined = wanted.join(got, "query_id", "left").withColumn("_ranks", F.coalesce(ranks, F.array().cast("array<bigint>")))
+    within = lambda k: F.size(F.filter("_ranks", lambda r: r <= k))
+    return joined.select("query_id", *[F.try_divide(within(k), F.size("relevant")).alias(f"recall_at_{k}") for k in ks], F.coalesce(1.0 / F.array_min("_ranks"), F.lit(0.0)).alias("rr"))
 
 
 def averages(per_query: DataFrame, by: list[str] | None = None, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:

@@ -231,9 +231,9 @@ def q_scorable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _by_item(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = _relevant(spark, sf_dir).filter(F.size("relevant") > 0)
-    hits = index.search(_items(spark, sf_dir).select("query_id", "lang", "text"), _index_docs(spark, sf_dir), 10)
-    return evaluate.by_query(asked, hits).join(asked.select("query_id", "lang"), "query_id")
+    asked, items = _relevant(spark, sf_dir).filter(F.size("relevant") > 0), _items(spark, sf_dir).select("query_id", "lang", "text")
+    per = evaluate.by_query(asked, index.search(items, _index_docs(spark, sf_dir), 10))
+    return per.join(items.select("query_id", "lang"), "query_id")
 
 
 def q_recall_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:

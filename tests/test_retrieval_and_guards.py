@@ -306,3 +306,9 @@ def test_dense_search_passes_on_few_rows_of_later_batches(spark):
     asked = spark.createDataFrame([(1, "a", [1.0])], "query_id long, part string, vec array<double>")
     assert retrieve._products(asked, vecs, 5).count() <= 10
     assert [r.id for r in retrieve.dense(asked, vecs, 5).orderBy("rank").collect()] == [0, 1, 2, 3, 4]
+
+
+@pytest.mark.parametrize("name", ["q_recall_mrr", "q_recall_by_lang"])
+def test_recall_splits_documents_once(spark, name):
+    plan = planned(catalogue.queries()[name](spark, "/root/testdata/sf0.001"))
+    assert plan.count("sf0.001/documents.parquet") == 2  # once for the search, once for what is relevant
